@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from placeweave.llm import packing, survivor, tokens
+from placeweave.llm import canonical, packing, survivor, tokens
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical.match_areas(*(load(spark, folder, t) for t in ("raw_place", "city", "area", "area_alias")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.listing_survivors(load(spark, folder, "listing")).select("keeper_id", "field", "source_id")
 
@@ -27,5 +31,5 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(load(spark, folder, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_merged": p3_merged, "p7_ids": p7_ids, "p8_containers": p8_containers}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p7_ids": p7_ids, "p8_containers": p8_containers}
 SQL: dict[str, str] = {}
