@@ -14,7 +14,7 @@ from typing import NamedTuple
 SHORT = {
     "col": "colony", "hts": "heights", "encl": "enclave", "twn": "town", "resid": "residency", "soc": "society", "sch": "scheme",
     "gdn": "garden", "anch": "anchorage", "terr": "terrace", "ph": "phase", "est": "estate", "ext": "extension", "rd": "road", "dr": "drive",
-    "ln": "lane", "blvd": "boulevard", "ave": "avenue", "apt": "apartment", "pk": "park", "vlg": "village", "emp": "employees",
+    "ln": "lane", "blvd": "boulevard", "ave": "avenue", "apt": "apartment", "pk": "park", "vlg": "village", "emp": "employees", "hsg": "housing",
 }
 #: Numbers as words' parts in names of phases.
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
@@ -88,6 +88,7 @@ def read(text: str | None) -> Address:
     """Components of an address; what it lacks is None or empty. Any text gives a result."""
     s = re.sub(r"\b\d{5}\b|\bpakistan\b|\bict\b", ",", PLUS.sub(",", plain(unglue(text))))
     s = LANDMARK.sub(",", FLOOR.sub(",", s))
+    s = re.sub(rf"\s*,\s*(?=(?:{ROADS})\s*(?:,|$))", " ", s)
     street = block = number = None
     m = STREET.search(s)
     if m:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placeweave.llm import canonical, packing, survivor, tokens
+from placeweave.llm import canonical, packing, premises, survivor, tokens
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,6 +24,13 @@ def p3_merged(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.merged_listings(load(spark, folder, "listing"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    city, area, alias, raw, listing = (load(spark, folder, t) for t in ("city", "area", "area_alias", "raw_place", "listing"))
+    typed = raw.select(F.col("raw_id").alias("id"), "city", "address")
+    named = listing.select("id", "city_id", "address").join(city.select(F.col("id").alias("city_id"), F.col("name").alias("city")), "city_id", "left").select("id", "city", "address")
+    return premises.same_premises(typed, named, city, area, alias).select(F.col("left_id").alias("raw_id"), F.col("right_id").alias("listing_id"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.corpus_ids(load(spark, folder, "documents"))
 
@@ -31,5 +39,5 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(load(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p7_ids": p7_ids, "p8_containers": p8_containers}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
 SQL: dict[str, str] = {}
