@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import canonical, packing, premises, survivor, tokens
+from placeweave.llm import canonical, packing, personal, premises, survivor, tokens
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,18 @@ def p3_merged(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.merged_listings(load(spark, folder, "listing"))
 
 
+#: The key of the pseudonyms in p5_redacted; a real run gives its own secret.
+DEMO_KEY = b"placeweave demonstration key"
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.find_cases(load(spark, folder, "review"), load(spark, folder, "person_name"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.redact(load(spark, folder, "review"), load(spark, folder, "person_name"), DEMO_KEY)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     city, area, alias, raw, listing = (load(spark, folder, t) for t in ("city", "area", "area_alias", "raw_place", "listing"))
     typed = raw.select(F.col("raw_id").alias("id"), "city", "address")
@@ -39,5 +51,5 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(load(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
 SQL: dict[str, str] = {}
