@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import canonical, packing, personal, premises, survivor, tokens
+from placeweave.llm import canonical, packing, personal, premises, subjects, survivor, tokens
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,5 +51,9 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(load(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.document_subjects(*(load(spark, folder, t) for t in ("documents", "doc_label", "subject")))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 SQL: dict[str, str] = {}
