@@ -6,22 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RAW_PLACE = T.StructType.fromDDL(
+from placeweave.ddl import schema
+
+RAW_PLACE = schema(
     "name string, address string, city string, area string, phone string, website string, rating double, review_count int, latitude double, longitude double, "
     "place_id string, categories array<string>, hours map<string,string>, description string, google_maps_url string, source_query string, listing_type string, "
     "search_area string, found_by array<string>, closed boolean, reviews array<struct<author:string,rating:int,text:string,date:string>>, "
     "images array<struct<url:string,alt:string,file:string>>"
 )
-LISTING = T.StructType.fromDDL(
+LISTING = schema(
     "id long, name string, slug string, listing_type string, city_id long, area_id long, sub_area string, address string, phone string, website string, "
     "description string, rating double, review_count int, latitude double, longitude double, place_id string, maps_url string, categories array<string>, "
     "hours map<string,string>, is_verified boolean, is_featured boolean, is_active boolean, locked_fields array<string>, last_seen_at timestamp, "
     "created_at timestamp, updated_at timestamp"
 )
-CITY = T.StructType.fromDDL("id long, name string, slug string, meta_description string")
-AREA = T.StructType.fromDDL("id long, city_id long, name string, slug string, meta_description string")
-CENTRE = T.StructType.fromDDL("area string, lat double, lng double, osm_match string")
-TASK = T.StructType.fromDDL("ord long, key string, query string, keyword string, area string, lat double, lng double, zoom int")
+CITY = schema("id long, name string, slug string, meta_description string")
+AREA = schema("id long, city_id long, name string, slug string, meta_description string")
+CENTRE = schema("area string, lat double, lng double, osm_match string")
+TASK = schema("ord long, key string, query string, keyword string, area string, lat double, lng double, zoom int")
 #: Fields that a manual edit locks against later imports.
 LOCKABLE = ("name", "listing_type", "area", "sub_area", "address", "phone", "website", "description", "rating", "review_count", "latitude", "longitude", "categories", "hours", "maps_url", "reviews", "images")
 #: Fields that duplicates share with the row kept.
