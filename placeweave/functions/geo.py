@@ -62,3 +62,8 @@ def grid_cells(spark: SparkSession, bbox: tuple[float, float, float, float], ste
                 touch = touch | in_polygons(F.col("y") + a * dy / 2, F.col("x") + b * dx / 2, polygons)
         cells = cells.where(touch)
     return cells.select("ord", F.round("y", 5).alias("lat"), F.round("x", 5).alias("lng"))
+
+
+def first_inside(candidates: Column, polygons: Sequence[Sequence[Ring]]) -> Column:
+    """First of an array of structs with lat and lng that lies in the polygons, or null."""
+    return F.try_element_at(F.filter(candidates, lambda c: in_polygons(c["lat"], c["lng"], polygons)), F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placeweave.functions.text import PLACE_ID
 from placeweave.schema import MERGED, is_empty
+from placeweave.session import join_hot
 
 
 def place_key(place_id: str = "place_id", url: str = "maps_url") -> Column:
@@ -27,9 +28,9 @@ def clusters(listing: DataFrame) -> DataFrame:
 
 def members(listing: DataFrame) -> DataFrame:
     """(id, keeper_id) of every row of a cluster."""
-    keyed = listing.withColumn("place", place_key()).where("place IS NOT NULL").select("id", F.col("city_id").alias("c"), F.col("place").alias("p"))
-    groups = clusters(listing)
-    return keyed.join(groups, F.col("c").eqNullSafe(F.col("city_id")) & (F.col("p") == F.col("place"))).select("id", "keeper_id")
+    home = F.coalesce(F.col("city_id").cast("string"), F.lit("none")).alias("home")
+    keyed = listing.withColumn("place", place_key()).where("place IS NOT NULL").select("id", home, "place")
+    return join_hot(keyed, clusters(listing).select(home, "place", "keeper_id"), ["home", "place"]).select("id", "keeper_id")
 
 
 def merged(listing: DataFrame) -> DataFrame:

@@ -425,7 +425,7 @@ def tiered_match(spark, load):
     return merge.match(batch(load), load("listing"))
 
 
-@query(f"""WITH {MATCH}, n AS (SELECT f.id, arg_max((i.new_phone, 1), i.ord)[1] AS p, arg_max((i.new_rating, 1), i.ord)[1] AS r, arg_max((i.fid, 1), i.ord)[1] AS fid FROM f JOIN i USING (ord) GROUP BY 1)
+@query(f"""WITH {MATCH}, n AS (SELECT f.id, arg_max(i.new_phone, i.ord) FILTER (WHERE i.new_phone <> '') AS p, arg_max(i.new_rating, i.ord) FILTER (WHERE i.new_rating <> 0) AS r, arg_max(i.fid, i.ord) FILTER (WHERE i.fid <> '') AS fid FROM f JOIN i USING (ord) GROUP BY 1)
     SELECT l.id, CASE WHEN n.id IS NOT NULL AND NOT list_contains(coalesce(l.locked_fields, []), 'phone') AND coalesce(n.p, '') <> '' THEN n.p ELSE l.phone END AS phone,
       CASE WHEN n.id IS NOT NULL AND NOT list_contains(coalesce(l.locked_fields, []), 'rating') AND coalesce(n.r, 0) <> 0 THEN n.r ELSE l.rating END AS rating,
       CASE WHEN coalesce(n.fid, '') <> '' THEN n.fid ELSE l.place_id END AS place_id FROM listing l LEFT JOIN n ON n.id = l.id""")

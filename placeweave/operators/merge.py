@@ -66,22 +66,26 @@ def match(items: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def protected(listing: DataFrame, changes: DataFrame, fields: tuple[str, ...] = FIELDS, now: Column | None = None) -> DataFrame:
-    """listing with the changes (id, fid, fields) applied: a field is set if it isn't locked and the new value isn't empty.
+    """listing with the changes (ord, id, fid, fields) applied: a field is set if it isn't locked and the new value isn't empty.
 
-    The place id follows fid; the last sight is set; slug and flags never change. Of several changes of a row the one with the highest ord wins.
+    The place id follows fid; the last sight is set; slug and flags never change. Several changes of a row act in order (ord): of each
+    field the last value that isn't empty stays.
     """
-    order = "ord" if "ord" in changes.columns else "fid"
-    one = changes.groupBy("id").agg(F.max_by(F.struct("fid", *fields), order).alias("new")).withColumnRenamed("id", "_id")
+    aggs = []
+    for c in ("fid", *fields):
+        filled = ~is_empty(c, changes.schema[c].dataType)
+        aggs.append(F.max_by(F.when(filled, F.col(c)), F.when(filled, F.col("ord"))).alias(f"new_{c}"))
+    one = changes.groupBy(F.col("id").alias("_id")).agg(*aggs)
     joined = listing.join(one, listing["id"] == F.col("_id"), "left")
     locked = F.coalesce("locked_fields", F.array().cast("array<string>"))
     out = []
     for c in listing.columns:
         if c in fields:
-            new = F.col("new")[c].cast(listing.schema[c].dataType)
+            new = F.col(f"new_{c}").cast(listing.schema[c].dataType)
             free = ~F.array_contains(locked, c.removesuffix("_id") if c == "area_id" else c)
             out.append(F.when(F.col("_id").isNotNull() & free & ~is_empty(new, listing.schema[c].dataType), new).otherwise(F.col(c)).alias(c))
         elif c == "place_id":
-            out.append(F.when(F.coalesce(F.col("new.fid"), F.lit("")) != "", F.col("new.fid")).otherwise(F.col(c)).alias(c))
+            out.append(F.when(F.coalesce("new_fid", F.lit("")) != "", F.col("new_fid")).otherwise(F.col(c)).alias(c))
         elif c == "last_seen_at":
             out.append(F.when(F.col("_id").isNotNull(), now if now is not None else F.current_timestamp()).otherwise(F.col(c)).alias(c))
         else:
@@ -136,3 +140,34 @@ def lock_edited(listing: DataFrame, edited: DataFrame) -> DataFrame:
     joined = listing.join(edited.select(F.col("id").alias("_id"), F.col("fields").alias("_f")), listing["id"] == F.col("_id"), "left")
     both = F.array_sort(F.array_union(F.coalesce("locked_fields", F.array().cast("array<string>")), F.col("_f")))
     return joined.withColumn("locked_fields", F.when(F.col("_id").isNotNull(), both).otherwise(F.col("locked_fields"))).select(*listing.columns)
+
+
+def missing_cities(names: DataFrame, city: DataFrame) -> DataFrame:
+    """Cities (slug, name) that the batch (name) needs and the table lacks."""
+    needed = names.where("name <> ''").select(text.slugify("name", 100, "").alias("slug"), "name").groupBy("slug").agg(F.min("name").alias("name"))
+    return needed.join(city.select("slug"), "slug", "left_anti")
+
+
+def import_batch(items: DataFrame, listing: DataFrame, exclude: tuple[str, ...] = (), now: Column | None = None) -> dict[str, DataFrame]:
+    """A batch (ord, city_id, place_id, maps_url and the listing's fields) against the listings: nothing is written, so a dry run is the same call.
+
+    Gives updated (all listings), created (new rows with slug, no id yet), outcomes (ord, outcome, id) and skipped (ord, outcome). Rows of the
+    batch with one place id are one item. An item without an id doesn't match another one of the same batch.
+    """
+    name = F.trim(F.coalesce("name", F.lit("")))
+    out = F.coalesce(*[F.when(text.icontains("address", a), F.lit(a)) for a in exclude], F.lit(None).cast("string"))
+    judged = items.withColumn("name", name).withColumn("_skip", F.when(name == "", "skipped (no name)").when(out.isNotNull(), F.concat(F.lit("skipped (excluded area: "), out, F.lit(")"))))
+    real = with_fid(collapse(judged.where("_skip IS NULL").drop("_skip")).drop("fid"))
+    found = match(real, listing)
+    matched = real.join(found.select("ord", "id", "method"), "ord", "left")
+    changes = matched.where("id IS NOT NULL")
+    fresh = matched.where("id IS NULL").drop("id", "method").withColumn("base", text.slugify("name"))
+    created = unique_slugs(fresh, listing.select("city_id", "slug"))
+    created = created.withColumn("listing_type", F.coalesce(text.none_if_empty("listing_type"), F.lit("daycare"))).withColumn("place_id", F.coalesce(text.none_if_empty("fid"), "place_id", F.lit("")))
+    outcome = F.when(F.col("id").isNull(), "created").otherwise(F.concat(F.lit("updated (matched by "), "method", F.lit(")")))
+    return {
+        "updated": protected(listing, changes, tuple(f for f in FIELDS if f in items.columns), now),
+        "created": created.drop("base", "fid"),
+        "outcomes": matched.select("ord", outcome.alias("outcome"), "id"),
+        "skipped": judged.where("_skip IS NOT NULL").select("ord", F.col("_skip").alias("outcome")),
+    }

@@ -9,6 +9,7 @@ labelled in one pass where it lies; nothing is shuffled until a caller asks for
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -28,6 +29,23 @@ NODE_FIELDS = [
 ]
 
 
+_HALVES = re.compile("[\ud800-\udfff]")
+
+
+def _whole_number(digits: str) -> int | float:
+    """Numbers too long for an integer's text become floats."""
+    return int(digits) if len(digits) < 4000 else float(digits)
+
+
+def parse(text: str) -> object:
+    """A complete JSON text; half characters of broken escapes are replaced."""
+    return json.loads(_HALVES.sub("\ufffd", text), parse_int=_whole_number)
+
+
+def _safe(text: str | None) -> str | None:
+    return text if text is None or text.isascii() else _HALVES.sub("\ufffd", text)
+
+
 def _kind(value: object) -> str:
     if value is None:
         return "null"
@@ -47,7 +65,7 @@ def label(document: object, maps: frozenset[str] = frozenset(), inline: frozense
         dewey, path, name, ordinal, value = stack.pop()
         if path in inline and isinstance(value, str):
             try:
-                inner = json.loads(value)
+                inner = parse(value)
             except (ValueError, RecursionError):
                 inner = value
             if isinstance(inner, (list, dict)):
@@ -55,7 +73,7 @@ def label(document: object, maps: frozenset[str] = frozenset(), inline: frozense
         kind = _kind(value)
         if dewey:
             plain = None if kind in ("null", "array", "object") else value if kind == "string" else json.dumps(value)
-            yield dewey, path, name, ordinal, kind, plain
+            yield dewey, _safe(path), _safe(name), ordinal, kind, _safe(plain)
         if kind == "array":
             below = [(None, v, f"{path}[]") for v in value]
         elif kind == "object":
@@ -92,7 +110,7 @@ def shred(
             rows: list[tuple] = []
             for k, text in zip(batch["k"], batch["t"]):
                 try:
-                    document = json.loads(text)
+                    document = parse(text)
                 except (ValueError, TypeError, RecursionError):
                     continue
                 rows.extend((k, *node) for node in label(document, as_map, as_inline) if wanted is None or node[1] in wanted)

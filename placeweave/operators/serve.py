@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions import text
+from placeweave.session import join_hot
 
 #: Sort keys of a city page; anything else sorts as featured.
 SORTS = {"rating": "rating", "reviews": "review_count", "name": "name", "featured": "is_featured"}
@@ -62,11 +63,11 @@ def similar(listing: DataFrame, k: int = 4) -> DataFrame:
 
     Only the k + 1 best of each area meet the listings, so a hot area costs no more than others.
     """
-    active = listing.where("is_active").select("id", "area_id", "rating")
-    best = Window.partitionBy("area_id").orderBy(F.desc("rating"), "id")
+    active = listing.where("is_active").select("id", F.coalesce(F.col("area_id").cast("string"), F.lit("none")).alias("of"), "rating")
+    best = Window.partitionBy("of").orderBy(F.desc("rating"), "id")
     top = active.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    top = top.groupBy(F.col("area_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("top"))
-    met = active.join(top, F.col("area_id").eqNullSafe(F.col("of")))
+    top = top.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("top"))
+    met = join_hot(active, top, ["of"])
     others = F.slice(F.filter("top", lambda t: t["id"] != F.col("id")), 1, k)
     return met.select("id", F.posexplode(F.transform(others, lambda t: t["id"]))).select("id", (F.col("pos") + 1).alias("rank"), F.col("col").alias("similar_id"))
 
@@ -162,6 +163,19 @@ def structured_data(placed: DataFrame) -> DataFrame:
     return placed.select("id", F.to_json(record).alias("json"))
 
 
+def shown_images(images: DataFrame) -> DataFrame:
+    """(listing_id, images, og_image): each listing's images that have a file, in order, and the first of them."""
+    real = images.where(F.coalesce("image", F.lit("")) != "")
+    lists = real.groupBy("listing_id").agg(F.array_sort(F.collect_list(F.struct("order", "image", "alt"))).alias("images"))
+    return lists.select("listing_id", "images", F.col("images")[0]["image"].alias("og_image"))
+
+
+def review_cards(review: DataFrame) -> DataFrame:
+    """(review_id, author, stars, text): what a page shows of a review; without a name it is anonymous."""
+    author = F.coalesce(text.none_if_empty("author"), F.lit("Anonymous"))
+    return review.select("review_id", author.alias("author"), F.repeat(F.lit("★"), F.coalesce(F.col("rating").cast("int"), F.lit(0))).alias("stars"), "text")
+
+
 def admin_search(rows: DataFrame, q: str, fields: list[str], facets: dict | None = None) -> DataFrame:
     """Rows where each word of q stands in one of the fields, ignoring case, and each facet (column -> value) is equal."""
     for word in q.split():

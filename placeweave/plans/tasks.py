@@ -69,5 +69,10 @@ def remaining(tasks: DataFrame, completed: DataFrame) -> DataFrame:
     return tasks.join(completed.select("key"), "key", "left_anti")
 
 
+def progress(tasks: DataFrame, completed: DataFrame) -> DataFrame:
+    """Tasks that are completed already."""
+    return tasks.join(completed.select("key"), "key", "left_semi")
+
+
 def counts(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.count_if(F.col("key").startswith("area:")).alias("area_tasks"), F.count_if(F.col("key").startswith("grid:")).alias("grid_tasks"))

@@ -26,7 +26,8 @@ def spread(df: DataFrame, *keys: Column | str, per_core: int = 2) -> DataFrame:
     """Hash-repartition rows for CPU-bound Python stages if the scan has too few splits.
 
     Large inputs already have more splits than cores and pass through unshuffled.
-    The keys should be unique so that no hot key lands in one task.
+    The keys should be unique so that no hot key lands in one task. For plain scans only: of a plan
+    with a shuffle the number of partitions would be found by running it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
@@ -34,6 +35,29 @@ def spread(df: DataFrame, *keys: Column | str, per_core: int = 2) -> DataFrame:
     return df.repartition(cores * per_core, *keys)
 
 
+#: A key is hot if more than this share of the rows have it, and at least so many.
+HOT_SHARE, HOT_ROWS = 0.001, 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right on keys (inner or left), hot keys of left split over tasks.
+
+    A key with more than a thousandth of left's rows (and more than hot_rows) is cut into pieces, right's rows of it being copied to
+    each. As there can't be a thousand such keys, their list is broadcast. Null keys join nothing. left is read twice, so it should be
+    durable or cheap.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(how)
+    counts = left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_t"))
+    least = F.greatest(F.lit(float(hot_rows)), F.col("_t") * HOT_SHARE)
+    hot = F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_pieces")))
+    many = F.coalesce("_pieces", F.lit(1))
+    a = left.join(hot, keys, "left").withColumn("_piece", F.floor(F.rand(17) * many).cast("int")).drop("_pieces")
+    b = right.join(hot, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), many - 1))).drop("_pieces")
+    return a.join(b, [*keys, "_piece"], how).drop("_piece")
+
+
 def salts_for(count: Column, rows_per_task: int) -> Column:
     """Number of pieces a group of ``count`` rows is split into."""
     return F.greatest(F.lit(1), F.ceil(count / F.lit(rows_per_task))).cast("int")

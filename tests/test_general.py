@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 
 from placeweave.operators import near, nested
 from placeweave.operators.queries import place_children
+from placeweave.session import join_hot
 
 PLACES = [
     {"name": "A", "reviews": [{"author": "x", "text": ""}, None, {"author": " ", "text": None}, {"text": "t"}], "hours": {"Monday": "9"}, "categories": ["a ", None, " ", "b", "b"], "found_by": ["k", "k"]},
@@ -24,7 +25,7 @@ WANT = {
 
 def test_children(spark):
     text = json.dumps(PLACES)
-    rows = [(1, text, 5), (2, text[:-5], 5), (3, None, 5), (4, "", 5), (5, "  ", 5), (6, "null", 5), (7, "[" * 5000, 5), (8, '{"a": 1}', None)]
+    rows = [(1, text, 5), (2, text[:-5], 5), (3, None, 5), (4, "", 5), (5, "  ", 5), (6, "null", 5), (7, "[" * 5000, 5), (8, '{"a": 1}', None), (9, '[{"name": "\\ud83d", "rating": 1%s}]' % ("0" * 5000), 1)]
     frame = spark.createDataFrame(rows, "dump_id long, payload string, value int")
     got = [tuple(r) for r in place_children(frame).collect()]
     assert set(got) == WANT and len(got) == len(WANT)
@@ -90,3 +91,12 @@ def test_radius_join_over_the_date_line(spark):
     right = spark.createDataFrame([(1, 10.0, -179.999), (2, 89.9999, -170.0)], "aid long, lat double, lng double")
     out = near.radius_join(left, right, ("id", "lat", "lng"), ("aid", "lat", "lng"), 1.0)
     assert sorted((r["id"], r["aid"]) for r in out.collect()) == [(1, 1), (2, 2)]
+
+
+def test_join_hot(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}" if i % 2 else None) for i in range(300)], "i long, k string")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), (None, 4)], "k string, v long")
+    for how in ("inner", "left"):
+        got = sorted((r["i"], r["v"] or 0) for r in join_hot(left, right, ["k"], how, hot_rows=20).collect())
+        assert got == sorted((r["i"], r["v"] or 0) for r in left.join(right, "k", how).collect())
+    assert join_hot(left.limit(0), right, ["k"]).count() == 0

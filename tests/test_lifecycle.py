@@ -57,7 +57,7 @@ def test_protected(spark):
     rows = listing(spark, dict(id=1, phone="1", description="d", rating=4.0, locked_fields=["description"], place_id="old"), dict(id=2, phone="keep"))
     change = spark.createDataFrame([(1, 1, "0x1:0x1", "", "new", 4.5), (2, 1, "", "2", "newer", 0.0)], "ord int, id long, fid string, phone string, description string, rating double")
     out = {r["id"]: r for r in merge.protected(rows, change, ("phone", "description", "rating")).collect()}
-    assert (out[1]["phone"], out[1]["description"], out[1]["rating"], out[1]["place_id"]) == ("2", "d", 4.0, "old") and out[1]["last_seen_at"] and not out[2]["last_seen_at"]
+    assert (out[1]["phone"], out[1]["description"], out[1]["rating"], out[1]["place_id"]) == ("2", "d", 4.5, "0x1:0x1") and out[1]["last_seen_at"] and not out[2]["last_seen_at"]
     again = merge.protected(merge.protected(rows, change, ("phone",)), change, ("phone",))
     assert again.count() == 2 and again.where("id = 1").first()["phone"] == "2"
     assert merge.unseen(rows, change, 1).first()["n"] == 1
@@ -172,3 +172,43 @@ def test_stream_equals_batch(spark, tmp_path):
     state = {r["place_key"]: (sorted(r["found_by"]), r["first_ord"]) for r in crawl_stream.latest(spark, str(tmp_path / "state")).collect()}
     batch = crawl.provenance(spark.createDataFrame(hits, schema), "place_key").collect()
     assert {k: v[0] for k, v in state.items()} == {r["place_key"]: sorted(r["found_by"]) for r in batch} and state["p3"][1] == 3
+
+
+def item(**fields):
+    base = dict(ord=0, city_id=1, name="A", listing_type="", area_id=None, sub_area="", address="", phone="", website="", description="", rating=0.0, review_count=0, latitude=0.0, longitude=0.0, place_id="", maps_url="", categories=[], hours={})
+    return base | fields
+
+
+def batch(spark, *rows):
+    kinds = "ord long, city_id long, name string, listing_type string, area_id long, sub_area string, address string, phone string, website string, description string, rating double, review_count int, latitude double, longitude double, place_id string, maps_url string, categories array<string>, hours map<string,string>"
+    names = [k.split(" ")[0] for k in kinds.split(", ")]
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], kinds)
+
+
+def test_import(spark):
+    old = listing(spark, dict(id=1, name="Legacy", slug="legacy", maps_url="x!1s0x1:0x2!", place_id="Legacy+Name", is_featured=True))
+    items = batch(spark, item(ord=1, name="Legacy", place_id="0x1:0x2", phone="1"), item(ord=2, name="New", place_id="0x5:0x5"), item(ord=3, name="New", place_id="0x5:0x5", phone="9"), item(ord=4, name="Legacy", latitude=33.0, longitude=73.0), item(ord=5, name=" "), item(ord=6, name="X", address="Bahria Town, Y"))
+    one = merge.import_batch(items, old, ("Bahria Town",))
+    kept = one["updated"].first()
+    assert (kept["place_id"], kept["slug"], kept["is_featured"], kept["phone"]) == ("0x1:0x2", "legacy", True, "1")
+    assert {(r["slug"], r["phone"], r["listing_type"]) for r in one["created"].collect()} == {("new", "9", "daycare")}
+    assert {r["ord"]: r["outcome"] for r in one["outcomes"].collect()} == {1: "updated (matched by place ID)", 2: "created", 4: "updated (matched by name only)"}
+    assert {r["ord"]: r["outcome"] for r in one["skipped"].collect()} == {5: "skipped (no name)", 6: "skipped (excluded area: Bahria Town)"}
+    # the same batch once more finds what it made
+    made = one["created"].withColumn("id", F.lit(2).cast("long")).select("id", "slug", *[c for c in items.columns if c not in ("ord",)])
+    both = one["updated"].unionByName(made, allowMissingColumns=True)
+    again = merge.import_batch(items, both, ("Bahria Town",))
+    assert again["created"].count() == 0 and again["updated"].count() == 2
+
+
+def test_cities(spark):
+    city = spark.createDataFrame([("lahore",)], "slug string")
+    names = spark.createDataFrame([("Lahore",), ("New City",), ("",)], "name string")
+    assert [tuple(r) for r in merge.missing_cities(names, city).collect()] == [("new-city", "New City")]
+
+
+def test_cards(spark):
+    images = spark.createDataFrame([(1, 2, "b", ""), (1, 1, "a", "x"), (1, 0, "", "")], "listing_id int, order int, image string, alt string")
+    assert serve.shown_images(images).first()["og_image"] == "a"
+    reviews = spark.createDataFrame([(1, "", 3, "t"), (2, None, None, None)], "review_id int, author string, rating int, text string")
+    assert [tuple(r)[1:3] for r in serve.review_cards(reviews).collect()] == [("Anonymous", "★★★"), ("Anonymous", "")]
