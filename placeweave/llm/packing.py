@@ -90,7 +90,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, rows_per_b
     ranked = placed.where("rest > 0").withColumn("number", number).join(offsets, ["rest", "bucket"]).withColumn("rank", F.col("number") + F.col("offset"))
     # the plan has a few rows for each size; as an array by size it is met by an equi-join and a search in the row
     by_size = plan.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("low", "many", "container", "each"))).alias("runs"))
-    met = ranked.join(by_size, ranked["rest"] == by_size["size"])
+    met = ranked.join(F.broadcast(by_size), ranked["rest"] == by_size["size"])  # fewer rows than the capacity
     run = F.filter("runs", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") < x["low"] + x["many"]))[0]
     rests = met.withColumn("run", run).select(
         "id", F.col("fulls").cast("int").alias("piece"), (F.col("fulls") * capacity).cast("long").alias("start"), F.col("rest").alias("size"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.llm import canonical, packing, personal, premises, subjects, survivor, tokens
+from placeweave.session import spread
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,8 +39,8 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     city, area, alias, raw, listing = (load(spark, folder, t) for t in ("city", "area", "area_alias", "raw_place", "listing"))
-    typed = raw.select(F.col("raw_id").alias("id"), "city", "address")
-    named = listing.select("id", "city_id", "address").join(city.select(F.col("id").alias("city_id"), F.col("name").alias("city")), "city_id", "left").select("id", "city", "address")
+    typed = spread(raw.select(F.col("raw_id").alias("id"), "city", "address"), "id")
+    named = spread(listing.select("id", "city_id", "address"), "id").join(city.select(F.col("id").alias("city_id"), F.col("name").alias("city")), "city_id", "left").select("id", "city", "address")
     return premises.same_premises(typed, named, city, area, alias).select(F.col("left_id").alias("raw_id"), F.col("right_id").alias("listing_id"))
 
 
@@ -56,4 +57,25 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+KEY = """CASE WHEN regexp_full_match(p, '0x[0-9a-f]+:0x[0-9a-f]+') THEN p ELSE nullif(regexp_extract(u, '(!1s|[?&]ftid=|[?&]q=)(0x[0-9a-f]+:0x[0-9a-f]+)', 2), '') END"""
+
+
+def survivor_sql() -> str:
+    """p3_found by plain grouping: the latest filled value of each field, or the keeper's where a row locks it."""
+    parts = []
+    for f in survivor.MERGE_FIELDS:
+        name = f.removesuffix("_id")
+        missing = {"categories": "coalesce(len({}), 0) = 0", "hours": "coalesce(cardinality({}), 0) = 0"}.get(f)
+        if missing is None:
+            missing = "coalesce({}, 0) = 0" if f in ("area_id", "rating", "review_count", "latitude", "longitude") else "trim(coalesce({}, ''), ' ' || chr(9) || chr(10) || chr(13)) = ''"
+        full = f"NOT ({missing.format(f)})"
+        parts.append(f"""SELECT keeper_id, '{name}' AS field, CASE WHEN bool_or(list_contains(coalesce(locked_fields, []), '{name}')) THEN max(id) FILTER (WHERE id = keeper_id AND {full})
+            ELSE arg_max(id, (coalesce(updated_at, TIMESTAMP '0001-01-01'), low, id)) FILTER (WHERE {full}) END AS source_id FROM r GROUP BY 1""")
+    return f"""WITH t AS (SELECT *, trim(lower(replace(replace(coalesce(place_id, ''), '%3A', ':'), '%3a', ':')), ' ' || chr(9) || chr(10) || chr(13)) AS p, lower(replace(replace(coalesce(maps_url, ''), '%3A', ':'), '%3a', ':')) AS u,
+          coalesce(regexp_matches(slug, '-[0-9]+$'), false) AS low FROM listing), k AS (SELECT *, {KEY} AS place FROM t),
+        g AS (SELECT city_id AS c, place AS q, arg_min(id, (low, id)) AS keeper_id FROM k WHERE place IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1),
+        r AS (SELECT k.*, g.keeper_id FROM k JOIN g ON g.c IS NOT DISTINCT FROM k.city_id AND g.q = k.place)
+        SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE source_id IS NOT NULL"""
+
+
+SQL: dict[str, str] = {"p3_found": survivor_sql()}

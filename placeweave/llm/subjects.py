@@ -73,7 +73,8 @@ CORPUS = "doc_id long, subjects array<int>, languages array<int>, lengths array<
 
 def term_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: its label numbers, and the language, length and hashed words of its sentences. Texts without words give none."""
-    tagged = documents.select("doc_id", "text").where(F.length("text") > 0).join(labels.groupBy("doc_id").agg(F.collect_set("subject_no").alias("subjects")), "doc_id", "left")
+    texts = spread(documents.select("doc_id", "text").where(F.length("text") > 0), "doc_id")
+    tagged = texts.join(labels.groupBy("doc_id").agg(F.collect_set("subject_no").alias("subjects")), "doc_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
@@ -95,7 +96,7 @@ def term_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
                 rows.append((i, [] if tags is None else list(tags), [language(s) for s in found], [len(s) for s in found], terms))
             yield pd.DataFrame(rows, columns=["doc_id", "subjects", "languages", "lengths", "terms"])
 
-    return spread(tagged, "doc_id").mapInPandas(run, CORPUS)
+    return tagged.mapInPandas(run, CORPUS)
 
 
 class Block:
