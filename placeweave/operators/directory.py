@@ -200,9 +200,8 @@ def slugs(spark, load):
 
 @query("""SELECT 'area:' || a.name || '|' || k.k AS key, k.k || ' in ' || a.name || ' Zarwanabad' AS query FROM area a, (VALUES ('daycare'), ('montessori'), ('nursery')) k(k) WHERE a.city_id = 1""")
 def task_cross_product(spark, load):
-    words = spark.createDataFrame(list(enumerate(KEYWORDS)), "ord int, keyword string")
     names = load("area").where("city_id = 1").select(F.col("id").alias("ord"), F.col("name").alias("area"))
-    return tasks.area_tasks(words, names, "Zarwanabad").select("key", "query")
+    return tasks.area_tasks(KEYWORDS, names, "Zarwanabad").select("key", "query")
 
 
 GRID = f"""WITH d AS (SELECT {STEP_KM} / 111.0::DOUBLE AS dy, {STEP_KM} / (111.32::DOUBLE * cos(radians(({BOX[0]} + {BOX[2]}) / 2))) AS dx),

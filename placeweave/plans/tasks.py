@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,9 +14,14 @@ from placeweave.plans.config import Plan, frames
 from placeweave.schema import TASK
 
 
-def area_tasks(keywords: DataFrame, areas: DataFrame, city: str) -> DataFrame:
-    """Every keyword in every area, area by area. Keywords are a short list of the plan; the areas stay distributed."""
-    pairs = areas.select(F.col("ord").alias("a"), "area").crossJoin(F.broadcast(keywords.select(F.col("ord").alias("k"), "keyword")))
+def _each(words: Sequence[str]) -> Column:
+    """One row for each word of a plan's short list: struct(k, keyword)."""
+    return F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(w).alias("keyword")) for i, w in enumerate(words)]))
+
+
+def area_tasks(keywords: Sequence[str], areas: DataFrame, city: str) -> DataFrame:
+    """Every keyword in every area (ord, area), area by area; the areas stay where they are."""
+    pairs = areas.select(F.col("ord").alias("a"), "area", _each(keywords).alias("w")).select("a", "area", "w.k", "w.keyword")
     return pairs.select(
         (F.col("a").cast("long") * 1_000_000 + F.col("k")).alias("ord"), F.concat_ws("", F.lit("area:"), "area", F.lit("|"), "keyword").alias("key"),
         F.concat_ws(" ", "keyword", F.lit("in"), "area", F.lit(city)).alias("query"), "keyword", "area",
@@ -31,8 +36,7 @@ def _cell(lat: pd.Series, lng: pd.Series) -> pd.Series:
 
 
 def grid_tasks(cells: DataFrame, keywords: Sequence[str], zoom: int) -> DataFrame:
-    words = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(w).alias("keyword")) for i, w in enumerate(keywords)])).alias("w")
-    pairs = cells.select("ord", "lat", "lng", words)
+    pairs = cells.select("ord", "lat", "lng", _each(keywords).alias("w"))
     return pairs.select(
         ((F.col("ord") + 1) * 1_000_000_000 + F.col("w.k")).alias("ord"), F.concat(F.lit("grid:"), F.col("w.keyword"), F.lit("@"), _cell("lat", "lng")).alias("key"),
         F.col("w.keyword").alias("query"), F.col("w.keyword").alias("keyword"), F.lit("").alias("area"), "lat", "lng", F.lit(zoom).alias("zoom"),
@@ -41,7 +45,7 @@ def grid_tasks(cells: DataFrame, keywords: Sequence[str], zoom: int) -> DataFram
 
 def build(spark, plan: Plan, only: Iterable[str] | None = None, with_areas: bool = True, with_grid: bool = True) -> DataFrame:
     """All tasks of a plan in order (ord). ``only`` limits them to some areas, whatever their case, without the grid; unknown ones are an error."""
-    keywords, areas, _ = frames(spark, plan)
+    _, areas, _ = frames(spark, plan)
     if only is not None:
         known = {a.lower() for a in plan.areas}
         unknown = [a for a in only if a.lower() not in known]
@@ -49,8 +53,8 @@ def build(spark, plan: Plan, only: Iterable[str] | None = None, with_areas: bool
             raise ValueError(f"not in the plan: {', '.join(unknown)}")
         areas, with_grid = areas.where(F.lower("area").isin([a.lower() for a in only])), False
     out = spark.createDataFrame([], TASK)
-    if with_areas:
-        out = out.unionByName(area_tasks(keywords, areas, plan.city))
+    if with_areas and plan.keywords:
+        out = out.unionByName(area_tasks(plan.keywords, areas, plan.city))
     if with_grid and plan.grid:
         if "bbox" in plan.grid:
             box = tuple(float(x) for x in plan.grid["bbox"].split(","))

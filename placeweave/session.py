@@ -43,15 +43,15 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     """left joined with right on keys (inner or left), hot keys of left split over tasks.
 
     A key with more than a thousandth of left's rows (and more than hot_rows) is cut into pieces, right's rows of it being copied to
-    each. As there can't be a thousand such keys, their list is broadcast. Null keys join nothing. left is read twice, so it should be
-    durable or cheap.
+    each. As there can't be a thousand such keys, their list is broadcast. Null keys join nothing. left is read three times, so it should
+    be durable or cheap.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
     counts = left.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_t"))
-    least = F.greatest(F.lit(float(hot_rows)), F.col("_t") * HOT_SHARE)
-    hot = F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_pieces")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    least = max(float(hot_rows), total * HOT_SHARE)
+    hot = F.broadcast(counts.where(F.col("_n") > least).select(*keys, F.ceil(F.col("_n") / least).cast("int").alias("_pieces")))
     many = F.coalesce("_pieces", F.lit(1))
     a = left.join(hot, keys, "left").withColumn("_piece", F.floor(F.rand(17) * many).cast("int")).drop("_pieces")
     b = right.join(hot, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), many - 1))).drop("_pieces")

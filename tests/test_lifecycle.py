@@ -212,3 +212,18 @@ def test_cards(spark):
     assert serve.shown_images(images).first()["og_image"] == "a"
     reviews = spark.createDataFrame([(1, "", 3, "t"), (2, None, None, None)], "review_id int, author string, rating int, text string")
     assert [tuple(r)[1:3] for r in serve.review_cards(reviews).collect()] == [("Anonymous", "★★★"), ("Anonymous", "")]
+
+
+def test_cli(spark, tmp_path):
+    from placeweave.cli import main
+
+    listing(spark, dict(id=1, name="Legacy", place_id="0x1:0x2"), dict(id=2, slug="b", place_id="0x1:0x2")).write.parquet(str(tmp_path / "listing.parquet"))
+    spark.createDataFrame([(1, "Here", "here", "")], "id long, name string, slug string, meta_description string").write.parquet(str(tmp_path / "city.parquet"))
+    (tmp_path / "raw.json").write_text('[{"name": "Legacy", "place_id": "0x1:0x2"}, {"name": "New"}, {"phone": "1"}]')
+    (tmp_path / "plan.txt").write_text("[keywords]\ndaycare\n[areas]\nF-7\nF-8\n")
+    data = ["--data", str(tmp_path)]
+    got = main(["import", "--file", str(tmp_path / "raw.json"), "--city", "Here", "--out", str(tmp_path / "o"), *data], spark)
+    assert {r["outcome"]: r["n"] for r in got.collect()} == {"updated (matched by place ID)": 1, "created": 1, "skipped (no name)": 1}
+    assert main(["dedupe", "--out", str(tmp_path / "o"), *data], spark).first()["surplus"] == 1
+    assert main(["plan", "--file", str(tmp_path / "plan.txt"), "--out", str(tmp_path / "t")], spark).first()["area_tasks"] == 2
+    assert read.table(spark, str(tmp_path / "o"), "created").count() == 1
