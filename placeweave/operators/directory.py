@@ -10,6 +10,7 @@ from placeweave.operators import area as areas
 from placeweave.operators import classify, crawl, dedupe, merge, report, serve
 from placeweave.plans import tasks
 from placeweave.plans.config import Plan
+from placeweave.session import short_list
 
 CITY, AREA, Q = "zarwanabad", "tamarookh", "little"
 KEYWORDS = ["daycare", "montessori", "nursery"]
@@ -280,9 +281,9 @@ def nearest_area(spark, load):
 
 def city_plan(load) -> Plan:
     """A plan of the first city's areas and aliases; both lists are short and fixed."""
-    names = {r["id"]: r["name"] for r in load("area").where("city_id = 1").orderBy("id").limit(1000).collect()}
+    names = {r["id"]: r["name"] for r in short_list(load("area").where("city_id = 1").orderBy("id"), 1000)}
     plan = Plan("Zarwanabad", KEYWORDS, list(names.values()), area_match={"max_km": "1.5"})
-    plan.aliases = {r["alias"]: names[r["area_id"]] for r in load("area_alias").limit(1000).collect() if r["area_id"] in names and r["alias"].isascii()}
+    plan.aliases = {r["alias"]: names[r["area_id"]] for r in short_list(load("area_alias"), 1000) if r["area_id"] in names and r["alias"].isascii()}
     return plan
 
 

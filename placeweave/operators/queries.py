@@ -69,6 +69,22 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_review_table": p1_review_table, "p4_found": p4_found}
 
 SQL = {
+    "p1_found": """
+        WITH d AS (SELECT dump_id, CAST(payload AS JSON) AS j FROM raw_dump WHERE json_valid(payload)),
+          p AS (SELECT d.dump_id, CAST(e.key AS INTEGER) AS place_pos, e.value AS v FROM d, json_each(d.j) e WHERE json_type(d.j) = 'ARRAY'),
+          m AS (SELECT dump_id, place_pos, k, CASE WHEN json_type(v, '$.' || k) = 'VARCHAR' AND json_valid(v ->> ('$.' || k)) AND left(trim(v ->> ('$.' || k)), 1) IN ('[', '{') THEN CAST(v ->> ('$.' || k) AS JSON) ELSE json_extract(v, '$.' || k) END AS x
+            FROM p, (VALUES ('reviews'), ('hours'), ('categories'), ('found_by')) n(k)),
+          e AS (SELECT m.dump_id, m.place_pos, m.k, json_type(m.x) AS kind, c.key, c.value FROM m, json_each(m.x) c WHERE json_type(m.x) IN ('ARRAY', 'OBJECT')),
+          s AS (SELECT dump_id, place_pos, k, x ->> '$' AS t FROM m WHERE json_type(x) = 'VARCHAR'),
+          r AS (SELECT dump_id, place_pos, 'review' AS child, key AS child_key FROM e WHERE k = 'reviews' AND kind = 'ARRAY' AND trim(coalesce(value ->> 'author', '') || coalesce(value ->> 'text', '')) <> ''
+            UNION ALL SELECT dump_id, place_pos, 'review', '0' FROM m WHERE k = 'reviews' AND json_type(x) = 'OBJECT' AND trim(coalesce(x ->> 'author', '') || coalesce(x ->> 'text', '')) <> ''
+            UNION ALL SELECT dump_id, place_pos, 'hours', CASE WHEN kind = 'OBJECT' THEN key ELSE value ->> 'day' END FROM e WHERE k = 'hours'
+            UNION ALL SELECT dump_id, place_pos, 'category', trim(value ->> '$') FROM e WHERE k = 'categories'
+            UNION ALL SELECT dump_id, place_pos, 'category', trim(unnest(string_split(t, ','))) FROM s WHERE k = 'categories'
+            UNION ALL SELECT dump_id, place_pos, 'found_by', value ->> '$' FROM e WHERE k = 'found_by'
+            UNION ALL SELECT dump_id, place_pos, 'found_by', t FROM s WHERE k = 'found_by')
+        SELECT DISTINCT dump_id, place_pos, child, child_key FROM r WHERE trim(child_key) <> ''
+    """,
     "p4_found": """
         WITH p AS (SELECT raw_id, latitude AS a, longitude AS b FROM raw_place),
         c AS (SELECT area_id, lat AS a, lng AS b FROM area_centre),

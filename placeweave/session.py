@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,14 @@ def spread(df: DataFrame, *keys: Column | str, per_core: int = 2) -> DataFrame:
     return df.repartition(cores * per_core, *keys)
 
 
+def short_list(df: DataFrame, most: int = 10_000) -> list[Row]:
+    """All rows of a list that is short by its nature; more than ``most`` are an error, never cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most:,} rows where a short list was expected")
+    return rows
+
+
 #: A key is hot if more than this share of the rows have it, and at least so many.
 HOT_SHARE, HOT_ROWS = 0.001, 50_000
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placeweave.plans.config import read_boundary
 from placeweave.schema import CENTRE, RAW_PLACE, schema_order
+from placeweave.session import short_list
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -40,7 +41,7 @@ def centres(spark: SparkSession, path: str, areas: DataFrame | None = None) -> D
 
 def boundary(spark: SparkSession, path: str) -> list:
     """Polygons of a GeoJSON file."""
-    return read_boundary("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    return read_boundary("\n".join(r["value"] for r in short_list(spark.read.text(path, wholetext=True), 1)))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

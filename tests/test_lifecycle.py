@@ -227,3 +227,14 @@ def test_cli(spark, tmp_path):
     assert main(["dedupe", "--out", str(tmp_path / "o"), *data], spark).first()["surplus"] == 1
     assert main(["plan", "--file", str(tmp_path / "plan.txt"), "--out", str(tmp_path / "t")], spark).first()["area_tasks"] == 2
     assert read.table(spark, str(tmp_path / "o"), "created").count() == 1
+
+
+def test_boundary(spark, tmp_path):
+    path = tmp_path / "b.geojson"
+    path.write_text('{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2]]]}}')
+    polygons = read.boundary(spark, str(path))
+    row = spark.createDataFrame([([(5.0, 5.0), (1.0, 1.0)],)], "c array<struct<lat:double,lng:double>>")
+    from placeweave.functions import geo
+
+    assert tuple(row.select(geo.first_inside(F.col("c"), polygons).alias("f")).first()["f"]) == (1.0, 1.0)
+    assert read.tolerant(spark.createDataFrame([("a", 1)], "name string, other int")).columns == RAW_PLACE.names
