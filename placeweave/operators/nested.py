@@ -58,8 +58,12 @@ def _kind(value: object) -> str:
     return "array" if isinstance(value, list) else "object"
 
 
-def label(document: object, maps: frozenset[str] = frozenset(), inline: frozenset[str] = frozenset()) -> Iterator[tuple]:
-    """Yield (dewey, schema_path, name, ordinal, kind, value) of all nodes below the root, in document order."""
+def label(document: object, maps: frozenset[str] = frozenset(), inline: frozenset[str] = frozenset(), keep: frozenset[str] | None = None) -> Iterator[tuple]:
+    """Yield (dewey, schema_path, name, ordinal, kind, value) of all nodes below the root, in document order; with keep only those of its schema paths.
+
+    Branches that lead to no path of keep aren't walked; the others' ordinals stay what they are.
+    """
+    ways = None if keep is None else {p[:i] for p in keep for i in (*(m.start() for m in re.finditer(r"[.\[{]", p)), len(p))}
     stack: list[tuple[str, str, str | None, int, object]] = [("", "$", None, 0, document)]
     while stack:
         dewey, path, name, ordinal, value = stack.pop()
@@ -71,7 +75,7 @@ def label(document: object, maps: frozenset[str] = frozenset(), inline: frozense
             if isinstance(inner, (list, dict)):
                 value = inner
         kind = _kind(value)
-        if dewey:
+        if dewey and (keep is None or path in keep):
             plain = None if kind in ("null", "array", "object") else value if kind == "string" else json.dumps(value)
             yield dewey, _safe(path), _safe(name), ordinal, kind, _safe(plain)
         if kind == "array":
@@ -81,7 +85,7 @@ def label(document: object, maps: frozenset[str] = frozenset(), inline: frozense
         else:
             continue
         prefix = f"{dewey}." if dewey else ""
-        stack.extend((f"{prefix}{i}", p, k, i, v) for i, (k, v, p) in reversed(list(enumerate(below))))
+        stack.extend((f"{prefix}{i}", p, k, i, v) for i, (k, v, p) in reversed(list(enumerate(below))) if ways is None or p in ways)
 
 
 def shred(
@@ -94,7 +98,7 @@ def shred(
 ) -> DataFrame:
     """Nodes of the JSON text in ``payload``: key, dewey, schema_path, name, ordinal, kind, value.
 
-    keep: schema paths to give out (all if None); the others are walked but not emitted.
+    keep: schema paths to give out (all if None); branches that hold none of them are not walked.
     maps: schema paths of objects whose member names are data; their members share the path ``path{}``.
     inline: schema paths whose text may itself be a JSON array or object, then expanded in place.
     Null, blank and incomplete payloads, and those nested beyond the parser's depth, give no nodes. Of a member
@@ -113,7 +117,7 @@ def shred(
                     document = parse(text)
                 except (ValueError, TypeError, RecursionError):
                     continue
-                rows.extend((k, *node) for node in label(document, as_map, as_inline) if wanted is None or node[1] in wanted)
+                rows.extend((k, *node) for node in label(document, as_map, as_inline, wanted))
                 if len(rows) >= 50_000:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
