@@ -5,12 +5,13 @@ components are anchored: one for each subject, seeded with the words that hand-l
 documents of the subject use far more than others and with the words of its description. The
 rest are a language's common words. Alternating multiplicative updates (Kullback-Leibler) run
 over the whole corpus, the sums of a pass being added up by Spark; labelled documents may only
-use the components of their subjects. The components give each sentence its subject or none,
-and a document has the subjects of at least a fifth of its sentences.
+use the components of their subjects. The components give each sentence its subject or none
+(sentences that stand in documents of all subjects alike have none), and a document has the subjects of at least a fifth of its sentences.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -33,6 +34,8 @@ SIGNIFICANT = 3.0
 SPECIFIC = 0.3
 #: Share of a subject's sentence that is common words.
 COMMON_SHARE = 0.85
+#: A sentence is usual if it stands at least so many times and makes up at least such a share of all sentences.
+USUAL, USUAL_SHARE = 20, 1 / 50_000
 PASSES = 5
 #: Words handled at once, which bounds a worker's memory whatever the batch.
 CHUNK = 150_000
@@ -67,8 +70,13 @@ def language(words: list[str]) -> int:
     return 2 if roman and roman * 4 >= len(words) else 0
 
 
+def mark(words: list[str]) -> int:
+    """64 bits that tell one wording of a sentence from others."""
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "big", signed=True)
+
+
 LANGUAGES = 3
-CORPUS = "doc_id long, subjects array<int>, languages array<int>, lengths array<int>, terms array<int>"
+CORPUS = "doc_id long, subjects array<int>, languages array<int>, lengths array<int>, terms array<int>, marks array<long>"
 
 
 def term_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -93,8 +101,8 @@ def term_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
                                 known.clear()
                             t = known[w] = zlib.crc32(w.encode()) % BUCKETS
                         terms.append(t)
-                rows.append((i, [] if tags is None else list(tags), [language(s) for s in found], [len(s) for s in found], terms))
-            yield pd.DataFrame(rows, columns=["doc_id", "subjects", "languages", "lengths", "terms"])
+                rows.append((i, [] if tags is None else list(tags), [language(s) for s in found], [len(s) for s in found], terms, [mark(s) for s in found]))
+            yield pd.DataFrame(rows, columns=["doc_id", "subjects", "languages", "lengths", "terms", "marks"])
 
     return tagged.mapInPandas(run, CORPUS)
 
@@ -106,6 +114,7 @@ class Block:
         self.ids = [r[0] for r in rows]
         self.subjects = [r[1] for r in rows]
         lengths = np.concatenate([np.asarray(r[3], np.int64) for r in rows])
+        self.mark = np.concatenate([np.asarray(r[5], np.int64) for r in rows])
         self.term = np.concatenate([np.asarray(r[4], np.int64) for r in rows])
         self.language = np.concatenate([np.asarray(r[2], np.int64) for r in rows])
         per_doc = np.array([len(r[3]) for r in rows])
@@ -127,7 +136,7 @@ def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
     """Blocks of about CHUNK words; a document is never divided."""
     rows, size = [], 0
     for batch in batches:
-        for row in zip(batch["doc_id"], batch["subjects"], batch["languages"], batch["lengths"], batch["terms"]):
+        for row in zip(batch["doc_id"], batch["subjects"], batch["languages"], batch["lengths"], batch["terms"], batch["marks"]):
             rows.append(row)
             size += len(row[4])
             if size >= CHUNK:
@@ -262,12 +271,15 @@ def fit(corpus: DataFrame, subjects: list[tuple[str, str]]) -> Factors:
     return f
 
 
-def sentence_subjects(b: Block, h: np.ndarray, n: int, rounds: int = 3) -> np.ndarray:
-    """Number of each sentence's subject, n for none: the likeliest given its words and its document's mixture."""
+def sentence_subjects(b: Block, h: np.ndarray, n: int, plain: np.ndarray | None = None, rounds: int = 3) -> np.ndarray:
+    """Number of each sentence's subject, n for none: the likeliest given its words and its document's mixture. Sentences whose mark is in plain (sorted) have none."""
     hc = h[b.cell].astype(np.float64)
     common = hc[:, n:].mean(axis=1) + 1e-9
     none = np.add.reduceat(np.log(common), b.starts)
     own = b.by_sentence(np.log(COMMON_SHARE * common[:, None] + (1 - COMMON_SHARE) * hc[:, :n] + 1e-9))
+    if plain is not None and len(plain):
+        at = np.searchsorted(plain, b.mark)
+        own[plain[np.minimum(at, len(plain) - 1)] == b.mark] = -1e9
     docs = len(b.ids)
     mix, idle = np.full((docs, n), 1 / n), np.full(docs, 0.5)
     for _ in range(rounds):
@@ -281,6 +293,42 @@ def sentence_subjects(b: Block, h: np.ndarray, n: int, rounds: int = 3) -> np.nd
     return p.argmax(axis=1)
 
 
+def plain_sentences(corpus: DataFrame, h, n: int) -> np.ndarray:
+    """Sorted marks of usual sentences that stand in documents of all subjects alike, so say nothing of any.
+
+    Of each usual wording the mean mixture of its documents is taken; it is plain if no subject has a share of SPECIFIC in it. The usual
+    wordings are at most 1 / USUAL_SHARE, whatever the corpus.
+    """
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            marks, times = np.unique(np.concatenate([np.asarray(m, np.int64) for m in batch["marks"]]) if len(batch) else np.empty(0, np.int64), return_counts=True)
+            yield pd.DataFrame({"mark": marks, "n": times})
+
+    seen = durable(corpus.select("marks").mapInPandas(counts, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    usual = np.sort(seen.where(F.col("n") >= max(USUAL, total * USUAL_SHARE)).select("mark").toPandas()["mark"].to_numpy(np.int64))
+    if not len(usual):
+        return usual
+
+    def mixtures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, times = np.zeros((len(usual), n)), np.zeros(len(usual))
+        for b in blocks(batches):
+            hit = np.zeros((len(b.language), n + 1))
+            hit[np.arange(len(hit)), sentence_subjects(b, h.value, n)] = 1
+            mix = (b.by_doc(hit)[:, :n] / b.per_doc[:, None])[b.doc]
+            at = np.minimum(np.searchsorted(usual, b.mark), len(usual) - 1)
+            ours = usual[at] == b.mark
+            np.add.at(sums, at[ours], mix[ours])
+            times += np.bincount(at[ours], minlength=len(usual))
+        found = np.flatnonzero(times)
+        yield pd.DataFrame({"cell": found, **{f"c{k}": sums[found, k] for k in range(n)}, f"c{n}": times[found]})
+
+    sums = corpus.mapInPandas(mixtures, _schema(n + 1)).groupBy("cell").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n + 1)]).toPandas()
+    mean = sums[[f"c{k}" for k in range(n)]].to_numpy() / sums[[f"c{n}"]].to_numpy()
+    return np.sort(usual[sums["cell"].to_numpy()[mean.max(axis=1) < SPECIFIC]])
+
+
 def document_subjects(documents: DataFrame, labels: DataFrame, subject: DataFrame, share: float = 0.2) -> DataFrame:
     """(doc_id, subject): the subjects of at least ``share`` of a document's sentences. Null, empty and wordless texts have none.
 
@@ -296,11 +344,12 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subject: DataFram
     corpus = durable(term_rows(documents, labels.select("doc_id", "subject").join(numbers, "subject").distinct()))
     factors = fit(corpus, listed)
     shared, n, names = spark.sparkContext.broadcast(factors.h), len(listed), [s for s, _ in listed]
+    plain = plain_sentences(corpus, shared, n)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in blocks(batches):
             hit = np.zeros((len(b.language), n + 1), np.int64)
-            hit[np.arange(len(hit)), sentence_subjects(b, shared.value, n)] = 1
+            hit[np.arange(len(hit)), sentence_subjects(b, shared.value, n, plain)] = 1
             d, k = np.nonzero(b.by_doc(hit)[:, :n] >= share * b.per_doc[:, None] - 1e-9)
             yield pd.DataFrame({"doc_id": np.asarray(b.ids)[d], "subject": np.asarray(names, dtype=object)[k]})
 
