@@ -342,7 +342,10 @@ def provenance(spark, load):
     return crawl.provenance(hits, "place_id").select("place_id", F.array_join("found_by", " ").alias("found_by"))
 
 
-@query()
+@query(f"""WITH {VERDICT}, h AS (SELECT raw_id, coalesce(found_by[1], 'none') AS task_key, CASE WHEN coalesce(place_id, '') <> '' THEN place_id ELSE coalesce(name, '') || '|' || coalesce(address, '') END AS place FROM raw_place),
+    o AS (SELECT min(raw_id) AS raw_id FROM h GROUP BY place), j AS (SELECT h.task_key, r.reason FROM o JOIN h USING (raw_id) JOIN r USING (raw_id)),
+    n AS (SELECT task_key, count(*) AS new, count(*) FILTER (WHERE reason = '') AS kept, count(*) FILTER (WHERE reason <> '') AS rejected FROM j GROUP BY 1), f AS (SELECT task_key, count(*) AS found FROM h GROUP BY 1)
+    SELECT task_key, found, coalesce(new, 0) AS new, coalesce(kept, 0) AS kept, coalesce(rejected, 0) AS rejected FROM f LEFT JOIN n USING (task_key)""")
 def crawl_fold(spark, load):
     hits = load("raw_place").withColumn("ord", F.col("raw_id")).withColumn("task_key", F.coalesce(F.try_element_at("found_by", F.lit(1)), F.lit("none")))
     return crawl.fold(hits.drop("found_by", "raw_id"), SCOPE)[2]
@@ -448,7 +451,8 @@ def import_counts(spark, load):
     return report.import_counts(joined.select(outcome.alias("outcome")))
 
 
-@query()
+@query(f"""WITH {MATCH} SELECT min(ord) AS ord, fid, arg_max(new_phone, ord) FILTER (WHERE new_phone <> '') AS phone, arg_max(new_rating, ord) FILTER (WHERE new_rating <> 0) AS rating FROM i WHERE fid <> '' GROUP BY 2
+    UNION ALL SELECT ord, fid, new_phone, new_rating FROM i WHERE fid = ''""")
 def batch_collapse(spark, load):
     items = batch(load).drop("fid").withColumn("hours", F.to_json("hours"))
     return merge.collapse(items).select("ord", "fid", "phone", "rating")

@@ -85,6 +85,15 @@ SQL = {
             UNION ALL SELECT dump_id, place_pos, 'found_by', t FROM s WHERE k = 'found_by')
         SELECT DISTINCT dump_id, place_pos, child, child_key FROM r WHERE trim(child_key) <> ''
     """,
+    "p1_review_table": """
+        WITH d AS (SELECT dump_id, CAST(payload AS JSON) AS j FROM raw_dump WHERE json_valid(payload)),
+          p AS (SELECT d.dump_id, e.key AS place_pos, e.value AS v FROM d, json_each(d.j) e WHERE json_type(d.j) = 'ARRAY'),
+          m AS (SELECT dump_id, place_pos || '.' || (list_position(json_keys(v), 'reviews') - 1) AS parent_dewey,
+              CASE WHEN json_type(v, '$.reviews') = 'VARCHAR' AND json_valid(v ->> 'reviews') AND left(trim(v ->> 'reviews'), 1) IN ('[', '{') THEN CAST(v ->> 'reviews' AS JSON) ELSE json_extract(v, '$.reviews') END AS x FROM p),
+          e AS (SELECT m.dump_id, m.parent_dewey, c.key, c.value FROM m, json_each(m.x) c WHERE json_type(m.x) = 'ARRAY')
+        SELECT dump_id, parent_dewey || '.' || key AS dewey, value ->> 'author' AS author, value ->> 'text' AS text, value ->> 'date' AS date, value ->> 'rating' AS rating, parent_dewey
+        FROM e WHERE coalesce(value ->> 'author', value ->> 'text', value ->> 'date', value ->> 'rating') IS NOT NULL
+    """,
     "p4_found": """
         WITH p AS (SELECT raw_id, latitude AS a, longitude AS b FROM raw_place),
         c AS (SELECT area_id, lat AS a, lng AS b FROM area_centre),
