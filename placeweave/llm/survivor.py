@@ -24,7 +24,7 @@ def blank(df: DataFrame, field: str) -> Column:
     """Whether a value counts as missing: null, blank text, 0, NaN, empty list or map."""
     kind, c = df.schema[field].dataType, F.col(field)
     if isinstance(kind, T.StringType):
-        missing = F.trim(F.regexp_replace(c, r"[\s ​﻿]+", " ")) == ""
+        missing = ~c.rlike(r"(?U)[^\s]")
     elif isinstance(kind, (T.ArrayType, T.MapType)):
         missing = F.size(c) <= 0
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -40,7 +40,7 @@ def place_key(place_id: Column, maps_url: Column) -> Column:
     """The place id that stands in place_id or else in the URL (path or ftid), in lower case with a plain colon; null if none."""
 
     def plain(c: Column) -> Column:
-        return F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"[\s ​﻿]+", " "))), "%3a", ":")
+        return F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), "%3a", ":")
 
     own, url = plain(place_id), F.regexp_extract(plain(maps_url), rf"(?:!1s|[?&]ftid=|[?&]q=)({PLACE_ID})(?![0-9a-f])", 1)
     return F.when(own.rlike(f"^{PLACE_ID}$"), own).otherwise(F.nullif(url, F.lit("")))

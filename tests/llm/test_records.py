@@ -8,7 +8,6 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from placeweave.ddl import schema
 from placeweave.llm import address, canonical, premises, survivor
 from placeweave.schema import LISTING
 
@@ -143,4 +142,3 @@ def test_survivors(spark, seed):
 def test_place_key(spark):
     frame = spark.createDataFrame([("", "https://m.example/?q=X&ftid=0xA:0xB"), (None, "a!1s0x1%3A0x2!8m2"), ("0x5:0x6 ", "a!1s0x1:0x2!"), ("Name", "https://m.example/")], "p string, u string")
     assert [r[0] for r in frame.select(survivor.place_key(F.col("p"), F.col("u"))).collect()] == ["0xa:0xb", "0x1:0x2", "0x5:0x6", None]
-    assert schema("a int").names == ["a"]
