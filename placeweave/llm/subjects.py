@@ -30,6 +30,8 @@ BUCKETS = 131_071
 COMMON = 4
 #: Standard deviations by which a word must exceed its expected count to seed a subject.
 SIGNIFICANT = 3.0
+#: Times its expected count that it must also reach: in a large corpus small differences are significant too.
+MARKED = 2.0
 #: Least share of a word's mass that a subject needs to keep the word.
 SPECIFIC = 0.3
 #: Share of a subject's sentence that is common words.
@@ -233,7 +235,7 @@ def fit(corpus: DataFrame, subjects: list[tuple[str, str]]) -> Factors:
             own = counts[lang, :, k]
             if own.sum():
                 expected = labelled * (own.sum() / labelled.sum())
-                more = (own - expected) / np.sqrt(expected + 0.5) > SIGNIFICANT
+                more = ((own - expected) / np.sqrt(expected + 0.5) > SIGNIFICANT) & (own >= MARKED * expected)
                 mass[lang, more, k] = (own - expected)[more]
                 common[more] *= 0.05
             if lang == 0:
