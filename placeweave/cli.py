@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placeweave.functions import text
 from placeweave.operators import dedupe, merge, report
 from placeweave.plans import config, tasks
+from placeweave.session import ship
 from placeweave.sources import read
 
 
@@ -43,6 +44,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     """Run one command and give what it shows."""
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("placeweave").getOrCreate()
+    ship(spark)
     if args.command == "plan":
         out = tasks.build(spark, config.load(args.file), args.areas)
         out.write.mode("overwrite").parquet(args.out)

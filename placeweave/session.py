@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers of a session this package, once, as a zip that Spark itself distributes."""
+    sc = spark.sparkContext
+    if getattr(sc, "_placeweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="placeweave-package-")
+    with zipfile.ZipFile(f"{folder}/placeweave.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    sc.addPyFile(f"{folder}/placeweave.zip")
+    sc._placeweave_shipped = True
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
 
