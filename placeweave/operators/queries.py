@@ -55,10 +55,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_review_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The flat review table of all dumps, each row still naming its dump, its own label and its parent's."""
-    r = f"{PLACE}.reviews[]"
+    """The flat review table of all dumps, each row still naming its dump, its own label and its parent's.
+
+    A review that stands alone in the member itself has the member's label, and the place's as its parent.
+    """
+    alone = f"{PLACE}.reviews"
+    r = f"{alone}[]"
     fields = {x: x for x in ("author", "text", "date", "rating")}
-    nodes = dump_nodes(load(spark, folder, "raw_dump"), [r, *(f"{r}.{x}" for x in fields)])
+    nodes = dump_nodes(load(spark, folder, "raw_dump"), [r, *(f"{p}.{x}" for p in (r, alone) for x in fields)])
+    nodes = nodes.withColumn("schema_path", F.replace("schema_path", F.lit(f"{alone}."), F.lit(f"{r}.")))
     return nested.table(nodes, r, fields, "dump_id").where(F.coalesce("author", "text", "date", "rating").isNotNull())
 
 
