@@ -347,8 +347,10 @@ def provenance(spark, load):
     n AS (SELECT task_key, count(*) AS new, count(*) FILTER (WHERE reason = '') AS kept, count(*) FILTER (WHERE reason <> '') AS rejected FROM j GROUP BY 1), f AS (SELECT task_key, count(*) AS found FROM h GROUP BY 1)
     SELECT task_key, found, coalesce(new, 0) AS new, coalesce(kept, 0) AS kept, coalesce(rejected, 0) AS rejected FROM f LEFT JOIN n USING (task_key)""")
 def crawl_fold(spark, load):
-    hits = load("raw_place").withColumn("ord", F.col("raw_id")).withColumn("task_key", F.coalesce(F.try_element_at("found_by", F.lit(1)), F.lit("none")))
-    return crawl.fold(hits.drop("found_by", "raw_id"), SCOPE)[2]
+    seen = ("name", "address", "categories", "closed", "latitude", "longitude", "place_id")
+    keys = F.array_distinct(F.array_compact("found_by"))
+    hits = load("raw_place").select("raw_id", *seen, F.posexplode_outer(keys).alias("pos", "key"))
+    return crawl.fold(hits.select(F.struct("raw_id", "pos").alias("ord"), F.coalesce("key", F.lit("none")).alias("task_key"), *seen), SCOPE)[2]
 
 
 @query("""SELECT raw_id FROM raw_place WHERE coalesce(rating, 0) = 0 OR coalesce(len(reviews), 0) = 0 OR coalesce(len(list_filter(images, lambda i: coalesce(i.file, '') <> '')), 0) = 0

@@ -2,8 +2,6 @@
 
 import json
 
-import pytest
-
 import __spark_entry__ as entry
 from placeweave.operators import directory
 from placeweave.operators import queries as core
@@ -21,3 +19,23 @@ def test_review_that_stands_alone(spark, tmp_path):
     folder = tables(tmp_path, raw_dump=spark.createDataFrame([(1, json.dumps(dump))], "dump_id long, payload string"))
     rows = {(r["dewey"], r["parent_dewey"], r["author"], r["text"], r["date"], r["rating"]) for r in core.p1_review_table(spark, folder).collect()}
     assert rows == {("0.1", "0", "Ann", "good", None, "5"), ("1.1.0", "1.1", "Ann", "good", None, "5"), ("1.1.1", "1.1", None, "bad", None, None), ("2.1", "2", "Ann", "good", None, "5")}
+
+
+def raw_places(spark, *rows):
+    base = dict(raw_id=0, name="A", address="", city="", area="", phone="", website="", rating=0.0, review_count=0, latitude=0.0, longitude=0.0, place_id="", categories=["Preschool"], hours={}, description="", google_maps_url="", listing_type="", found_by=None, closed=False)
+    kinds = "raw_id long, name string, address string, city string, area string, phone string, website string, rating double, review_count int, latitude double, longitude double, place_id string, categories array<string>, hours map<string,string>, description string, google_maps_url string, listing_type string, found_by array<string>, closed boolean"
+    return spark.createDataFrame([tuple((base | r).values()) for r in rows], kinds)
+
+
+def test_crawl_fold_takes_all_keys(spark, tmp_path):
+    here = "x, Zarwanabad"
+    rows = [
+        {"raw_id": 1, "place_id": "0x1:0x1", "address": here, "found_by": ["a", "b"]},
+        {"raw_id": 2, "place_id": "0x2:0x2", "address": "x, Elsewhere", "found_by": ["b", None, "c", "b"]},
+        {"raw_id": 3, "place_id": "0x1:0x1", "address": here, "found_by": ["c"]},
+        {"raw_id": 4, "place_id": "0x4:0x4", "address": here, "found_by": []},
+        {"raw_id": 5, "place_id": "0x4:0x4", "address": here, "found_by": None},
+    ]
+    folder = tables(tmp_path, raw_place=raw_places(spark, *rows))
+    got = {tuple(r) for r in directory.QUERIES["crawl_fold"](spark, folder).collect()}
+    assert got == {("a", 1, 1, 1, 0), ("b", 2, 1, 0, 1), ("c", 2, 0, 0, 0), ("none", 2, 1, 1, 0)}
