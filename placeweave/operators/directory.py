@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions import geo, text
@@ -403,6 +403,24 @@ def dedupe_redirects(spark, load):
     moves = pairs.join(path.withColumnRenamed("path", "old_path"), "id").join(path.select(F.col("id").alias("keeper_id"), F.col("path").alias("new_path")), "keeper_id").select("old_path", "new_path")
     known = moves.select(F.concat(F.lit("/old"), "old_path").alias("old_path"), F.col("old_path").alias("new_path")).unionByName(spark.createDataFrame([("/stay/", "/about/")], "old_path string, new_path string"))
     return dedupe.redirects(known, moves)
+def homed(load):
+    """All raw places with the city_id of their row.
+
+    It is that of the city's slug, else of the city that the address names. Cities in neither get the next free ids in order of their slugs,
+    as they would be created; rows that name no city are in city 0.
+    """
+    city = load("city")
+    own, said = (text.none_if_empty(text.slugify(c, 100, "")) for c in ("city", text.address_city("address")))
+    known = city.select("slug", F.col("id").cast("long").alias("id"))
+    new = merge.missing_cities(load("raw_place").select(F.trim("city").alias("name")), city).where("slug <> ''")
+    number = F.row_number().over(Window.orderBy("slug"))
+    fresh = new.crossJoin(known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))).select(F.col("slug").alias("_own"), (F.col("last") + number).alias("_new"))
+    rows = load("raw_place").withColumn("_own", own).withColumn("_said", said)
+    for key, found in (("_own", "_id"), ("_said", "_by_address")):
+        rows = rows.join(known.select(F.col("slug").alias(key), F.col("id").alias(found)), key, "left")
+    return rows.join(fresh, "_own", "left").withColumn("city_id", F.coalesce("_id", "_by_address", "_new", F.lit(0))).drop("_own", "_said", "_id", "_by_address", "_new")
+
+
 
 
 def batch(load):
@@ -493,5 +511,5 @@ def lock_edited(spark, load):
 @query("""WITH n AS (SELECT DISTINCT trim(area, ' ') AS name, lower(regexp_replace(trim(area, ' '), '[^A-Za-z0-9]+', '-', 'g')) AS slug FROM raw_place WHERE regexp_full_match(trim(area, ' '), '[A-Za-z]+-[0-9]+'))
     SELECT 1::BIGINT AS city_id, slug, min(name) AS name FROM n WHERE slug NOT IN (SELECT slug FROM area WHERE city_id = 1) GROUP BY 2""")
 def missing_areas(spark, load):
-    needed = load("raw_place").select(F.lit(1).cast("long").alias("city_id"), F.trim("area").alias("name")).where(F.col("name").rlike(r"^[A-Za-z]+-[0-9]+$"))
+    needed = homed(load).select("city_id", F.trim("area").alias("name"))
     return merge.missing_areas(needed, load("area")).select("city_id", "slug", "name")

@@ -2,7 +2,6 @@
 
 import json
 
-import __spark_entry__ as entry
 from placeweave.operators import directory
 from placeweave.operators import queries as core
 
@@ -39,3 +38,22 @@ def test_crawl_fold_takes_all_keys(spark, tmp_path):
     folder = tables(tmp_path, raw_place=raw_places(spark, *rows))
     got = {tuple(r) for r in directory.QUERIES["crawl_fold"](spark, folder).collect()}
     assert got == {("a", 1, 1, 1, 0), ("b", 2, 1, 0, 1), ("c", 2, 0, 0, 0), ("none", 2, 1, 1, 0)}
+
+
+CITY, AREA = "id long, name string, slug string", "id long, city_id long, slug string"
+
+
+def cities(spark):
+    return spark.createDataFrame([(1, "Zarwanabad", "zarwanabad"), (2, "Kelmirpur", "kelmirpur")], CITY)
+
+
+def test_missing_areas_of_all_cities(spark, tmp_path):
+    typed = [
+        ("F-7", "Zarwanabad", ""), ("Palm Town 2", " ZARWANABAD", ""), ("G-9", "Kelmirpur", ""), ("F-7", "Kelmirpur", ""), ("Lake View", "Kelmirpr", "x, Kelmirpur, Pakistan"),
+        ("Old Fort", "Elsewhere", "x"), ("Mill End", None, "x, Zarwanabad"), ("Nowhere", "", ""), (" ", "Kelmirpur", ""), (None, "Kelmirpur", ""),
+    ]
+    rows = [{"raw_id": i, "area": a, "city": c, "address": d} for i, (a, c, d) in enumerate(typed)]
+    folder = tables(tmp_path, raw_place=raw_places(spark, *rows), city=cities(spark), area=spark.createDataFrame([(1, 1, "f-7")], AREA))
+    got = {tuple(r) for r in directory.QUERIES["missing_areas"](spark, folder).collect()}
+    # "Kelmirpr" would be city 4 by its slug, but the address knows better; "Elsewhere" is 3, none at all 0
+    assert got == {(1, "palm-town-2", "Palm Town 2"), (2, "g-9", "G-9"), (2, "f-7", "F-7"), (2, "lake-view", "Lake View"), (3, "old-fort", "Old Fort"), (1, "mill-end", "Mill End"), (0, "nowhere", "Nowhere")}
