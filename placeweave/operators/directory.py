@@ -180,8 +180,7 @@ def sector_extract(spark, load):
 
 @query("SELECT raw_id, regexp_extract(coalesce(address, ''), '(?i)\\b(f-\\d+(?:/\\d+)?)\\b', 1) AS f_area FROM raw_place WHERE NOT regexp_matches(coalesce(address, ''), '[^\\x00-\\x7F]')")
 def first_form(spark, load):
-    rows = load("raw_place").where(~F.coalesce("address", F.lit("")).rlike(r"[^\x00-\x7F]"))
-    return rows.select("raw_id", F.coalesce(text.first_form("address", text.AREA_FORMS[:1]), F.lit("")).alias("f_area"))
+    return load("raw_place").select("raw_id", text.first_form("address").alias("f_area"))
 
 
 @query("""SELECT raw_id, trim(regexp_replace(regexp_replace(name, '[\\x{E000}-\\x{F8FF}]', '', 'g'), '\\s+', ' ', 'g'), ' ') AS cleaned,

@@ -57,3 +57,11 @@ def test_missing_areas_of_all_cities(spark, tmp_path):
     got = {tuple(r) for r in directory.QUERIES["missing_areas"](spark, folder).collect()}
     # "Kelmirpr" would be city 4 by its slug, but the address knows better; "Elsewhere" is 3, none at all 0
     assert got == {(1, "palm-town-2", "Palm Town 2"), (2, "g-9", "G-9"), (2, "f-7", "F-7"), (2, "lake-view", "Lake View"), (3, "old-fort", "Old Fort"), (1, "mill-end", "Mill End"), (0, "nowhere", "Nowhere")}
+
+
+def test_first_form_takes_all_forms(spark, tmp_path):
+    want = {"Street 11, I-12/3": "I-12/3", "G-9, near F-7": "F-7", "é, g-10": "g-10", "éF-7": "", "Main Bani Gala": "Bani Gala", "DHA Phase 2": "DHA Phase 2", "": ""}
+    rows = [{"raw_id": i, "address": a} for i, a in enumerate([*want, None])]
+    folder = tables(tmp_path, raw_place=raw_places(spark, *rows))
+    got = {r["raw_id"]: r["f_area"] for r in directory.QUERIES["first_form"](spark, folder).collect()}
+    assert got == dict(enumerate([*want.values(), ""]))
