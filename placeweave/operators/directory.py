@@ -193,9 +193,8 @@ def clean_and_exclude(spark, load):
     b AS (SELECT raw_id, coalesce(nullif(base, ''), 'daycare') AS base FROM s), n AS (SELECT raw_id, base, row_number() OVER (PARTITION BY base ORDER BY raw_id) - 1 AS i FROM b)
     SELECT raw_id, CASE WHEN i = 0 THEN base ELSE base || '-' || i END AS slug FROM n""")
 def slugs(spark, load):
-    rows = load("raw_place").select("raw_id", F.lit(0).alias("city_id"), text.slugify("name").alias("base"))
-    none = rows.limit(0).select("city_id", F.col("base").alias("slug"))
-    return merge.unique_slugs(rows, none, order="raw_id").select("raw_id", "slug")
+    rows = homed(load).select("raw_id", "city_id", text.slugify("name").alias("base"))
+    return merge.unique_slugs(rows, load("listing").select("city_id", "slug"), order="raw_id").select("raw_id", "slug")
 
 
 @query("""SELECT 'area:' || a.name || '|' || k.k AS key, k.k || ' in ' || a.name || ' Zarwanabad' AS query FROM area a, (VALUES ('daycare'), ('montessori'), ('nursery')) k(k) WHERE a.city_id = 1""")
@@ -402,6 +401,8 @@ def dedupe_redirects(spark, load):
     moves = pairs.join(path.withColumnRenamed("path", "old_path"), "id").join(path.select(F.col("id").alias("keeper_id"), F.col("path").alias("new_path")), "keeper_id").select("old_path", "new_path")
     known = moves.select(F.concat(F.lit("/old"), "old_path").alias("old_path"), F.col("old_path").alias("new_path")).unionByName(spark.createDataFrame([("/stay/", "/about/")], "old_path string, new_path string"))
     return dedupe.redirects(known, moves)
+
+
 def homed(load):
     """All raw places with the city_id of their row.
 
@@ -420,8 +421,6 @@ def homed(load):
     return rows.join(fresh, "_own", "left").withColumn("city_id", F.coalesce("_id", "_by_address", "_new", F.lit(0))).drop("_own", "_said", "_id", "_by_address", "_new")
 
 
-
-
 def batch(load):
     """The raw places of known cities as import items."""
     city = load("city").select(F.col("id").alias("city_id"), F.lower("name").alias("c"))
@@ -464,10 +463,9 @@ def unseen_count(spark, load):
 
 @query(f"WITH {MATCH} SELECT CASE WHEN f.ord IS NULL THEN 'created' WHEN tier <= 2 THEN 'updated (matched by place ID)' WHEN tier = 3 THEN 'updated (matched by old-style ID)' WHEN tier = 4 THEN 'updated (matched by name + location)' ELSE 'updated (matched by name only)' END AS outcome, count(*) AS n FROM i LEFT JOIN f USING (ord) GROUP BY 1")
 def import_counts(spark, load):
-    items = batch(load)
-    joined = items.select("ord").join(merge.match(items, load("listing")), "ord", "left")
-    outcome = F.when(F.col("method").isNull(), "created").otherwise(F.concat(F.lit("updated (matched by "), "method", F.lit(")")))
-    return report.import_counts(joined.select(outcome.alias("outcome")))
+    items = homed(load).withColumnRenamed("raw_id", "ord").withColumnRenamed("google_maps_url", "maps_url")
+    result = merge.import_batch(items.select("ord", "city_id", "place_id", *[f for f in merge.FIELDS if f in items.columns]), load("listing"), SCOPE.exclude)
+    return report.import_counts(result["outcomes"].select("outcome").unionByName(result["skipped"].select("outcome")))
 
 
 @query(f"""WITH {MATCH} SELECT min(ord) AS ord, fid, arg_max(new_phone, ord) FILTER (WHERE new_phone <> '') AS phone, arg_max(new_rating, ord) FILTER (WHERE new_rating <> 0) AS rating FROM i WHERE fid <> '' GROUP BY 2

@@ -18,8 +18,8 @@ def with_fid(items: DataFrame) -> DataFrame:
     return items.withColumn("fid", text.place_id("place_id", "maps_url"))
 
 
-def collapse(items: DataFrame, order: str = "ord") -> DataFrame:
-    """One row for each place id of the batch: every field from the last row that fills it, the first row's position. Rows without an id stay.
+def collapse(items: DataFrame, order: str = "ord", by: tuple[str, ...] = ("fid",)) -> DataFrame:
+    """One row for each place id (or what ``by`` names) of the batch: every field from the last row that fills it, the first row's position. Rows without an id stay.
 
     This is what importing them one after the other would leave, as each would match the row before.
     """
@@ -27,10 +27,10 @@ def collapse(items: DataFrame, order: str = "ord") -> DataFrame:
     named, alone = keyed.where("fid <> ''"), keyed.where("fid = ''")
     aggs = [F.min(order).alias(order)]
     for c in items.columns:
-        if c != order:
+        if c != order and c not in by:
             filled = ~is_empty(c, items.schema[c].dataType)
             aggs.append(F.max_by(F.when(filled, F.col(c)), F.when(filled, F.col(order))).alias(c))
-    return named.groupBy("fid").agg(*aggs).select(*keyed.columns).unionByName(alone)
+    return named.groupBy(*by).agg(*aggs).select(*keyed.columns).unionByName(alone)
 
 
 def _prefixes(pid: Column) -> Column:
@@ -152,12 +152,12 @@ def import_batch(items: DataFrame, listing: DataFrame, exclude: tuple[str, ...]
     """A batch (ord, city_id, place_id, maps_url and the listing's fields) against the listings: nothing is written, so a dry run is the same call.
 
     Gives updated (all listings), created (new rows with slug, no id yet), outcomes (ord, outcome, id) and skipped (ord, outcome). Rows of the
-    batch with one place id are one item. An item without an id doesn't match another one of the same batch.
+    batch with one place id in one city are one item. An item without an id doesn't match another one of the same batch.
     """
     name = F.trim(F.coalesce("name", F.lit("")))
     out = F.coalesce(*[F.when(text.icontains("address", a), F.lit(a)) for a in exclude], F.lit(None).cast("string"))
     judged = items.withColumn("name", name).withColumn("_skip", F.when(name == "", "skipped (no name)").when(out.isNotNull(), F.concat(F.lit("skipped (excluded area: "), out, F.lit(")"))))
-    real = with_fid(collapse(judged.where("_skip IS NULL").drop("_skip")).drop("fid"))
+    real = with_fid(collapse(judged.where("_skip IS NULL").drop("_skip"), by=("city_id", "fid")).drop("fid"))
     found = match(real, listing)
     matched = real.join(found.select("ord", "id", "method"), "ord", "left")
     changes = matched.where("id IS NOT NULL")

@@ -4,6 +4,7 @@ import json
 
 from placeweave.operators import directory
 from placeweave.operators import queries as core
+from placeweave.schema import LISTING
 
 
 def tables(folder, **frames):
@@ -65,3 +66,23 @@ def test_first_form_takes_all_forms(spark, tmp_path):
     folder = tables(tmp_path, raw_place=raw_places(spark, *rows))
     got = {r["raw_id"]: r["f_area"] for r in directory.QUERIES["first_form"](spark, folder).collect()}
     assert got == dict(enumerate([*want.values(), ""]))
+
+
+def listings(spark, *rows):
+    base = dict.fromkeys(LISTING.names) | {"locked_fields": []}
+    return spark.createDataFrame([tuple((base | dict(zip(("id", "name", "slug", "city_id", "place_id"), r))).values()) for r in rows], LISTING)
+
+
+def test_import_counts_takes_the_whole_batch(spark, tmp_path):
+    typed = [
+        ("Old", "0x1:0x1", "Zarwanabad", ""), ("Old", "0x1:0x1", "zarwanabad", ""), ("New", "0x2:0x2", "Zarwanabad", ""), ("New", "0x2:0x2", "Zarwanabad ", ""), ("New", "0x2:0x2", "Kelmirpur", ""),
+        ("Lost", "0x3:0x3", "", ""), ("Far", "0x4:0x4", "Elsewhere", ""), (" ", "0x5:0x5", "Zarwanabad", ""), ("Out", "0x6:0x6", "Zarwanabad", "x, Kharmeez"), ("Hint", "0x7:0x7", None, "x, Kelmirpur"),
+    ]
+    rows = [{"raw_id": i, "name": n, "place_id": p, "city": c, "address": a} for i, (n, p, c, a) in enumerate(typed)]
+    old = [(1, "Old", "old", 1, "0x1:0x1"), (2, "Hint", "hint", 2, "0x7:0x7"), (3, "Far", "new", 2, "0x8:0x8")]
+    known = listings(spark, *old)
+    folder = tables(tmp_path, raw_place=raw_places(spark, *rows), city=cities(spark), listing=known)
+    got = {r["outcome"]: r["n"] for r in directory.QUERIES["import_counts"](spark, folder).collect()}
+    assert got == {"updated (matched by place ID)": 2, "created": 4, "skipped (no name)": 1, "skipped (excluded area: Kharmeez)": 1}
+    slugs = {r["raw_id"]: r["slug"] for r in directory.QUERIES["slugs"](spark, folder).collect()}
+    assert [slugs[i] for i in range(7)] == ["old-1", "old-2", "new", "new-1", "new-1", "lost", "far"] and slugs[9] == "hint-1"
