@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.session import spread
+from placeweave.session import durable, join_hot, spread
 
 #: Words before a name that aren't part of it.
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "engr", "prof", "sir", "madam", "mam", "aunty", "auntie", "uncle", "teacher", "ustad", "baji", "syed", "hafiz")
@@ -209,16 +209,47 @@ def find_author(author: str | None, lexicon: frozenset[str]) -> list[Case]:
     return out
 
 
-def learned_names(reviews: DataFrame, known: DataFrame, least: int = 3, most: int = 100_000) -> frozenset[str]:
-    """Known names, and words that stand beside a known one in at least ``least`` authors. Beyond ``most`` words only the known are used."""
+def learned_names(reviews: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
+    """(name) of the known names, and of words that stand beside a known one in at least ``least`` authors; distinct."""
     words = F.regexp_extract_all(F.lower(F.regexp_replace("author", r"(?i)^\s*(mrs?|ms|miss|dr|engr|prof)\b\.?", "")), F.lit(r"(\p{L}{2,})"), 1)
     names = known.select(F.lower(F.trim("name")).alias("name")).where(F.col("name") != "").distinct()
     pairs = reviews.select(words.alias("w")).where((F.size("w") == 2) & ~F.exists("w", lambda x: x.isin(list(ROLES)))).groupBy("w").count()
     sides = pairs.select(F.inline(F.array(F.struct(F.col("w")[0].alias("name"), F.col("w")[1].alias("other"), "count"), F.struct(F.col("w")[1].alias("name"), F.col("w")[0].alias("other"), "count"))))
     found = sides.join(names, "name", "left_semi").groupBy(F.col("other").alias("name")).agg(F.sum("count").alias("n")).where(F.col("n") >= least).select("name")
-    own = [r["name"] for r in names.limit(most).collect()]
-    more = [r["name"] for r in found.limit(most + 1).collect()]
-    return frozenset(own) | (frozenset(more) if len(more) <= most else frozenset())
+    return names.unionByName(found).distinct()
+
+
+_RUN = re.compile(rf"{_LETTERS}+")
+
+
+def asked_words(text: str | None) -> set[str]:
+    """Every word of a text that may be looked up among the names: runs of letters, and two of them around an apostrophe, in lower case."""
+    plain = (text or "").translate(DIGITS)
+    runs = list(_RUN.finditer(plain))
+    joined = {plain[a.start() : b.end()] for a, b in zip(runs, runs[1:]) if plain[a.end() : b.start()] in ("'", "’")}
+    return {w.lower() for w in joined.union(m[0] for m in runs)}
+
+
+#: As many names are shared with all workers; of more each row gets those of its own words by a join.
+MOST_SHARED = 100_000
+
+
+def with_names(reviews: DataFrame, known: DataFrame) -> tuple[DataFrame, frozenset[str] | None]:
+    """(review_id, author, text, names) with all names shared and names null, or with the names among each row's own words and None."""
+    slim = reviews.select("review_id", "author", "text")
+    lexicon = learned_names(reviews, known)
+    short = [r["name"] for r in lexicon.limit(MOST_SHARED + 1).collect()]
+    if len(short) <= MOST_SHARED:
+        return spread(slim, "review_id").withColumn("names", F.lit(None).cast("array<string>")), frozenset(short)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, w) for i, author, text in zip(batch["review_id"], batch["author"], batch["text"]) for w in asked_words(author) | asked_words(text)]
+            yield pd.DataFrame(rows, columns=["id", "name"])
+
+    asked = durable(spread(slim, "review_id").mapInPandas(ask, "id long, name string"))
+    own = join_hot(asked, lexicon, ["name"]).groupBy("id").agg(F.collect_set("name").alias("names"))
+    return slim.join(own, F.col("review_id").eqNullSafe(F.col("id")), "left").select("review_id", "author", "text", F.coalesce("names", F.array().cast("array<string>")).alias("names")), None
 
 
 FOUND = "review_id long, field string, kind string, start_pos int"
@@ -226,17 +257,18 @@ FOUND = "review_id long, field string, kind string, start_pos int"
 
 def find_cases(reviews: DataFrame, known: DataFrame) -> DataFrame:
     """(review_id, field, kind, start_pos) of every case in author and text; start_pos counts code points from 1."""
-    lexicon = learned_names(reviews, known)
+    named, shared = with_names(reviews, known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, author, text in zip(batch["review_id"], batch["author"], batch["text"]):
+            for i, author, text, names in zip(batch["review_id"], batch["author"], batch["text"], batch["names"]):
+                lexicon = frozenset(names) if shared is None else shared
                 rows += [(i, "author", c.kind, c.start + 1) for c in find_author(author, lexicon)]
                 rows += [(i, "text", c.kind, c.start + 1) for c in find(text, lexicon)]
             yield pd.DataFrame(rows, columns=["review_id", "field", "kind", "start_pos"])
 
-    return spread(reviews.select("review_id", "author", "text"), "review_id").mapInPandas(run, FOUND)
+    return named.mapInPandas(run, FOUND)
 
 
 def permute(digits: str, key: bytes, rounds: int = 10) -> str:
@@ -292,7 +324,7 @@ def placeholder(value: str, kind: str, key: bytes) -> str:
 
 def redact(reviews: DataFrame, known: DataFrame, key: bytes) -> DataFrame:
     """reviews (review_id, author, text) with every case replaced; null stays null and text without cases stays as it is."""
-    lexicon = learned_names(reviews, known)
+    named, shared = with_names(reviews, known)
 
     def clean(value: str | None, cases: list[Case]) -> str | None:
         for c in reversed(cases):
@@ -301,8 +333,9 @@ def redact(reviews: DataFrame, known: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["author"] = [clean(a, find_author(a, lexicon)) for a in batch["author"]]
-            batch["text"] = [clean(t, find(t, lexicon)) for t in batch["text"]]
+            lexicons = [shared if shared is not None else frozenset(names) for names in batch.pop("names")]
+            batch["author"] = [clean(a, find_author(a, x)) for a, x in zip(batch["author"], lexicons)]
+            batch["text"] = [clean(t, find(t, x)) for t, x in zip(batch["text"], lexicons)]
             yield batch
 
-    return spread(reviews.select("review_id", "author", "text"), "review_id").mapInPandas(run, "review_id long, author string, text string")
+    return named.mapInPandas(run, "review_id long, author string, text string")
