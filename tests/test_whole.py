@@ -2,7 +2,6 @@
 
 import json
 
-from placeweave.llm import personal
 from placeweave.operators import directory
 from placeweave.operators import queries as core
 from placeweave.schema import LISTING
@@ -87,15 +86,3 @@ def test_import_counts_takes_the_whole_batch(spark, tmp_path):
     assert got == {"updated (matched by place ID)": 2, "created": 4, "skipped (no name)": 1, "skipped (excluded area: Kharmeez)": 1}
     slugs = {r["raw_id"]: r["slug"] for r in directory.QUERIES["slugs"](spark, folder).collect()}
     assert [slugs[i] for i in range(7)] == ["old-1", "old-2", "new", "new-1", "new-1", "lost", "far"] and slugs[9] == "hint-1"
-
-
-def test_names_beyond_the_shared_ones(spark, monkeypatch):
-    made = [(f"x{chr(97 + i % 26)}{chr(97 + i // 26)}q",) for i in range(300)]
-    known = spark.createDataFrame([*made, ("Sidra",), ("O'Nabeel",), ("Ali",)], "name string")
-    texts = [("Sidra", "ask for sidra. Great"), ("Komal", "spoke to o'nabeel and left"), ("Ali Komal", "Dr. Komal Ali is the best"), ("Ali Komal", None), ("Komal Ali", "Ali O'Nabeel"), (None, ""), ("Nobody", "thanks to Nobody")]
-    reviews = spark.createDataFrame([(i if i else None, a, t) for i, (a, t) in enumerate(texts)], "review_id long, author string, text string")
-    shared = {tuple(r) for r in personal.find_cases(reviews, known).collect()}, {tuple(r) for r in personal.redact(reviews, known, b"k").collect()}
-    monkeypatch.setattr(personal, "MOST_SHARED", 100)
-    joined = {tuple(r) for r in personal.find_cases(reviews, known).collect()}, {tuple(r) for r in personal.redact(reviews, known, b"k").collect()}
-    assert joined == shared
-    assert {(None, "author", "name", 1), (1, "author", "name", 1)} <= joined[0]
