@@ -66,17 +66,103 @@ def test_placeholders():
     assert personal.placeholder("a (at) b (dot) test", "email", KEY) == personal.placeholder("a@b.test", "email", KEY)
 
 
+#: Contexts that are in none of the operator's lists.
+HELD_OUT = [
+    "{} helped us a lot.", "We saw {} yesterday.", "I want to say how much {} cares.", "All because of {}!", "Everyone adores {}.", "Sadly {} moved to another branch.", "The new nurse {} knows every child.",
+    "Big hug for {}.", "My kid asks for {} every morning.", "{} made our year.", "It was {} who opened the door.", "They replaced {} without notice.", "You can reach {} at the desk.", "{}, you are a star.",
+    "A special mention of {} here.", "Only {} answered our calls.", "We still miss {} so much.", "Complaint against {} was ignored.", "Lunch by {} tastes good.", "Between {} and the rest there is no contest.",
+]
+PEOPLE = ["Sana Khanzada", "Bilal", "Noor Darmakhel", "S. Korvesh", "kiran zhortani", "BILAL KORVESH", "Sana T."]
+
+
+def test_held_out_contexts():
+    spans = [(c.format(n), c.index("{}"), n) for c in HELD_OUT for n in PEOPLE]
+    found = [personal.Case(at, at + len(n), "name") in personal.find(text, LEXICON) for text, at, n in spans]
+    starts = [at in {c.start for c in personal.find(text, LEXICON) if c.kind == "name"} for text, at, n in spans]
+    assert sum(starts) >= 0.95 * len(spans) and sum(found) >= 0.9 * len(spans), (sum(starts), sum(found), len(spans))
+
+
+@pytest.mark.parametrize("text,name", [("Kudos to Sana Khan!", "Sana Khan"), ("Sana Khan helped us a lot.", "Sana Khan"), ("We met Sana Khan yesterday.", "Sana Khan"), ("I want to praise Sana Khan for her work.", "Sana Khan"), ("we trust sana khan.", "sana khan"), ("Sana's patience", "Sana"), ("Mr. Unheard Of left", "Unheard"), ("We met Zorvan there.", "Zorvan")])
+def test_name_anywhere(text, name):
+    assert [text[c.start : c.stop] for c in personal.find(text, LEXICON)] == [name]
+
+
+@pytest.mark.parametrize("text", ["Noor Hospital is near", "the Grace period ends", "Kiran Town road works", "no grace was shown", "Great Staff, thanks to Everyone", "We met The Principal"])
+def test_no_name(text):
+    assert personal.find(text, LEXICON) == []
+
+
+def test_usual_words(spark):
+    rows = [(1, "Sana Korvesh", "Overpriced place"), (2, "Zorvan Korvesh", "Zorvan is so kind"), (3, "Parent", None), (4, None, "  ")]
+    frame = spark.createDataFrame(rows, "review_id long, author string, text string")
+    assert personal.usual_words(frame) == {"overpriced"} and personal.usual_words(frame.limit(0)) == frozenset()
+
+
+def test_linkage():
+    """Equal values have equal placeholders however they are written, others have others."""
+    phones = {f"039{i % 10}-{3109057 + i}": [f"+92 39{i % 10} {3109057 + i}", f"0092 39{i % 10} {3109057 + i}"] for i in range(300)}
+    last = lambda v: "".join(filter(str.isdigit, personal.placeholder(v, "phone", KEY)))[-10:]
+    tags = {p: {last(v) for v in (p, *forms)} for p, forms in phones.items()}
+    assert all(len(t) == 1 for t in tags.values()) and len(set.union(*tags.values())) == len(phones)
+    ids = [f"{i:05d}-1234567-{i % 10}" for i in range(300)]
+    hidden = {personal.placeholder(i, "id_number", KEY) for i in ids}
+    assert len(hidden) == 300 and all(len(h) == len("<ID >") + 15 for h in hidden)
+    assert personal.placeholder("95836-9874931-8", "id_number", KEY).replace("-", "") == personal.placeholder("9583698749318", "id_number", KEY)
+    tag = personal.placeholder("Sana  KORVESH", "name", KEY)
+    assert tag == personal.placeholder("sana korvesh", "name", KEY) and len(tag) == len("<NAME >") + 32
+    assert personal.placeholder("0393-3109057", "phone", b"other") != personal.placeholder("0393-3109057", "phone", KEY)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dates(), st.sampled_from(["%d/%m/%Y", "%d-%m-%Y", "%Y-%m-%d"]))
+def test_dates(day, form):
+    text = f"{day:%Y}".zfill(4) and day.strftime(form)
+    new = personal.dated(text, KEY)
+    if 1900 <= day.year <= 2099:
+        m = personal.DATE.fullmatch(new)
+        assert m and personal.as_date(m) and len(new) == len(text)
+        assert personal.other_day(day, KEY) == personal.other_day(day, KEY)
+
+
+def test_days_are_permuted():
+    import datetime as dt
+
+    days = [dt.date.fromordinal(personal.FIRST_DAY + i) for i in range(3000)]
+    assert len({personal.other_day(d, KEY) for d in days}) == 3000
+
+
+def test_extra_kinds():
+    text = "My DOB is 12/03/1985, card 4111 1111 1111 1111 or 4111 1111 1111 1112; visited on 01/02/2024, born 31/02/2000."
+    found = [(c.kind, text[c.start : c.stop]) for c in personal.find(text, LEXICON, personal.EXTRA)]
+    assert found == [("birth_date", "12/03/1985"), ("card", "4111 1111 1111 1111")]
+    assert not [c for c in personal.find(text, LEXICON) if c.kind in personal.EXTRA]
+    card = personal.placeholder("4111 1111 1111 1111", "card", KEY)
+    assert personal.checks("".join(filter(str.isdigit, card))) and card.count(" ") == 4
+
+
 def test_redact(spark):
     rows = [(1, "Sana Korvesh", "Ask for Sana Korvesh at the front desk."), (2, None, None), (3, "Parent", "  "), (4, "Sana Zhortani", "fine"), (5, "Sana Zhortani", ""), (6, "Sana Zhortani", "é 😊 Zhortani is so patient")]
     frame = spark.createDataFrame(rows, "review_id long, author string, text string").selectExpr("*", "1 AS kind")
     known = spark.createDataFrame([("Sana", "given"), (None, "given")], "name string, kind string")
     out = {r[0]: r for r in personal.redact(frame, known, KEY).collect()}
-    assert out[1]["author"] == out[1]["text"][8:25] and out[2]["text"] is None and out[3]["text"] == "  " and out[3]["author"] == "Parent"
+    assert out[1]["author"] == out[1]["text"][8:47] and out[2]["text"] is None and out[3]["text"] == "  " and out[3]["author"] == "Parent"
     cases = {tuple(r) for r in personal.find_cases(frame, known).collect()}
     assert (6, "text", "name", 5) in cases and (1, "author", "name", 1) in cases
     assert personal.find_cases(frame.limit(0), known).count() == 0
 
 
+def test_names_beyond_the_shared_ones(spark, monkeypatch):
+    made = [(f"x{chr(97 + i % 26)}{chr(97 + i // 26)}q",) for i in range(300)]
+    known = spark.createDataFrame([*made, ("Sidra",), ("O'Nabeel",), ("Ali",)], "name string")
+    texts = [("Sidra", "ask for sidra. Great"), ("Komal", "spoke to o'nabeel and left"), ("Ali Komal", "Dr. Komal Ali is the best"), ("Ali Komal", None), ("Komal Ali", "Ali O'Nabeel"), (None, ""), ("Nobody", "thanks to Nobody")]
+    reviews = spark.createDataFrame([(i if i else None, a, t) for i, (a, t) in enumerate(texts)], "review_id long, author string, text string")
+    shared = {tuple(r) for r in personal.find_cases(reviews, known).collect()}, {tuple(r) for r in personal.redact(reviews, known, b"k").collect()}
+    monkeypatch.setattr(personal, "MOST_SHARED", 100)
+    joined = {tuple(r) for r in personal.find_cases(reviews, known).collect()}, {tuple(r) for r in personal.redact(reviews, known, b"k").collect()}
+    assert joined == shared
+    assert {(None, "author", "name", 1), (1, "author", "name", 1)} <= joined[0]
+
+
 real = pytest.mark.skipif(not os.path.isdir(tokens.TOKENIZER_DIR), reason="no tokenizer files")
 
 
