@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -459,20 +460,20 @@ def find_cases(reviews: DataFrame, known: DataFrame, extra: tuple[str, ...] = ()
     named, shared = with_names(reviews, known)
     words = reviews.sparkSession.sparkContext.broadcast((shared, usual_words(reviews)))  # at most MOST_SHARED and 1 / USUAL_SHARE words
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = finder(*words.value, extra)
         for batch in batches:
             ids, fields, kinds, starts = [], [], [], []
-            for i, author, text, names in zip(batch["review_id"], batch["author"], batch["text"], batch["names"]):
+            for i, author, text, names in zip(*(c.to_pylist() for c in batch.columns)):
                 for field, cases in zip(("author", "text"), both(author, text, names)):
                     for c in cases:
                         ids.append(i)
                         fields.append(field)
                         kinds.append(c.kind)
                         starts.append(c.start + 1)
-            yield pd.DataFrame({"review_id": ids, "field": fields, "kind": kinds, "start_pos": starts})
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(kinds, pa.string()), pa.array(starts, pa.int32())], ["review_id", "field", "kind", "start_pos"])
 
-    return named.mapInPandas(run, FOUND)
+    return named.mapInArrow(run, FOUND)
 
 
 def permute(digits: str, key: bytes, rounds: int = 10) -> str:
@@ -571,13 +572,14 @@ def redact(reviews: DataFrame, known: DataFrame, key: bytes, extra: tuple[str, .
             value = value[: c.start] + placeholder(value[c.start : c.stop], c.kind, key) + value[c.stop :]
         return value
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = finder(*words.value, extra)
         for batch in batches:
-            rows = []
-            for i, author, text, names in zip(batch["review_id"], batch["author"], batch["text"], batch["names"]):
+            authors, texts = [], []
+            for author, text, names in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 one, two = both(author, text, names)
-                rows.append((i, clean(author, one), clean(text, two)))
-            yield pd.DataFrame(rows, columns=["review_id", "author", "text"])
+                authors.append(clean(author, one))
+                texts.append(clean(text, two))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(authors, pa.string()), pa.array(texts, pa.string())], ["review_id", "author", "text"])
 
-    return named.mapInPandas(run, "review_id long, author string, text string")
+    return named.mapInArrow(run, "review_id long, author string, text string")
