@@ -376,10 +376,10 @@ def _author_words(reviews: DataFrame) -> DataFrame:
     return reviews.select(found.alias("w")).where((F.size("w") > 0) & ~F.exists("w", lambda x: x.isin(list(ROLES)))).groupBy("w").count()
 
 
-def learned_names(reviews: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
-    """(name) of the known names, and of words that stand beside a known one in at least ``least`` authors; distinct."""
+def learned_names(authors: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
+    """(name) of the known names, and of words that stand beside a known one in at least ``least`` authors (rows of _author_words); distinct."""
     names = known.select(F.lower(F.trim("name")).alias("name")).where(F.col("name") != "").distinct()
-    pairs = _author_words(reviews).where(F.size("w") == 2)
+    pairs = authors.where(F.size("w") == 2)
     sides = pairs.select(F.inline(F.array(F.struct(F.col("w")[0].alias("name"), F.col("w")[1].alias("other"), "count"), F.struct(F.col("w")[1].alias("name"), F.col("w")[0].alias("other"), "count"))))
     found = sides.join(names, "name", "left_semi").groupBy(F.col("other").alias("name")).agg(F.sum("count").alias("n")).where(F.col("n") >= least).select("name")
     return names.unionByName(found).distinct()
@@ -389,13 +389,13 @@ def learned_names(reviews: DataFrame, known: DataFrame, least: int = 3) -> DataF
 USUAL_SHARE = 1 / 50_000
 
 
-def usual_words(reviews: DataFrame) -> frozenset[str]:
+def usual_words(reviews: DataFrame, authors: DataFrame) -> frozenset[str]:
     """Words that open texts, so have capitals without being names; words of authors are none. A share of all texts, whatever their number."""
     opening = reviews.select(F.lower(F.regexp_extract("text", r"^[^\p{L}]*(\p{L}+)", 1)).alias("name")).where(F.col("name") != "").groupBy("name").agg(F.count("*").alias("n"))
     total = opening.agg(F.sum("n")).first()[0] or 0
     often = opening.where(F.col("n") >= total * USUAL_SHARE).select("name")
-    authors = _author_words(reviews).select(F.explode("w").alias("name")).distinct()
-    return frozenset(r["name"] for r in often.join(authors, "name", "left_anti").collect())  # at most 1 / USUAL_SHARE
+    named = authors.select(F.explode("w").alias("name")).distinct()
+    return frozenset(r["name"] for r in often.join(named, "name", "left_anti").collect())  # at most 1 / USUAL_SHARE
 
 
 def asked_words(text: str | None) -> set[str]:
@@ -412,13 +412,14 @@ MOST_SHARED = 100_000
 MEMORY, MEMORY_CHARS = 1 << 15, 400
 
 
-def with_names(reviews: DataFrame, known: DataFrame) -> tuple[DataFrame, frozenset[str] | None]:
-    """(review_id, author, text, names) with all names shared and names null, or with the names among each row's own words and None."""
+def with_names(reviews: DataFrame, known: DataFrame) -> tuple[DataFrame, frozenset[str] | None, frozenset[str]]:
+    """The rows with what is known of words: (review_id, author, text), all names and the usual words; or the rows with the names among their own words in ``names``, None and the usual words."""
     slim = reviews.select("review_id", "author", "text")
-    lexicon = learned_names(reviews, known)
+    authors = durable(_author_words(reviews))
+    lexicon, usual = learned_names(authors, known), usual_words(reviews, authors)
     short = [r["name"] for r in lexicon.limit(MOST_SHARED + 1).collect()]
     if len(short) <= MOST_SHARED:
-        return spread(slim, "review_id").withColumn("names", F.lit(None).cast("array<string>")), frozenset(short)
+        return spread(slim, "review_id"), frozenset(short), usual
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -427,10 +428,10 @@ def with_names(reviews: DataFrame, known: DataFrame) -> tuple[DataFrame, frozens
 
     asked = durable(spread(slim, "review_id").mapInPandas(ask, "id long, name string"))
     own = join_hot(asked, lexicon, ["name"], spread_by=["id"]).groupBy("id").agg(F.collect_set("name").alias("names"))
-    return slim.join(own, F.col("review_id").eqNullSafe(F.col("id")), "left").select("review_id", "author", "text", F.coalesce("names", F.array().cast("array<string>")).alias("names")), None
+    return slim.join(own, F.col("review_id").eqNullSafe(F.col("id")), "left").select("review_id", "author", "text", F.coalesce("names", F.array().cast("array<string>")).alias("names")), None, usual
 
 
-def finder(shared: frozenset[str] | None, usual: frozenset[str], extra: tuple[str, ...] = ()) -> Callable[[str | None, str | None, object], tuple[list[Case], list[Case]]]:
+def finder(shared: frozenset[str] | None, usual: frozenset[str], extra: tuple[str, ...] = ()) -> Callable[..., tuple[list[Case], list[Case]]]:
     """(author, text, names) -> cases of both. With shared names, values that come again are looked up; a bounded number is kept."""
     everyone = None if shared is None else Words(shared, usual)
     known: dict[tuple[bool, str], list[Case]] = {}
@@ -445,8 +446,8 @@ def finder(shared: frozenset[str] | None, usual: frozenset[str], extra: tuple[st
             cases = known[author, value] = find_author(value, words) if author else find(value, words, extra)
         return cases
 
-    def both(author: str | None, text: str | None, names: object) -> tuple[list[Case], list[Case]]:
-        words = everyone or Words(frozenset(names), usual)
+    def both(author: str | None, text: str | None, names: list[str] | None = None) -> tuple[list[Case], list[Case]]:
+        words = everyone or Words(frozenset(names or ()), usual)
         return one(author, True, words), one(text, False, words)
 
     return both
@@ -457,15 +458,15 @@ FOUND = "review_id long, field string, kind string, start_pos int"
 
 def find_cases(reviews: DataFrame, known: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(review_id, field, kind, start_pos) of every case in author and text; start_pos counts code points from 1."""
-    named, shared = with_names(reviews, known)
-    words = reviews.sparkSession.sparkContext.broadcast((shared, usual_words(reviews)))  # at most MOST_SHARED and 1 / USUAL_SHARE words
+    named, shared, usual = with_names(reviews, known)
+    words = reviews.sparkSession.sparkContext.broadcast((shared, usual))  # at most MOST_SHARED and 1 / USUAL_SHARE words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = finder(*words.value, extra)
         for batch in batches:
             ids, fields, kinds, starts = [], [], [], []
-            for i, author, text, names in zip(*(c.to_pylist() for c in batch.columns)):
-                for field, cases in zip(("author", "text"), both(author, text, names)):
+            for i, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                for field, cases in zip(("author", "text"), both(*row)):
                     for c in cases:
                         ids.append(i)
                         fields.append(field)
@@ -564,8 +565,8 @@ def placeholder(value: str, kind: str, key: bytes) -> str:
 
 def redact(reviews: DataFrame, known: DataFrame, key: bytes, extra: tuple[str, ...] = ()) -> DataFrame:
     """reviews (review_id, author, text) with every case replaced; null stays null and text without cases stays as it is."""
-    named, shared = with_names(reviews, known)
-    words = reviews.sparkSession.sparkContext.broadcast((shared, usual_words(reviews)))  # at most MOST_SHARED and 1 / USUAL_SHARE words
+    named, shared, usual = with_names(reviews, known)
+    words = reviews.sparkSession.sparkContext.broadcast((shared, usual))  # at most MOST_SHARED and 1 / USUAL_SHARE words
 
     def clean(value: str | None, cases: list[Case]) -> str | None:
         for c in reversed(cases):
@@ -576,10 +577,10 @@ def redact(reviews: DataFrame, known: DataFrame, key: bytes, extra: tuple[str, .
         both = finder(*words.value, extra)
         for batch in batches:
             authors, texts = [], []
-            for author, text, names in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                one, two = both(author, text, names)
-                authors.append(clean(author, one))
-                texts.append(clean(text, two))
+            for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                one, two = both(*row)
+                authors.append(clean(row[0], one))
+                texts.append(clean(row[1], two))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(authors, pa.string()), pa.array(texts, pa.string())], ["review_id", "author", "text"])
 
     return named.mapInArrow(run, "review_id long, author string, text string")

@@ -95,7 +95,8 @@ def test_no_name(text):
 def test_usual_words(spark):
     rows = [(1, "Sana Korvesh", "Overpriced place"), (2, "Zorvan Korvesh", "Zorvan is so kind"), (3, "Parent", None), (4, None, "  ")]
     frame = spark.createDataFrame(rows, "review_id long, author string, text string")
-    assert personal.usual_words(frame) == {"overpriced"} and personal.usual_words(frame.limit(0)) == frozenset()
+    authors = personal._author_words(frame)
+    assert personal.usual_words(frame, authors) == {"overpriced"} and personal.usual_words(frame.limit(0), authors) == frozenset()
 
 
 def test_linkage():
