@@ -121,11 +121,12 @@ def _trim(text: str, start: int, stop: int) -> tuple[int, int]:
     return start, stop
 
 
-class Words(NamedTuple):
-    """What is known of words: names, and words that aren't names though they open texts with a capital letter."""
+class Words:
+    """What is known of words: names, and words that aren't names though they open texts with a capital letter; gate: words of which a text with a name must hold one."""
 
-    names: frozenset[str]
-    usual: frozenset[str] = frozenset()
+    def __init__(self, names: frozenset[str], usual: frozenset[str] = frozenset()):
+        self.names, self.usual = names, usual
+        self.gate = names | _TITLE_SET | _BEFORE_CUES | _BEHIND_CUES | _QUALITIES | {"his", "her", "their"}
 
 
 class _Tokens:
@@ -164,8 +165,11 @@ class _Tokens:
 
 def names_in(plain: str, low: str, words: Words) -> list[tuple[int, int]]:
     """Spans of names in a text, not overlapping, in order of how sure they are."""
-    runs = set(_RUN.findall(low))
+    runs = _RUN.findall(low)
     quoted = "'" in low or "’" in low
+    if not quoted and words.gate.isdisjoint(runs):
+        return []
+    runs = set(runs)
     known = quoted or not words.names.isdisjoint(runs)
     titled = [m.end() for m in _TITLE_WORD.finditer(low)] if not _TITLE_SET.isdisjoint(runs) else []
     led = [m.end() for m in BEFORE.finditer(low)] if not _BEFORE_CUES.isdisjoint(runs) else []
@@ -409,7 +413,7 @@ def asked_words(text: str | None) -> set[str]:
 #: As many names are shared with all workers; of more each row gets those of its own words by a join.
 MOST_SHARED = 100_000
 #: Values whose cases a worker keeps; texts longer than MEMORY_CHARS aren't kept.
-MEMORY, MEMORY_CHARS = 1 << 15, 400
+MEMORY, MEMORY_CHARS = 1 << 16, 400
 
 
 def with_names(reviews: DataFrame, known: DataFrame) -> tuple[DataFrame, frozenset[str] | None, frozenset[str]]:
