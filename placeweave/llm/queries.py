@@ -56,7 +56,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.document_subjects(*(load(spark, folder, t) for t in ("documents", "doc_label", "subject")))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+def p9_mixtures(spark: SparkSession, folder: str) -> DataFrame:
+    rows = subjects.document_subjects(*(load(spark, folder, t) for t in ("documents", "doc_label", "subject")), mixtures=True)
+    return rows.withColumn("share", F.round("share", 4))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_mixtures": p9_mixtures}
 KEY = """CASE WHEN regexp_full_match(p, '0x[0-9a-f]+:0x[0-9a-f]+') THEN p ELSE nullif(regexp_extract(u, '(!1s|[?&]ftid=|[?&]q=)(0x[0-9a-f]+:0x[0-9a-f]+)', 2), '') END"""
 
 

@@ -3,19 +3,21 @@
 Rows are sentences, tied to their document by its mixture; columns are hashed words. Some
 components are anchored: one for each subject, seeded with the words that hand-labelled
 documents of the subject use far more than others and with the words of its description. The
-rest are a language's common words. Alternating multiplicative updates (Kullback-Leibler) run
-over the whole corpus, the sums of a pass being added up by Spark; labelled documents may only
-use the components of their subjects. The components give each sentence its subject or none
-(sentences that stand in documents of all subjects alike have none), and a document has the subjects of at least a fifth of its sentences.
+rest are a language's common words. Alternating multiplicative updates (Kullback-Leibler) fit the
+components on a bounded sample of labelled documents, which may only use the components of their
+subjects, the sums of a pass being added up by Spark. With the components fixed, the same updates
+give every sentence of the corpus its mixture in one pass, where the text lies: a sentence belongs
+to the subject whose component explains most of its words, if that is at least MOST_OF_A_WORD, and
+a document has the subjects of at least a fifth of its sentences.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,38 +32,60 @@ BUCKETS = 131_071
 COMMON = 4
 #: Standard deviations by which a word must exceed its expected count to seed a subject.
 SIGNIFICANT = 3.0
-#: Times its expected count that it must also reach: in a large corpus small differences are significant too.
+#: Times its expected count that it must also reach: in a large sample small differences are significant too.
 MARKED = 2.0
 #: Least share of a word's mass that a subject needs to keep the word.
 SPECIFIC = 0.3
-#: Share of a subject's sentence that is common words.
-COMMON_SHARE = 0.85
-#: A sentence is usual if it stands at least so many times and makes up at least such a share of all sentences.
-USUAL, USUAL_SHARE = 20, 1 / 50_000
-PASSES = 5
-#: Words handled at once, which bounds a worker's memory whatever the batch.
-CHUNK = 150_000
+#: Words of a sentence that a subject's component must explain for the sentence to belong to it.
+MOST_OF_A_WORD = 0.8
+#: Documents that the components are fitted on, at most: those labelled, in the order of a hash of their ids.
+MOST_LABELLED = 20_000
+#: Passes over the sample; updates of the mixtures in a pass, and of the corpus's mixtures.
+PASSES, STEPS, FOLD_STEPS = 5, 4, 8
+#: Least weight that a component keeps when a sentence starts from its document's mixture.
+FLOOR = 0.02
+#: Words handled at once, which bounds a worker's memory whatever the batch; sentences whose words a worker keeps.
+CHUNK, KEPT = 150_000, 1 << 16
 #: Function words of Urdu in Latin letters.
 ROMAN_URDU = frozenset("aaj aaye agle aur baad baghair bajay baqi bachon bohat bohot hai hain haftay hui ka kal karein ke khulta ki ko koi liye mein mumkin nahi naya par rakhein se shukriya subah walidain zaroori".split())
 _ITEM = r"(?:[-*•]\s+|\[.?\]\s*|\d{1,2}:\d\d\s+|[QA]:\s*|\d+[.)]\s+)"
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_TAG = re.compile(r"<[^<>]{1,60}>")
+_BROKEN_LINE = re.compile(rf"(?<![.!?۔:\n])\n(?!\s*\n|\s*{_ITEM})")
+_ITEMS = re.compile(rf"\s*(?:{_ITEM})+")
+_BOUNDARY = re.compile(r"(?<=[.!?۔])\s+")
+_ENDED = re.compile(r"[.!?۔][\"')\]]*\s*$")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Words in lower case of each sentence. Headings and other pieces without an end mark count only if the text has nothing else."""
+def pieces(text: str | None) -> list[str]:
+    """Sentences, items and lines of a text that hold a letter, in order, without marks of items. A line break inside a sentence is a blank."""
     if not text:
         return []
-    text = html.unescape(re.sub(r"<[^<>]{1,60}>", " ", text)).replace("\r\n", "\n").replace("\r", "\n")
-    # a line break inside a sentence is a blank; paragraphs, items and lines behind an end mark begin anew
-    text = re.sub(rf"(?<![.!?۔:\n])\n(?!\s*\n|\s*{_ITEM})", " ", text)
-    ended, open_ = [], []
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "&" in text:
+        text = html.unescape(text)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    # paragraphs, items and lines behind an end mark begin anew
+    text = _BROKEN_LINE.sub(" ", text)
+    out = []
     for line in text.split("\n"):
-        line = re.sub(rf"^\s*(?:{_ITEM})+", "", line)
-        for piece in re.split(r"(?<=[.!?۔])\s+", line):
-            found = [w for w in _WORD.findall(piece.lower()) if len(w) > 1]
-            if found:
-                (ended if re.search(r"[.!?۔][\"')\]]*\s*$", piece) else open_).append(found)
-    return ended or open_
+        m = _ITEMS.match(line)
+        out += _BOUNDARY.split(line[m.end() :] if m else line)
+    return out
+
+
+def words(piece: str) -> list[str]:
+    return [w for w in _WORD.findall(piece.lower()) if len(w) > 1]
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """Words in small letters of each sentence. A title, which is a first piece without an end mark before others, is none; any other piece is."""
+    found = [(p, w) for p in pieces(text) if (w := words(p))]
+    if len(found) > 1 and not _ENDED.search(found[0][0]):
+        found = found[1:]
+    return [w for _, w in found]
 
 
 def language(words: list[str]) -> int:
@@ -72,60 +96,51 @@ def language(words: list[str]) -> int:
     return 2 if roman and roman * 4 >= len(words) else 0
 
 
-def mark(words: list[str]) -> int:
-    """64 bits that tell one wording of a sentence from others."""
-    return int.from_bytes(hashlib.blake2b(" ".join(words).encode(), digest_size=8).digest(), "big", signed=True)
+LANGUAGES = 3
 
 
-LANGUAGES = 3
-CORPUS = "doc_id long, subjects array<int>, languages array<int>, lengths array<int>, terms array<int>, marks array<long>"
+class Reader:
+    """Texts to cells (language and hashed word) of their sentences; pieces that come again are looked up, a bounded number is kept."""
 
+    def __init__(self):
+        self.known: dict[str, np.ndarray] = {}
 
-def term_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: its label numbers, and the language, length and hashed words of its sentences. Texts without words give none."""
-    texts = spread(documents.select("doc_id", "text").where(F.length("text") > 0), "doc_id")
-    tagged = texts.join(labels.groupBy("doc_id").agg(F.collect_set("subject_no").alias("subjects")), "doc_id", "left")
+    def cells(self, piece: str) -> np.ndarray:
+        found = words(piece)
+        base = language(found) * BUCKETS if found else 0
+        return np.array([base + zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS for w in found], np.int32)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            rows = []
-            for i, text, tags in zip(batch["doc_id"], batch["text"], batch["subjects"]):
-                found = sentences(text)
-                if not found:
-                    continue
-                terms = []
-                for words in found:
-                    for w in words:
-                        t = known.get(w)
-                        if t is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            t = known[w] = zlib.crc32(w.encode()) % BUCKETS
-                        terms.append(t)
-                rows.append((i, [] if tags is None else list(tags), [language(s) for s in found], [len(s) for s in found], terms, [mark(s) for s in found]))
-            yield pd.DataFrame(rows, columns=["doc_id", "subjects", "languages", "lengths", "terms", "marks"])
-
-    return tagged.mapInPandas(run, CORPUS)
+    def read(self, text: str | None) -> list[np.ndarray]:
+        """The cells of each sentence, in order, as sentences() divides the text."""
+        out: list[np.ndarray] = []
+        first = ""
+        for piece in pieces(text):
+            cells = self.known.get(piece)
+            if cells is None:
+                if len(self.known) >= KEPT:
+                    self.known.clear()
+                cells = self.cells(piece)
+                if len(piece) < 1000:
+                    self.known[piece] = cells
+            if len(cells):
+                first = first or piece
+                out.append(cells)
+        return out[1:] if len(out) > 1 and not _ENDED.search(first) else out
 
 
 class Block:
-    """Some documents as arrays: sentence and language of each word, document and language of each sentence."""
+    """Some documents as arrays: sentence of each word's cell, document and length of each sentence."""
 
     def __init__(self, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
         self.subjects = [r[1] for r in rows]
-        lengths = np.concatenate([np.asarray(r[3], np.int64) for r in rows])
-        self.mark = np.concatenate([np.asarray(r[5], np.int64) for r in rows])
-        self.term = np.concatenate([np.asarray(r[4], np.int64) for r in rows])
-        self.language = np.concatenate([np.asarray(r[2], np.int64) for r in rows])
-        per_doc = np.array([len(r[3]) for r in rows])
-        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.doc_starts = np.concatenate([[0], np.cumsum(per_doc)[:-1]])
-        self.sentence = np.repeat(np.arange(len(lengths)), lengths)
-        self.doc = np.repeat(np.arange(len(rows)), per_doc)
-        self.per_doc = per_doc
-        self.cell = self.language[self.sentence] * BUCKETS + self.term
+        self.lengths = np.concatenate([np.asarray(r[2], np.int64) for r in rows])
+        self.cell = np.concatenate([np.asarray(r[3], np.int64) for r in rows])
+        self.per_doc = np.array([len(r[2]) for r in rows])
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.doc_starts = np.concatenate([[0], np.cumsum(self.per_doc)[:-1]])
+        self.sentence = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.doc = np.repeat(np.arange(len(rows)), self.per_doc)
 
     def by_sentence(self, x: np.ndarray) -> np.ndarray:
         return np.add.reduceat(x, self.starts, axis=0)
@@ -134,18 +149,46 @@ class Block:
         return np.add.reduceat(x, self.doc_starts, axis=0)
 
 
-def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
-    """Blocks of about CHUNK words; a document is never divided."""
-    rows, size = [], 0
+def blocks(rows: Iterator[tuple]) -> Iterator[Block]:
+    """Blocks of about CHUNK words from (id, subjects, lengths, cells); a document is never divided."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[3])
+        if size >= CHUNK:
+            yield Block(some)
+            some, size = [], 0
+    if some:
+        yield Block(some)
+
+
+def read_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(doc_id, subjects, lengths, cells) of the texts that hold words."""
+    reader = Reader()
     for batch in batches:
-        for row in zip(batch["doc_id"], batch["subjects"], batch["languages"], batch["lengths"], batch["terms"], batch["marks"]):
-            rows.append(row)
-            size += len(row[4])
-            if size >= CHUNK:
-                yield Block(rows)
-                rows, size = [], 0
-    if rows:
-        yield Block(rows)
+        for i, text, tags in zip(batch["doc_id"], batch["text"], batch["subjects"] if "subjects" in batch else [()] * len(batch)):
+            found = reader.read(text)
+            if found:
+                yield i, [] if tags is None else list(tags), [len(c) for c in found], np.concatenate(found)
+
+
+SAMPLE = "doc_id long, subjects array<int>, lengths array<int>, cells array<int>"
+
+
+def sample_rows(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """The sample as rows of SAMPLE: at most ``most`` labelled documents (doc_id, subject_no), those whose ids hash lowest."""
+    chosen = labels.groupBy("doc_id").agg(F.collect_set("subject_no").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    tagged = documents.select("doc_id", "text").where(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")  # at most ``most`` short rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(list(read_rows(iter([batch]))), columns=["doc_id", "subjects", "lengths", "cells"])
+
+    return tagged.repartition(tagged.sparkSession.sparkContext.defaultParallelism, "doc_id").mapInPandas(run, SAMPLE)
+
+
+def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[Block]:
+    return blocks(row for batch in batches for row in zip(*(batch[c] for c in ("doc_id", "subjects", "lengths", "cells"))))
 
 
 def _sums(total: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -181,60 +224,97 @@ class Factors:
         self.h = (m / m.sum(axis=1, keepdims=True)).reshape(-1, self.k).astype(np.float32)
 
 
-def _mixtures(b: Block, h: np.ndarray, subjects: int, anchored: bool, steps: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Mixture of each sentence after multiplicative updates, started from its document's, and the ratio x / (w h) of each word."""
+class Model(NamedTuple):
+    """What labelling needs of the factors: for each cell the row of its word, or -1 if it is common only; of each row the subjects' weights and that of common words."""
+
+    row: np.ndarray
+    h: np.ndarray
+    common: np.ndarray
+
+
+def _mixtures(b: Block, h: np.ndarray, subjects: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mixture of each sentence of the sample after multiplicative updates, started from its document's, and the ratio x / (w h) of each word."""
     k = h.shape[1]
-    allowed = np.ones((len(b.language), k), np.float32)
-    if anchored:
-        for d, tags in enumerate(b.subjects):
-            if len(tags):
-                at = slice(b.doc_starts[d], b.doc_starts[d] + b.per_doc[d])
-                allowed[at, :subjects] = 0
-                allowed[at, list(tags)] = 1
+    allowed = np.ones((len(b.lengths), k), np.float32)
+    for d, tags in enumerate(b.subjects):
+        if len(tags):
+            at = slice(b.doc_starts[d], b.doc_starts[d] + b.per_doc[d])
+            allowed[at, :subjects] = 0
+            allowed[at, list(tags)] = 1
     hc = h[b.cell]
     w = allowed / allowed.sum(axis=1, keepdims=True)
-    for step in range(steps):
+    for step in range(STEPS):
         ratio = 1 / ((w[b.sentence] * hc).sum(axis=1) + 1e-12)
         w = w * b.by_sentence(ratio[:, None] * hc)
         w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
-        if step < steps - 1 and step % 2:
+        if step < STEPS - 1 and step % 2:
             mix = b.by_doc(w) / b.per_doc[:, None]
-            w = (mix[b.doc] + 0.02) * allowed
+            w = (mix[b.doc] + FLOOR) * allowed
             w /= w.sum(axis=1, keepdims=True)
     return w, 1 / ((w[b.sentence] * hc).sum(axis=1) + 1e-12)
 
 
-def fit(corpus: DataFrame, subjects: list[tuple[str, str]]) -> Factors:
-    """Factors of the whole corpus (rows of term_rows) with one anchored component for each (name, description)."""
+def fold_in(b: Block, model: Model) -> np.ndarray:
+    """Mixtures (sentence, subject) after multiplicative updates with the components fixed, each counted in words of the sentence.
+
+    A word that no subject has adds exactly one to the common part at every update, so only the others are computed with.
+    """
+    n = model.h.shape[1]
+    row = model.row[b.cell]
+    at = np.flatnonzero(row >= 0)
+    sentence, row = b.sentence[at], row[at]
+    own, common = model.h[row], model.common[row]
+    length = b.lengths.astype(np.float32)
+    # sums of a sentence's marked words lie together; sentences without one stay zero
+    some, first = np.unique(sentence, return_index=True)
+    plain = length - np.bincount(sentence, minlength=len(length))
+    w = np.full((len(length), n), 1 / (n + 1), np.float32)
+    c = np.full(len(length), 1 / (n + 1), np.float32)
+    for step in range(FOLD_STEPS):
+        ratio = 1 / ((w[sentence] * own).sum(axis=1) + c[sentence] * common + 1e-12)
+        up, also = np.zeros_like(w), np.zeros_like(c)
+        if len(some):
+            up[some] = np.add.reduceat(ratio[:, None] * own, first, axis=0)
+            also[some] = np.add.reduceat(ratio * common, first)
+        w, c = w * up / length[:, None], (c * also + plain) / length
+        if step < FOLD_STEPS - 1 and step % 2:
+            per = b.per_doc[:, None]
+            w = (b.by_doc(w) / per)[b.doc] + FLOOR
+            c = (b.by_doc(c) / b.per_doc)[b.doc] + FLOOR
+            total = w.sum(axis=1) + c
+            w, c = w / total[:, None], c / total
+    return w * length[:, None]
+
+
+def fit(sample: DataFrame, subjects: list[tuple[str, str]]) -> Model:
+    """The components of a sample (rows of SAMPLE, durable) with one anchored component for each (name, description)."""
     n = len(subjects)
     f = Factors(n)
-    sc = corpus.sparkSession.sparkContext
+    sc = sample.sparkSession.sparkContext
 
     def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # by subject: words of labelled documents, shared out over their labels; then all words of labelled and of all documents
-        total = np.zeros((LANGUAGES * BUCKETS, n + 2), np.float32)
-        for b in blocks(batches):
-            share = np.zeros((len(b.ids), n + 2), np.float32)
-            share[:, n + 1] = 1
+        # by subject: words of labelled documents, shared out over their labels; then all words
+        total = np.zeros((LANGUAGES * BUCKETS, n + 1), np.float32)
+        for b in sampled(batches):
+            share = np.zeros((len(b.ids), n + 1), np.float32)
+            share[:, n] = 1
             for d, tags in enumerate(b.subjects):
-                if len(tags):
-                    share[d, list(tags)] = 1 / len(tags)
-                    share[d, n] = 1
+                share[d, list(tags)] = 1 / len(tags)
             weight = share[b.doc[b.sentence]]
-            for k in range(n + 2):
+            for k in range(n + 1):
                 total[:, k] += np.bincount(b.cell, weights=weight[:, k], minlength=len(total))
         yield from _sums(total)
 
-    counts = _collect(corpus.mapInPandas(seeds, _schema(n + 2)), n + 2).reshape(LANGUAGES, BUCKETS, n + 2)
+    counts = _collect(sample.mapInPandas(seeds, _schema(n + 1)), n + 1).reshape(LANGUAGES, BUCKETS, n + 1)
     mass = np.zeros((LANGUAGES, BUCKETS, f.k))
     rng = np.random.default_rng(11)
     for lang in range(LANGUAGES):
-        labelled, every = counts[lang, :, n], counts[lang, :, n + 1]
+        every = counts[lang, :, n]
         common = every[:, None] * rng.uniform(0.7, 1.3, (BUCKETS, COMMON))
         for k, (_, description) in enumerate(subjects):
             own = counts[lang, :, k]
             if own.sum():
-                expected = labelled * (own.sum() / labelled.sum())
+                expected = every * (own.sum() / every.sum())
                 more = ((own - expected) / np.sqrt(expected + 0.5) > SIGNIFICANT) & (own >= MARKED * expected)
                 mass[lang, more, k] = (own - expected)[more]
                 common[more] *= 0.05
@@ -245,6 +325,7 @@ def fit(corpus: DataFrame, subjects: list[tuple[str, str]]) -> Factors:
         mass[lang, :, n:] = common
     sums = mass.sum(axis=1, keepdims=True)
     f.set((mass / np.maximum(sums, 1e-12)).reshape(-1, f.k), 1e-6)
+    mass = mass.reshape(-1, f.k)
 
     for _ in range(PASSES):
         shared = sc.broadcast(f.h)  # its size depends on BUCKETS and the number of subjects only
@@ -252,17 +333,20 @@ def fit(corpus: DataFrame, subjects: list[tuple[str, str]]) -> Factors:
         def one_pass(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             h = shared.value
             total = np.zeros(h.shape, np.float32)
-            for b in blocks(batches):
-                w, ratio = _mixtures(b, h, n, anchored=True)
+            for b in sampled(batches):
+                w, ratio = _mixtures(b, h, n)
                 part = ratio[:, None] * w[b.sentence]
                 for k in range(h.shape[1]):
                     total[:, k] += np.bincount(b.cell, weights=part[:, k], minlength=len(total))
             total *= h
             yield from _sums(total)
 
-        mass = _collect(corpus.mapInPandas(one_pass, _schema(f.k)), f.k)
-        f.set(mass, 1e-4)
+        found = _collect(sample.mapInPandas(one_pass, _schema(f.k)), f.k)
         shared.unpersist()
+        if not found.any():
+            break  # no labelled document has words: the descriptions alone are the components
+        mass = found
+        f.set(mass, 1e-4)
     # words that a subject shares with many others aren't its own
     low = mass < SPECIFIC * mass.sum(axis=1, keepdims=True)
     low[:, n:] = False
@@ -270,89 +354,49 @@ def fit(corpus: DataFrame, subjects: list[tuple[str, str]]) -> Factors:
     mass = np.where(low, 0, mass)
     mass[:, n:] += moved[:, None] / COMMON
     f.set(mass, 1e-4)
-    return f
-
-
-def sentence_subjects(b: Block, h: np.ndarray, n: int, plain: np.ndarray | None = None, rounds: int = 3) -> np.ndarray:
-    """Number of each sentence's subject, n for none: the likeliest given its words and its document's mixture. Sentences whose mark is in plain (sorted) have none."""
-    hc = h[b.cell].astype(np.float64)
-    common = hc[:, n:].mean(axis=1) + 1e-9
-    none = np.add.reduceat(np.log(common), b.starts)
-    own = b.by_sentence(np.log(COMMON_SHARE * common[:, None] + (1 - COMMON_SHARE) * hc[:, :n] + 1e-9))
-    if plain is not None and len(plain):
-        at = np.searchsorted(plain, b.mark)
-        own[plain[np.minimum(at, len(plain) - 1)] == b.mark] = -1e9
-    docs = len(b.ids)
-    mix, idle = np.full((docs, n), 1 / n), np.full(docs, 0.5)
-    for _ in range(rounds):
-        a = np.concatenate([own + np.log((mix * (1 - idle)[:, None])[b.doc] + 1e-9), (none + np.log(idle)[b.doc])[:, None]], axis=1)
-        p = np.exp(a - a.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        sums = b.by_doc(p)
-        mix = sums[:, :n] + 0.06 * b.per_doc[:, None] / n
-        mix /= mix.sum(axis=1, keepdims=True)
-        idle = (sums[:, n] + 1) / (b.per_doc + 2)
-    return p.argmax(axis=1)
-
-
-def plain_sentences(corpus: DataFrame, h, n: int) -> np.ndarray:
-    """Sorted marks of usual sentences that stand in documents of all subjects alike, so say nothing of any.
-
-    Of each usual wording the mean mixture of its documents is taken; it is plain if no subject has a share of SPECIFIC in it. The usual
-    wordings are at most 1 / USUAL_SHARE, whatever the corpus.
-    """
+    marked = np.flatnonzero(mass[:, :n].sum(axis=1) > 0)
+    row = np.full(len(mass), -1, np.int32)
+    row[marked] = np.arange(len(marked))
+    return Model(row, f.h[marked, :n], f.h[marked, n:].mean(axis=1))
 
-    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            marks, times = np.unique(np.concatenate([np.asarray(m, np.int64) for m in batch["marks"]]) if len(batch) else np.empty(0, np.int64), return_counts=True)
-            yield pd.DataFrame({"mark": marks, "n": times})
-
-    seen = durable(corpus.select("marks").mapInPandas(counts, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")))
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    usual = np.sort(seen.where(F.col("n") >= max(USUAL, total * USUAL_SHARE)).select("mark").toPandas()["mark"].to_numpy(np.int64))
-    if not len(usual):
-        return usual
-
-    def mixtures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, times = np.zeros((len(usual), n)), np.zeros(len(usual))
-        for b in blocks(batches):
-            hit = np.zeros((len(b.language), n + 1))
-            hit[np.arange(len(hit)), sentence_subjects(b, h.value, n)] = 1
-            mix = (b.by_doc(hit)[:, :n] / b.per_doc[:, None])[b.doc]
-            at = np.minimum(np.searchsorted(usual, b.mark), len(usual) - 1)
-            ours = usual[at] == b.mark
-            np.add.at(sums, at[ours], mix[ours])
-            times += np.bincount(at[ours], minlength=len(usual))
-        found = np.flatnonzero(times)
-        yield pd.DataFrame({"cell": found, **{f"c{k}": sums[found, k] for k in range(n)}, f"c{n}": times[found]})
-
-    sums = corpus.mapInPandas(mixtures, _schema(n + 1)).groupBy("cell").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(n + 1)]).toPandas()
-    mean = sums[[f"c{k}" for k in range(n)]].to_numpy() / sums[[f"c{n}"]].to_numpy()
-    return np.sort(usual[sums["cell"].to_numpy()[mean.max(axis=1) < SPECIFIC]])
-
-
-def document_subjects(documents: DataFrame, labels: DataFrame, subject: DataFrame, share: float = 0.2) -> DataFrame:
-    """(doc_id, subject): the subjects of at least ``share`` of a document's sentences. Null, empty and wordless texts have none.
 
-    labels: (doc_id, subject), some of them wrong; unknown subjects in it are ignored. The list of subjects must be short.
-    """
+def _subjects(subject: DataFrame) -> list[tuple[str, str]]:
     listed = [(r["subject"], r["description"] or "") for r in subject.where(F.col("subject").isNotNull()).orderBy("subject").limit(1001).collect()]
     if len(listed) > 1000:
         raise ValueError("more than 1,000 subjects")
+    return listed
+
+
+def document_subjects(documents: DataFrame, labels: DataFrame, subject: DataFrame, share: float = 0.2, most_labelled: int = MOST_LABELLED, mixtures: bool = False) -> DataFrame:
+    """(doc_id, subject): the subjects of at least ``share`` of a document's sentences. Null, empty and wordless texts have none.
+
+    labels: (doc_id, subject), some of them wrong; unknown subjects in it are ignored. The components are fitted on at most ``most_labelled``
+    of the labelled documents; every document is labelled, and depends on no other one. The list of subjects must be short.
+    With mixtures the rows are (doc_id, subject, share), the part of a document's words that each subject's component explains, where not 0.
+    """
+    listed = _subjects(subject)
     spark = documents.sparkSession
+    out = "doc_id long, subject string" + (", share double" if mixtures else "")
     if not listed:
-        return spark.createDataFrame([], "doc_id long, subject string")
+        return spark.createDataFrame([], out)
     numbers = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(listed)], "subject string, subject_no int")
-    corpus = durable(term_rows(documents, labels.select("doc_id", "subject").join(numbers, "subject").distinct()))
-    factors = fit(corpus, listed)
-    shared, n, names = spark.sparkContext.broadcast(factors.h), len(listed), [s for s, _ in listed]
-    plain = plain_sentences(corpus, shared, n)
+    model = fit(durable(sample_rows(documents, labels.select("doc_id", "subject").join(numbers, "subject").distinct(), most_labelled)), listed)
+    shared, n, names = spark.sparkContext.broadcast(model), len(listed), np.asarray([s for s, _ in listed], dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in blocks(batches):
-            hit = np.zeros((len(b.language), n + 1), np.int64)
-            hit[np.arange(len(hit)), sentence_subjects(b, shared.value, n, plain)] = 1
+        for b in blocks(read_rows(batches)):
+            mass = fold_in(b, shared.value)
+            ids = np.asarray(b.ids)
+            if mixtures:
+                part = b.by_doc(mass) / b.by_doc(b.lengths)[:, None]
+                d, k = np.nonzero(part > 1e-4)
+                yield pd.DataFrame({"doc_id": ids[d], "subject": names[k], "share": part[d, k].astype(float)})
+                continue
+            top = np.where(mass.max(axis=1) >= MOST_OF_A_WORD, mass.argmax(axis=1), n)
+            hit = np.zeros((len(top), n + 1), np.int64)
+            hit[np.arange(len(top)), top] = 1
             d, k = np.nonzero(b.by_doc(hit)[:, :n] >= share * b.per_doc[:, None] - 1e-9)
-            yield pd.DataFrame({"doc_id": np.asarray(b.ids)[d], "subject": np.asarray(names, dtype=object)[k]})
+            yield pd.DataFrame({"doc_id": ids[d], "subject": names[k]})
 
-    return corpus.mapInPandas(run, "doc_id long, subject string")
+    texts = spread(documents.select("doc_id", "text").where(F.length("text") > 0), "doc_id")
+    return texts.mapInPandas(run, out)

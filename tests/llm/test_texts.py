@@ -281,4 +281,34 @@ def test_subjects(spark):
 
 def test_sentences():
     assert subjects.sentences("Tiny Tots\n\nFirst one. Second\n   goes on here.\nQ: Third?\n[ ] Fourth!") == [["first", "one"], ["second", "goes", "on", "here"], ["third"], ["fourth"]]
+    # only a title is left out: items and lines without an end mark count
+    assert subjects.sentences("First one.\n- second thing\n- third thing\n\nlast line") == [["first", "one"], ["second", "thing"], ["third", "thing"], ["last", "line"]]
     assert subjects.sentences("no end mark") == [["no", "end", "mark"]] and subjects.sentences(None) == []
+
+
+def test_reader():
+    text = "Tiny Tots\n\nThe fever rose. والدین دوڑ کا خیال رکھیں۔ aaj bachon ka doctor hai. The fever rose.\n\n" + "word " * 3000
+    for reader in (subjects.Reader(), subjects.Reader()):
+        for _ in range(2):
+            cells = reader.read(text)
+            assert [len(c) for c in cells] == [len(s) for s in subjects.sentences(text)]
+            assert [c[0] // subjects.BUCKETS for c in cells] == [0, 1, 2, 0, 0]
+    assert subjects.Reader().read(None) == [] and subjects.Reader().read(" 12 ") == []
+
+
+def test_subjects_of_each_document_alone(spark):
+    """No document's subjects depend on how many others there are; the sample's bound is kept; mixtures add up."""
+    docs, truth = corpus(200, 8)
+    labels = spark.createDataFrame([p for t in truth[:80] for p in t], "doc_id long, subject string")
+    subject = spark.createDataFrame([(i, s, f"about {s}") for i, s in enumerate(WORDS)], "subject_id int, subject string, description string")
+    one = spark.createDataFrame(docs, "doc_id long, text string")
+    more = one.unionByName(one.selectExpr("doc_id + 1000", "text")).unionByName(one.selectExpr("doc_id + 2000", "text"))
+    small = {tuple(r) for r in subjects.document_subjects(one, labels, subject).collect()}
+    large = {tuple(r) for r in subjects.document_subjects(more, labels, subject).collect()}
+    assert large == small | {(d + k, s) for d, s in small for k in (1000, 2000)}
+    numbered = labels.selectExpr("doc_id", "1 AS subject_no")
+    assert subjects.sample_rows(one, numbered, 10).count() == 10
+    shares = subjects.document_subjects(one, labels, subject, mixtures=True).groupBy("doc_id").sum("share").collect()
+    assert shares and all(0 < r[1] <= 1 + 1e-6 for r in shares)
+    none = subjects.document_subjects(one, labels.limit(0), subject)
+    assert none.count() >= 0 and none.columns == ["doc_id", "subject"]
