@@ -14,6 +14,7 @@ a document has the subjects of at least a fifth of its sentences.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,7 @@ MOST_OF_A_WORD = 0.8
 #: Documents that the components are fitted on, at most: those labelled, in the order of a hash of their ids.
 MOST_LABELLED = 20_000
 #: Passes over the sample; updates of the mixtures in a pass, and of the corpus's mixtures.
-PASSES, STEPS, FOLD_STEPS = 5, 4, 8
+PASSES, STEPS, FOLD_STEPS = 3, 4, 6
 #: Least weight that a component keeps when a sentence starts from its document's mixture.
 FLOOR = 0.02
 #: Words handled at once, which bounds a worker's memory whatever the batch; sentences whose words a worker keeps.
@@ -88,31 +89,44 @@ def sentences(text: str | None) -> list[list[str]]:
     return [w for _, w in found]
 
 
-def language(words: list[str]) -> int:
+def language(words: list[str], ascii: bool = False) -> int:
     """0: any language without own words here, 1: Arabic script, 2: Urdu in Latin letters."""
-    if sum("؀" <= w[0] <= "ۿ" for w in words) * 2 >= len(words):
+    if not ascii and sum("؀" <= w[0] <= "ۿ" for w in words) * 2 >= len(words):
         return 1
-    roman = sum(w in ROMAN_URDU for w in words)
-    return 2 if roman and roman * 4 >= len(words) else 0
+    if ROMAN_URDU.isdisjoint(words):
+        return 0
+    return 2 if sum(w in ROMAN_URDU for w in words) * 4 >= len(words) else 0
 
 
 LANGUAGES = 3
 
 
+class Columns(dict):
+    """The columns of words; emptied when it holds many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 8 * KEPT:
+            self.clear()
+        column = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
+        return column
+
+
 class Reader:
     """Texts to cells (language and hashed word) of their sentences; pieces that come again are looked up, a bounded number is kept."""
 
     def __init__(self):
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, list[int]] = {}
+        self.columns = Columns()
 
-    def cells(self, piece: str) -> np.ndarray:
+    def cells(self, piece: str) -> list[int]:
         found = words(piece)
-        base = language(found) * BUCKETS if found else 0
-        return np.array([base + zlib.crc32(w.encode("utf-8", "replace")) % BUCKETS for w in found], np.int32)
+        column = self.columns
+        base = language(found, piece.isascii()) * BUCKETS if found else 0
+        return [base + column[w] for w in found] if base else [column[w] for w in found]
 
-    def read(self, text: str | None) -> list[np.ndarray]:
+    def read(self, text: str | None) -> list[list[int]]:
         """The cells of each sentence, in order, as sentences() divides the text."""
-        out: list[np.ndarray] = []
+        out: list[list[int]] = []
         first = ""
         for piece in pieces(text):
             cells = self.known.get(piece)
@@ -122,7 +136,7 @@ class Reader:
                 cells = self.cells(piece)
                 if len(piece) < 1000:
                     self.known[piece] = cells
-            if len(cells):
+            if cells:
                 first = first or piece
                 out.append(cells)
         return out[1:] if len(out) > 1 and not _ENDED.search(first) else out
@@ -134,8 +148,8 @@ class Block:
     def __init__(self, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
         self.subjects = [r[1] for r in rows]
-        self.lengths = np.concatenate([np.asarray(r[2], np.int64) for r in rows])
-        self.cell = np.concatenate([np.asarray(r[3], np.int64) for r in rows])
+        self.lengths = np.fromiter(itertools.chain.from_iterable(r[2] for r in rows), np.int64)
+        self.cell = np.fromiter(itertools.chain.from_iterable(r[3] for r in rows), np.int64)
         self.per_doc = np.array([len(r[2]) for r in rows])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.doc_starts = np.concatenate([[0], np.cumsum(self.per_doc)[:-1]])
@@ -169,7 +183,7 @@ def read_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for i, text, tags in zip(batch["doc_id"], batch["text"], batch["subjects"] if "subjects" in batch else [()] * len(batch)):
             found = reader.read(text)
             if found:
-                yield i, [] if tags is None else list(tags), [len(c) for c in found], np.concatenate(found)
+                yield i, [] if tags is None else list(tags), [len(c) for c in found], list(itertools.chain.from_iterable(found))
 
 
 SAMPLE = "doc_id long, subjects array<int>, lengths array<int>, cells array<int>"

@@ -302,7 +302,7 @@ def test_subjects_of_each_document_alone(spark):
     labels = spark.createDataFrame([p for t in truth[:80] for p in t], "doc_id long, subject string")
     subject = spark.createDataFrame([(i, s, f"about {s}") for i, s in enumerate(WORDS)], "subject_id int, subject string, description string")
     one = spark.createDataFrame(docs, "doc_id long, text string")
-    more = one.unionByName(one.selectExpr("doc_id + 1000", "text")).unionByName(one.selectExpr("doc_id + 2000", "text"))
+    more = one.unionByName(one.selectExpr("doc_id + 1000 AS doc_id", "text")).unionByName(one.selectExpr("doc_id + 2000 AS doc_id", "text"))
     small = {tuple(r) for r in subjects.document_subjects(one, labels, subject).collect()}
     large = {tuple(r) for r in subjects.document_subjects(more, labels, subject).collect()}
     assert large == small | {(d + k, s) for d, s in small for k in (1000, 2000)}
