@@ -40,7 +40,7 @@ SPECIFIC = 0.3
 #: Words of a sentence that a subject's component must explain for the sentence to belong to it.
 MOST_OF_A_WORD = 0.8
 #: Documents that the components are fitted on, at most: those labelled, in the order of a hash of their ids.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 8_000
 #: Passes over the sample; updates of the mixtures in a pass, and of the corpus's mixtures.
 PASSES, STEPS, FOLD_STEPS = 3, 4, 6
 #: Least weight that a component keeps when a sentence starts from its document's mixture.
@@ -50,7 +50,8 @@ CHUNK, KEPT = 150_000, 1 << 16
 #: Function words of Urdu in Latin letters.
 ROMAN_URDU = frozenset("aaj aaye agle aur baad baghair bajay baqi bachon bohat bohot hai hain haftay hui ka kal karein ke khulta ki ko koi liye mein mumkin nahi naya par rakhein se shukriya subah walidain zaroori".split())
 _ITEM = r"(?:[-*•]\s+|\[.?\]\s*|\d{1,2}:\d\d\s+|[QA]:\s*|\d+[.)]\s+)"
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: Words of two characters or more.
+_WORD = re.compile(r"[^\W\d_]{2,}(?:['’][^\W\d_]+)?|[^\W\d_]['’][^\W\d_]+")
 _TAG = re.compile(r"<[^<>]{1,60}>")
 _BROKEN_LINE = re.compile(rf"(?<![.!?۔:\n])\n(?!\s*\n|\s*{_ITEM})")
 _ITEMS = re.compile(rf"\s*(?:{_ITEM})+")
@@ -78,7 +79,7 @@ def pieces(text: str | None) -> list[str]:
 
 
 def words(piece: str) -> list[str]:
-    return [w for w in _WORD.findall(piece.lower()) if len(w) > 1]
+    return _WORD.findall(piece.lower())
 
 
 def sentences(text: str | None) -> list[list[str]]:
