@@ -71,7 +71,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return centres_near_pins(load(spark, folder, "raw_place"), load(spark, folder, "area_centre")).select("raw_id", "area_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_review_table": p1_review_table, "p4_found": p4_found}
+def p1_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """The dumps whose payload is broken off."""
+    return nested.rejected(load(spark, folder, "raw_dump"), "dump_id", "payload").select("dump_id")
+
+
+def p4_great_circle(spark: SparkSession, folder: str) -> DataFrame:
+    """All area centres within 3 km of each place's pin on the sphere, with the distance."""
+    found = near.radius_join(load(spark, folder, "raw_place"), load(spark, folder, "area_centre"), ("raw_id", "latitude", "longitude"), ("area_id", "lat", "lng"), 3.0)
+    return found.select("raw_id", "area_id", F.round("km", 3).alias("km"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_review_table": p1_review_table, "p1_rejected": p1_rejected, "p4_found": p4_found, "p4_great_circle": p4_great_circle}
 
 SQL = {
     "p1_found": """
@@ -93,12 +104,20 @@ SQL = {
     "p1_review_table": """
         WITH d AS (SELECT dump_id, CAST(payload AS JSON) AS j FROM raw_dump WHERE json_valid(payload)),
           p AS (SELECT d.dump_id, e.key AS place_pos, e.value AS v FROM d, json_each(d.j) e WHERE json_type(d.j) = 'ARRAY'),
-          m AS (SELECT dump_id, place_pos || '.' || (list_position(json_keys(v), 'reviews') - 1) AS parent_dewey,
+          m AS (SELECT dump_id, place_pos, place_pos || '.' || (list_position(json_keys(v), 'reviews') - 1) AS own_dewey,
               CASE WHEN json_type(v, '$.reviews') = 'VARCHAR' AND json_valid(v ->> 'reviews') AND left(trim(v ->> 'reviews'), 1) IN ('[', '{') THEN CAST(v ->> 'reviews' AS JSON) ELSE json_extract(v, '$.reviews') END AS x FROM p),
-          e AS (SELECT m.dump_id, m.parent_dewey, c.key, c.value FROM m, json_each(m.x) c WHERE json_type(m.x) = 'ARRAY')
-        SELECT dump_id, parent_dewey || '.' || key AS dewey, value ->> 'author' AS author, value ->> 'text' AS text, value ->> 'date' AS date, value ->> 'rating' AS rating, parent_dewey
+          e AS (SELECT m.dump_id, own_dewey || '.' || c.key AS dewey, own_dewey AS parent_dewey, c.value FROM m, json_each(m.x) c WHERE json_type(m.x) = 'ARRAY'
+            UNION ALL SELECT dump_id, own_dewey, CAST(place_pos AS VARCHAR), x FROM m WHERE json_type(x) = 'OBJECT')
+        SELECT dump_id, dewey, value ->> 'author' AS author, value ->> 'text' AS text, value ->> 'date' AS date, value ->> 'rating' AS rating, parent_dewey
         FROM e WHERE coalesce(value ->> 'author', value ->> 'text', value ->> 'date', value ->> 'rating') IS NOT NULL
     """,
+    "p1_rejected": "SELECT dump_id FROM raw_dump WHERE trim(payload) <> '' AND NOT json_valid(payload)",
+    "p4_great_circle": """
+        WITH ok AS (SELECT * FROM (SELECT raw_id, latitude AS a, longitude AS b FROM raw_place) WHERE a IS NOT NULL AND b IS NOT NULL AND NOT isnan(a) AND NOT isnan(b) AND a <> 0 AND b <> 0 AND abs(a) <= 90 AND abs(b) <= 180),
+        okc AS (SELECT * FROM (SELECT area_id, lat AS a, lng AS b FROM area_centre) WHERE a IS NOT NULL AND b IS NOT NULL AND NOT isnan(a) AND NOT isnan(b) AND a <> 0 AND b <> 0 AND abs(a) <= 90 AND abs(b) <= 180),
+        d AS (SELECT raw_id, area_id, 2 * 6371 * asin(sqrt(least(1, pow(sin(radians(okc.a - ok.a) / 2), 2) + cos(radians(ok.a)) * cos(radians(okc.a)) * pow(sin(radians(okc.b - ok.b) / 2), 2)))) AS km FROM ok, okc)
+        SELECT raw_id, area_id, round(km, 3) AS km FROM d WHERE km <= 3
+    """,
     "p4_found": """
         WITH p AS (SELECT raw_id, latitude AS a, longitude AS b FROM raw_place),
         c AS (SELECT area_id, lat AS a, lng AS b FROM area_centre),
