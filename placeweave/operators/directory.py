@@ -178,7 +178,13 @@ def sector_extract(spark, load):
     return load("raw_place").select("raw_id", text.sector("address").alias("s")).select("raw_id", "s.*")
 
 
-@query("SELECT raw_id, regexp_extract(coalesce(address, ''), '(?i)\\b(f-\\d+(?:/\\d+)?)\\b', 1) AS f_area FROM raw_place WHERE NOT regexp_matches(coalesce(address, ''), '[^\\x00-\\x7F]')")
+def form_sql(form: str) -> str:
+    """A form of AREA_FORMS where word boundaries know all letters: a letter or digit outside the form's own ends is none."""
+    own = form.removeprefix("\\b").removesuffix("\\b")
+    return f"nullif(regexp_extract(coalesce(address, ''), '(?i)(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(?:{own})(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 1), '')"
+
+
+@query(f"SELECT raw_id, coalesce({', '.join(map(form_sql, text.AREA_FORMS))}, '') AS f_area FROM raw_place")
 def first_form(spark, load):
     return load("raw_place").select("raw_id", text.first_form("address").alias("f_area"))
 
@@ -189,9 +195,27 @@ def clean_and_exclude(spark, load):
     return load("raw_place").select("raw_id", text.clean("name").alias("cleaned"), classify.excluded(F.col("address"), SCOPE.exclude).isNotNull().alias("out"))
 
 
-@query("""WITH s AS (SELECT raw_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(coalesce(name, ''))), '[^a-z0-9_\\s-]', '', 'g'), ' '), '[-\\s]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g') AS base FROM raw_place),
-    b AS (SELECT raw_id, coalesce(nullif(base, ''), 'daycare') AS base FROM s), n AS (SELECT raw_id, base, row_number() OVER (PARTITION BY base ORDER BY raw_id) - 1 AS i FROM b)
-    SELECT raw_id, CASE WHEN i = 0 THEN base ELSE base || '-' || i END AS slug FROM n""")
+def slug_sql(x: str, most: int, fallback: str) -> str:
+    bare = f"regexp_replace(regexp_replace(trim(regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^a-z0-9_\\s-]', '', 'g'), ' '), '[-\\s]+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g')"
+    return f"coalesce(nullif(left({bare}, {most}), ''), '{fallback}')"
+
+
+SAID = """trim(regexp_replace(regexp_replace(list_extract(string_split(regexp_replace(array_to_string(list_filter(list_transform(string_split(coalesce(address, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> ''), ','),
+    '(?i)((^|,)(pakistan|[0-9]{4,6}))+$', ''), ','), -1), '\\s*[0-9]{4,6}$', ''), ' Capital Territory$', ''), ' ')"""
+#: Raw places with the city_id of their row, as homed() gives it.
+HOMED = f"""named AS (SELECT *, {slug_sql("city", 100, "")} AS own, {slug_sql(SAID, 100, "")} AS said FROM raw_place),
+    fresh AS (SELECT own, (SELECT max(id) FROM city) + row_number() OVER (ORDER BY own) AS new_id FROM (SELECT DISTINCT {slug_sql("trim(city, ' ')", 100, "")} AS own FROM raw_place) WHERE own <> '' AND own NOT IN (SELECT slug FROM city)),
+    h AS (SELECT n.* EXCLUDE (own, said), coalesce(a.id, b.id, f.new_id, 0) AS city_id FROM named n LEFT JOIN city a ON a.slug = n.own LEFT JOIN city b ON b.slug = n.said LEFT JOIN fresh f ON f.own = n.own)"""
+
+
+@query(f"""WITH RECURSIVE {HOMED}, s AS (SELECT raw_id, city_id, {slug_sql("name", 290, "daycare")} AS base FROM h),
+    k AS (SELECT *, regexp_replace(base, '(-[1-9][0-9]*)+$', '') AS family FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY city_id, family ORDER BY raw_id) AS i FROM k),
+    old AS (SELECT city_id, regexp_replace(slug, '(-[1-9][0-9]*)+$', '') AS family, list(DISTINCT slug) AS taken FROM listing GROUP BY 1, 2),
+    r AS (SELECT f.city_id, f.family, 0 AS i, coalesce(old.taken, []) AS taken, 0::BIGINT AS raw_id, '' AS slug FROM (SELECT DISTINCT city_id, family FROM o) f LEFT JOIN old ON old.city_id = f.city_id AND old.family = f.family
+      UNION ALL SELECT city_id, family, i, list_append(taken, slug), raw_id, slug FROM (SELECT o.city_id, o.family, o.i, r.taken, o.raw_id,
+        list_filter(list_transform(range(0, len(r.taken) + 1), lambda n: CASE WHEN n = 0 THEN o.base ELSE o.base || '-' || n END), lambda x: NOT list_contains(r.taken, x))[1] AS slug
+        FROM r JOIN o ON o.city_id = r.city_id AND o.family = r.family AND o.i = r.i + 1))
+    SELECT raw_id, slug FROM r WHERE i > 0""")
 def slugs(spark, load):
     rows = homed(load).select("raw_id", "city_id", text.slugify("name").alias("base"))
     return merge.unique_slugs(rows, load("listing").select("city_id", "slug"), order="raw_id").select("raw_id", "slug")
@@ -340,8 +364,10 @@ def provenance(spark, load):
     return crawl.provenance(hits, "place_id").select("place_id", F.array_join("found_by", " ").alias("found_by"))
 
 
-@query(f"""WITH {VERDICT}, h AS (SELECT raw_id, coalesce(found_by[1], 'none') AS task_key, CASE WHEN coalesce(place_id, '') <> '' THEN place_id ELSE coalesce(name, '') || '|' || coalesce(address, '') END AS place FROM raw_place),
-    o AS (SELECT min(raw_id) AS raw_id FROM h GROUP BY place), j AS (SELECT h.task_key, r.reason FROM o JOIN h USING (raw_id) JOIN r USING (raw_id)),
+@query(f"""WITH {VERDICT}, x AS (SELECT *, list_filter(coalesce(found_by, []), lambda k: k IS NOT NULL) AS keys FROM raw_place),
+    h AS (SELECT raw_id, pos, CASE WHEN pos = 0 THEN 'none' ELSE keys[pos] END AS task_key, CASE WHEN coalesce(place_id, '') <> '' THEN place_id ELSE coalesce(name, '') || '|' || coalesce(address, '') END AS place
+      FROM (SELECT *, unnest(CASE WHEN len(keys) = 0 THEN [0] ELSE list_filter(range(1, len(keys) + 1), lambda i: list_position(keys, keys[i]) = i) END) AS pos FROM x)),
+    o AS (SELECT arg_min(task_key, (raw_id, pos)) AS task_key, min(raw_id) AS raw_id FROM h GROUP BY place), j AS (SELECT o.task_key, r.reason FROM o JOIN r USING (raw_id)),
     n AS (SELECT task_key, count(*) AS new, count(*) FILTER (WHERE reason = '') AS kept, count(*) FILTER (WHERE reason <> '') AS rejected FROM j GROUP BY 1), f AS (SELECT task_key, count(*) AS found FROM h GROUP BY 1)
     SELECT task_key, found, coalesce(new, 0) AS new, coalesce(kept, 0) AS kept, coalesce(rejected, 0) AS rejected FROM f LEFT JOIN n USING (task_key)""")
 def crawl_fold(spark, load):
@@ -461,14 +487,25 @@ def unseen_count(spark, load):
     return merge.unseen(load("listing"), merge.match(batch(load), load("listing")), 1)
 
 
-@query(f"WITH {MATCH} SELECT CASE WHEN f.ord IS NULL THEN 'created' WHEN tier <= 2 THEN 'updated (matched by place ID)' WHEN tier = 3 THEN 'updated (matched by old-style ID)' WHEN tier = 4 THEN 'updated (matched by name + location)' ELSE 'updated (matched by name only)' END AS outcome, count(*) AS n FROM i LEFT JOIN f USING (ord) GROUP BY 1")
+OUTCOME = "CASE WHEN f.ord IS NULL THEN 'created' WHEN tier <= 2 THEN 'updated (matched by place ID)' WHEN tier = 3 THEN 'updated (matched by old-style ID)' WHEN tier = 4 THEN 'updated (matched by name + location)' ELSE 'updated (matched by name only)' END AS outcome"
+#: The whole batch as import_batch takes it: skipped rows told apart, rows of one place id of a city as one item.
+BATCH = f"""{HOMED}, j AS (SELECT raw_id AS ord, city_id, trim(coalesce(name, ''), ' ') AS name, place_id, latitude, longitude,
+      CASE WHEN regexp_full_match(coalesce(place_id, ''), '0x[0-9a-f]+:0x[0-9a-f]+') THEN place_id ELSE regexp_extract(coalesce(google_maps_url, ''), '!1s(0x[0-9a-f]+:0x[0-9a-f]+)', 1) END AS fid,
+      CASE WHEN trim(coalesce(name, ''), ' ') = '' THEN 'skipped (no name)' WHEN contains(lower(coalesce(address, '')), 'norvela phase 2') THEN 'skipped (excluded area: Norvela Phase 2)'
+        WHEN contains(lower(coalesce(address, '')), 'kharmeez') THEN 'skipped (excluded area: Kharmeez)' END AS skip FROM h),
+    i AS (SELECT min(ord) AS ord, city_id, fid, coalesce(arg_max(place_id, ord) FILTER (WHERE place_id <> ''), '') AS old, lower(arg_max(name, ord)) AS name,
+        coalesce(arg_max(latitude, ord) FILTER (WHERE latitude <> 0), 0) AS latitude, coalesce(arg_max(longitude, ord) FILTER (WHERE longitude <> 0), 0) AS longitude FROM j WHERE skip IS NULL AND fid <> '' GROUP BY city_id, fid
+      UNION ALL SELECT ord, city_id, fid, coalesce(place_id, ''), lower(name), coalesce(latitude, 0), coalesce(longitude, 0) FROM j WHERE skip IS NULL AND fid = '')"""
+
+
+@query(f"WITH {BATCH}, {MATCH[MATCH.index('o AS (SELECT id'):]} SELECT outcome, count(*) AS n FROM (SELECT {OUTCOME} FROM i LEFT JOIN f USING (ord) UNION ALL SELECT skip FROM j WHERE skip IS NOT NULL) GROUP BY 1")
 def import_counts(spark, load):
     items = homed(load).withColumnRenamed("raw_id", "ord").withColumnRenamed("google_maps_url", "maps_url")
     result = merge.import_batch(items.select("ord", "city_id", "place_id", *[f for f in merge.FIELDS if f in items.columns]), load("listing"), SCOPE.exclude)
     return report.import_counts(result["outcomes"].select("outcome").unionByName(result["skipped"].select("outcome")))
 
 
-@query(f"""WITH {MATCH} SELECT min(ord) AS ord, fid, arg_max(new_phone, ord) FILTER (WHERE new_phone <> '') AS phone, arg_max(new_rating, ord) FILTER (WHERE new_rating <> 0) AS rating FROM i WHERE fid <> '' GROUP BY 2
+@query(f"""WITH {MATCH} SELECT min(ord) AS ord, fid, arg_max(new_phone, ord) FILTER (WHERE new_phone <> '') AS phone, arg_max(new_rating, ord) FILTER (WHERE new_rating <> 0) AS rating FROM i WHERE fid <> '' GROUP BY 2, city_id
     UNION ALL SELECT ord, fid, new_phone, new_rating FROM i WHERE fid = ''""")
 def batch_collapse(spark, load):
     items = batch(load).drop("fid").withColumn("hours", F.to_json("hours"))
@@ -505,8 +542,8 @@ def lock_edited(spark, load):
     return merge.lock_edited(listing, edited).select("id", F.array_join("locked_fields", ",").alias("locks"))
 
 
-@query("""WITH n AS (SELECT DISTINCT trim(area, ' ') AS name, lower(regexp_replace(trim(area, ' '), '[^A-Za-z0-9]+', '-', 'g')) AS slug FROM raw_place WHERE regexp_full_match(trim(area, ' '), '[A-Za-z]+-[0-9]+'))
-    SELECT 1::BIGINT AS city_id, slug, min(name) AS name FROM n WHERE slug NOT IN (SELECT slug FROM area WHERE city_id = 1) GROUP BY 2""")
+@query(f"""WITH {HOMED}, n AS (SELECT city_id, trim(area, ' ') AS name FROM h WHERE trim(area, ' ') <> ''), k AS (SELECT city_id, {slug_sql("name", 100, "")} AS slug, min(name) AS name FROM n GROUP BY 1, 2)
+    SELECT k.city_id, k.slug, k.name FROM k WHERE NOT EXISTS (SELECT 1 FROM area a WHERE a.city_id = k.city_id AND a.slug = k.slug)""")
 def missing_areas(spark, load):
     needed = homed(load).select("city_id", F.trim("area").alias("name"))
     return merge.missing_areas(needed, load("area")).select("city_id", "slug", "name")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import geo, text
 from placeweave.schema import is_empty
+from placeweave.session import HOT_ROWS, durable, join_hot, ranked
 
 #: Fixed value: rows of one name so near are one place.
 SAME_PLACE_KM = 0.3
@@ -18,11 +20,12 @@ def with_fid(items: DataFrame) -> DataFrame:
     return items.withColumn("fid", text.place_id("place_id", "maps_url"))
 
 
-def collapse(items: DataFrame, order: str = "ord", by: tuple[str, ...] = ("fid",)) -> DataFrame:
-    """One row for each place id (or what ``by`` names) of the batch: every field from the last row that fills it, the first row's position. Rows without an id stay.
+def collapse(items: DataFrame, order: str = "ord", by: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each place id of a city (or what ``by`` names) of the batch, with its fid: every field from the last row that fills it, the first row's position. Rows without an id stay.
 
     This is what importing them one after the other would leave, as each would match the row before.
     """
+    by = by or (("city_id", "fid") if "city_id" in items.columns else ("fid",))
     keyed = with_fid(items)
     named, alone = keyed.where("fid <> ''"), keyed.where("fid = ''")
     aggs = [F.min(order).alias(order)]
@@ -98,24 +101,69 @@ def unseen(listing: DataFrame, seen: DataFrame, city_id: int) -> DataFrame:
     return listing.where(F.col("city_id") == city_id).join(seen.select("id"), "id", "left_anti").agg(F.count("*").alias("n"))
 
 
-def unique_slugs(new: DataFrame, existing: DataFrame, base: str = "base", order: str = "ord", scope: str = "city_id") -> DataFrame:
-    """new with slug: the base, or the first free base-1, base-2, ... in order, within a city and against existing (city_id, slug).
+#: A slug that ends in a number as unique_slugs writes them.
+NUMBERED = r"^(.*)-([1-9][0-9]{0,8})$"
+_RULED = "s string, b string, steps array<struct<rank:long,add:long>>"
 
-    Each base takes the free suffixes of a list as long as it needs. A base that looks like a numbered one of another new base isn't foreseen.
+
+def _family(rows: pd.DataFrame) -> pd.DataFrame:
+    """For each base of one family (names that differ in numbers at their ends) how its ranks become numbers: from rank on, add is added.
+
+    rows: s, b, used (numbers taken before), children (number k, c: rows of b before the first row of base b-k).
+    """
+    known = {r["b"]: r for r in rows.to_dict("records")}
+    lost: set[str] = set()  # bases whose plain form a row of a shorter base took first
+    out = []
+    for b in sorted(known, key=lambda b: (b.count("-"), b)):
+        used = {int(k) for k in (known[b]["used"] if known[b]["used"] is not None else ())}
+        if b in lost:
+            used.add(0)
+        events = sorted([(k, -1) for k in used] + [(int(c["k"]), int(c["c"])) for c in (known[b]["children"] if known[b]["children"] is not None else ()) if int(c["k"]) not in used])
+        steps: list[tuple[int, int]] = []
+        blocked = 0
+        for k, before in events:
+            rank = k - blocked  # of the row that would get number k
+            if before > rank:
+                lost.add(f"{b}-{k}")
+                continue
+            blocked += 1
+            if steps and steps[-1][0] == rank:
+                steps.pop()
+            steps.append((rank, blocked))
+        out.append((known[b]["s"], b, [{"rank": r, "add": n} for r, n in steps]))
+    return pd.DataFrame(out, columns=["s", "b", "steps"])
+
+
+def unique_slugs(new: DataFrame, existing: DataFrame, base: str = "base", order: str = "ord", scope: str = "city_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """new with slug: the base, or the first of base-1, base-2, ... that is free when its turn comes by order, within a city and against existing (city_id, slug).
+
+    This is what adding row by row gives, also where one base looks like a numbered one of another. Order must be unique. Rows are ranked within
+    their base (hot bases by ranges), and ranks become numbers by the steps that taken numbers make; names of a family that differ in
+    numbers alone are weighed against each other in one task, with one entry for each different name, not for each row. A null city is one.
     """
-    need = new.groupBy(scope, base).agg(F.count("*").alias("n"))
-    taken = existing.select(F.col(scope).alias("s"), F.col("slug")).distinct()
-    stem = taken.select("s", F.regexp_extract("slug", r"^(.*?)(?:-(\d{1,9}))?$", 1).alias("b"), F.regexp_extract("slug", r"^(.*?)-([1-9]\d{0,8})$", 2).alias("k"), "slug")
-    used = stem.where("k <> ''").select("s", "b", F.col("k").cast("int").alias("k")).unionByName(taken.select("s", F.col("slug").alias("b"), F.lit(0).alias("k")))
-    lists = used.groupBy("s", "b").agg(F.collect_set("k").alias("used"))
-    free = need.join(lists, (F.col(scope) == F.col("s")) & (F.col(base) == F.col("b")), "left")
-    blocked = F.coalesce("used", F.array().cast("array<int>"))
-    numbers = F.slice(F.array_except(F.sequence(F.lit(0), (F.col("n") + F.size(blocked)).cast("int")), blocked), F.lit(1), F.col("n").cast("int"))
-    free = free.select(F.col(scope).alias("s2"), F.col(base).alias("b2"), F.posexplode(numbers).alias("i", "k"))
-    nth = F.row_number().over(Window.partitionBy(scope, base).orderBy(order)) - 1
-    numbered = new.withColumn("_i", nth)
-    out = numbered.join(free, (F.col(scope) == F.col("s2")) & (F.col(base) == F.col("b2")) & (F.col("_i") == F.col("i")))
-    return out.withColumn("slug", F.when(F.col("k") == 0, F.col(base)).otherwise(F.concat_ws("-", base, "k"))).select(*new.columns, "slug")
+    s, by = F.coalesce(F.col(scope).cast("string"), F.lit("")), ["_s", base]
+    rows = new.withColumn("_s", s)
+    need = durable(rows.groupBy("_s", F.col(base).alias("b")).agg(F.count("*").alias("n"), F.min(order).alias("t")))
+    taken = existing.select(s.alias("_s"), "slug").where("slug IS NOT NULL").distinct()
+    stem, number = F.regexp_extract("slug", NUMBERED, 1), F.regexp_extract("slug", NUMBERED, 2)
+    used = taken.select("_s", F.col("slug").alias("b"), F.lit(0).alias("k")).unionByName(taken.where(number != "").select("_s", stem.alias("b"), number.try_cast("int").alias("k")))
+    used = used.join(need.select("_s", "b"), ["_s", "b"], "left_semi").groupBy("_s", "b").agg(F.collect_set("k").alias("used"))
+    child = need.select("_s", F.regexp_extract("b", NUMBERED, 1).alias("b"), F.regexp_extract("b", NUMBERED, 2).try_cast("int").alias("k"), F.col("t").alias("o")).where("k IS NOT NULL")
+    child = durable(child.join(need.select("_s", "b"), ["_s", "b"], "left_semi"))
+    # rows of a base before the first row of each base that looks like a numbered one of it
+    asked = rows.select("_s", F.col(base).alias("b"), F.col(order).alias("o"), F.lit(None).cast("int").alias("k")).join(child.select("_s", "b").distinct(), ["_s", "b"], "left_semi").unionByName(child.select("_s", "b", "o", "k"))
+    among = ranked(asked, ["_s", "b"], ["o"], "r", hot_rows).where("k IS NOT NULL")
+    before = ranked(among, ["_s", "b"], ["o"], "own", hot_rows).groupBy("_s", "b").agg(F.collect_list(F.struct("k", (F.col("r") - F.col("own")).alias("c"))).alias("children"))
+    # a base whose plain form may be lost is ruled as well
+    full = child.select("_s", F.concat_ws("-", "b", "k").alias("b"))
+    events = used.select("_s", "b").unionByName(before.select("_s", "b")).unionByName(full).distinct().join(used, ["_s", "b"], "left").join(before, ["_s", "b"], "left")
+    family = F.regexp_replace("b", r"(?:-[1-9][0-9]{0,8})+$", "")
+    ruled = events.withColumn("f", family).groupBy("_s", "f").applyInPandas(lambda x: _family(x.rename(columns={"_s": "s"})), _RULED)
+    steps = ruled.where(F.size("steps") > 0).select(F.col("s").alias("_s"), F.col("b").alias(base), "steps")
+    met = join_hot(ranked(rows, by, [order], "_rank", hot_rows), steps, by, "left", hot_rows, [order])
+    add = F.array_max(F.transform(F.filter("steps", lambda x: x["rank"] <= F.col("_rank")), lambda x: x["add"]))
+    k = F.col("_rank") + F.coalesce(add, F.lit(0))
+    return met.withColumn("slug", F.when(k == 0, F.col(base)).otherwise(F.concat_ws("-", base, k))).select(*new.columns, "slug")
 
 
 def replaced_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: str, name: str) -> DataFrame:
@@ -157,7 +205,7 @@ def import_batch(items: DataFrame, listing: DataFrame, exclude: tuple[str, ...]
     name = F.trim(F.coalesce("name", F.lit("")))
     out = F.coalesce(*[F.when(text.icontains("address", a), F.lit(a)) for a in exclude], F.lit(None).cast("string"))
     judged = items.withColumn("name", name).withColumn("_skip", F.when(name == "", "skipped (no name)").when(out.isNotNull(), F.concat(F.lit("skipped (excluded area: "), out, F.lit(")"))))
-    real = with_fid(collapse(judged.where("_skip IS NULL").drop("_skip"), by=("city_id", "fid")).drop("fid"))
+    real = collapse(judged.where("_skip IS NULL").drop("_skip"))
     found = match(real, listing)
     matched = real.join(found.select("ord", "id", "method"), "ord", "left")
     changes = matched.where("id IS NOT NULL")

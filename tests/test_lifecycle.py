@@ -1,6 +1,7 @@
 """Crawl, import, dedupe, pages, stream."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,42 @@ def test_unique_slugs(spark):
     assert {r["ord"]: r["slug"] for r in merge.unique_slugs(new, existing).collect()} == {1: "x-1", 2: "x-3", 3: "x-4", 4: "y", 5: "x"}
 
 
+def slugs_one_by_one(rows, existing):
+    taken, out = set(existing), {}
+    for o, city, base in sorted(rows):
+        slug, n = base, 1
+        while (city, slug) in taken:
+            slug, n = f"{base}-{n}", n + 1
+        taken.add((city, slug))
+        out[o] = slug
+    return out
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 50_000), (2, 7), (3, 3)])
+def test_slugs_are_those_of_one_by_one(spark, seed, hot):
+    """Bases that look like numbered ones of others, taken slugs, hot bases and a null city."""
+    rng = random.Random(seed)
+    bases = ["x"] * 12 + ["x-1", "x-2", "x-1-1", "x-3", "x-01", "x-0", "y", "y-2", "daycare", "x-10", "-1", "z-1"]
+    rows = [(i, rng.choice([1, 2, None]), rng.choice(bases)) for i in range(150)]
+    existing = [(rng.choice([1, 2, None]), rng.choice(bases) + rng.choice(["", "-1", "-3", "-4", "-5"])) for _ in range(25)]
+    new = spark.createDataFrame(rows, "ord long, city_id long, base string")
+    got = merge.unique_slugs(new, spark.createDataFrame(existing, "city_id long, slug string"), hot_rows=hot).collect()
+    assert {r["ord"]: r["slug"] for r in got} == slugs_one_by_one([(o, c, b) for o, c, b in rows], existing) and len(got) == 150
+    assert len({(r["city_id"], r["slug"]) for r in got}) == 150
+
+
+def test_slugs_that_look_numbered(spark):
+    new = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 1, "x-1")], "ord int, city_id int, base string")
+    none = spark.createDataFrame([], "city_id int, slug string")
+    assert {r["ord"]: r["slug"] for r in merge.unique_slugs(new, none).collect()} == {1: "x", 2: "x-1", 3: "x-1-1"}
+    assert merge.unique_slugs(new.limit(0), none).count() == 0
+
+
+def test_collapse_by_city(spark):
+    items = spark.createDataFrame([(1, "0x1:0x2", "", "A", 1), (2, "0x1:0x2", "", "B", 2), (3, "0x1:0x2", "", "C", 2)], "ord int, place_id string, maps_url string, name string, city_id long")
+    assert sorted((r["ord"], r["city_id"], r["name"]) for r in merge.collapse(items).collect()) == [(1, 1, "A"), (2, 2, "C")]
+
+
 def test_children_and_locks(spark):
     old = spark.createDataFrame([(1, 1, "a", ""), (2, 2, "b", "")], "review_id int, listing_id long, author string, text string")
     new = spark.createDataFrame([(3, 1, "c", ""), (4, 2, "d", ""), (5, 1, "", None)], old.schema)
