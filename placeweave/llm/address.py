@@ -5,6 +5,7 @@ Plain Python on one text at a time; the Spark operators call it in Arrow batches
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -23,7 +24,7 @@ ROADS = "road|drive|lane|boulevard|avenue"
 MARKS = "bakery|pharmacy|station|tailors?|tank|park|market|school|mosque|masjid|bank|hospital|clinic|mart|store|shop|office|plaza|pump|college|ground|chowk|gate|bridge"
 SECTOR = re.compile(r"(?<![a-z0-9#/.-])(?:(?:sector|sec)\b\.?\s*)?([b-i])\s?-?\s?(\d{1,2})(?:\s?[/-]\s?(\d{1,2}))?(?![a-z0-9/])(?!\s?-\s?[a-z0-9])")
 PLUS = re.compile(r"\b[23456789cfghjmpqrvwx]{4,8}\+[23456789cfghjmpqrvwx]{2,3}\b")
-STREET = re.compile(r"\b(?:s(?:t|tr|treet|teet|tret|reet|treeet|trreet)|gali|gully|galli)\b\s*\.?\s*(?:no\b|number\b)?\s*[.#:]*\s*-?\s*(\d{1,3})(?![0-9])")
+STREET = re.compile(r"\b(?:st|str|street|gali|gully|galli)\b\s*\.?\s*(?:no\b|number\b)?\s*[.#:]*\s*-?\s*(\d{1,3})(?![0-9])")
 FLOOR = re.compile(r"\b(?:\d+(?:st|nd|rd|th)|ground|first|second|third|top|lower|upper)\s+floor\b|\bbasement\b")
 BLOCK = re.compile(r"\b(?:block|blk)\b\.?\s*-?\s*([a-z])(?![a-z0-9])|(?<![a-z0-9])([a-z])\s*-?\s*(?:block|blk)\b")
 LANDMARK = re.compile(rf"\b(?:near|nr|opposite|opp|behind|above|beside|below|adjacent to|next to|in front of)\b\.?(?:\s+[a-z']+){{0,3}}?\s+(?:{MARKS})\b")
@@ -33,6 +34,16 @@ BARE = re.compile(r"(?:^|,)\s*(?:no\b\s*\.?\s*[#:]?\s*|#\s*)?(\d{1,4})" + _LETTE
 ROAD = re.compile(rf"([^,\d]*?)\b({ROADS}|rd|dr|ln|blvd|ave)\b\.?")
 
 
+_DASH, _BREAK, _BLANKS = re.compile(r"[‐-―−]"), re.compile(r"\s*[\n\r;|]\s*"), re.compile(r"\s+")
+_PARTS = re.compile(r"[^\W_]+")
+_GLUED = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=[^\W\d_]{3})(?=\d)")
+_CODES, _LOOSE_ROAD, _LOOSE_SECTOR = re.compile(r"\b\d{5}\b|\bpakistan\b|\bict\b"), re.compile(rf"\s*,\s*(?=(?:{ROADS})\s*(?:,|$))"), re.compile(r"\b(?:sector|sec)\b\.?")
+#: Keywords that a number or a single letter follows, and those that end a road's name; misspelt ones go to the one they are an edit away from.
+LEADING, ENDING = ("street", "house", "plot", "flat", "villa", "bungalow", "block", "sector"), tuple(ROADS.split("|"))
+_LED = re.compile(r"\b([a-z]{4,9})\b(?=\s*\.?\s*(?:no\b|number\b|num\b)?\s*[.#:]*\s*-?\s*(?:\d|[a-z]\b))")
+_LAST = re.compile(r"(?<=[a-z] )([a-z]{4,10})(?=\.?\s*(?:,|$))")
+
+
 class Address(NamedTuple):
     number: str | None  # of house or plot, with its letter: "12", "12-a"
     street: str | None
@@ -47,23 +58,24 @@ def plain(text: str | None) -> str:
     """Lower case without accents, dashes and quotes of one kind, white space squeezed, line breaks as commas."""
     if not text:
         return ""
-    text = unicodedata.normalize("NFKD", text)
-    text = "".join(c for c in text if not unicodedata.combining(c) or "؀" <= c <= "ۿ")
-    text = re.sub(r"[‐-―−]", "-", text.replace("’", "'")).lower()
-    return re.sub(r"\s+", " ", re.sub(r"\s*[\n\r;|]\s*", ", ", text)).strip()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+        text = "".join(c for c in text if not unicodedata.combining(c) or "؀" <= c <= "ۿ")
+        text = _DASH.sub("-", text.replace("’", "'"))
+    return _BLANKS.sub(" ", _BREAK.sub(", ", text.lower())).strip()
 
 
 def unglue(text: str | None) -> str | None:
     """Words written together in capitals and small letters or digits, parted: "NorvelaPhase2" as "Norvela Phase 2"."""
     if not text:
         return text
-    return re.sub(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=[^\W\d_]{3})(?=\d)", " ", text)
+    return _GLUED.sub(" ", text)
 
 
 def words(phrase: str) -> list[str]:
     """Words and numbers of a phrase in plain form, short forms written out."""
     out: list[str] = []
-    for w in re.findall(r"[^\W_]+", phrase):
+    for w in _PARTS.findall(phrase):
         w = SHORT.get(w, w)
         if out and out[-1] == "phase":
             w = ROMAN.get(w, w)
@@ -84,11 +96,25 @@ def best_sector(found: list[tuple[str, str | None]]) -> tuple[str | None, str |
     return found[-1] if found else (None, None)
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def keyword(word: str, leading: bool) -> str:
+    """The keyword that a word is or is an edit or swap away from, else the word. A road's type must be longer than four letters or have two swapped, as names are close to short ones."""
+    known = LEADING if leading else ENDING
+    if word in known or word in LEADING or word in ENDING or word in SHORT:
+        return word
+    for k in known:
+        if distance(word, k, 1) == 1 and (leading or (len(word) == len(k) and sorted(word) == sorted(k)) or (len(k) > 5 and word[0] == k[0])):
+            return k
+    return word
+
+
 def read(text: str | None) -> Address:
     """Components of an address; what it lacks is None or empty. Any text gives a result."""
-    s = re.sub(r"\b\d{5}\b|\bpakistan\b|\bict\b", ",", PLUS.sub(",", plain(unglue(text))))
+    s = _CODES.sub(",", PLUS.sub(",", plain(unglue(text)) if text else ""))
+    s = _LED.sub(lambda m: keyword(m[1], True), s)
+    s = _LAST.sub(lambda m: keyword(m[1], False), s)
     s = LANDMARK.sub(",", FLOOR.sub(",", s))
-    s = re.sub(rf"\s*,\s*(?=(?:{ROADS})\s*(?:,|$))", " ", s)
+    s = _LOOSE_ROAD.sub(" ", s)
     street = block = number = None
     m = STREET.search(s)
     if m:
@@ -104,7 +130,7 @@ def read(text: str | None) -> Address:
         s = BLOCK.sub(",", s)
     sector, sub = best_sector(sectors(s))
     s = SECTOR.sub(lambda m: "," if 5 <= int(m[2]) <= 18 else m[0], s)
-    s = re.sub(r"\b(?:sector|sec)\b\.?", ",", s)
+    s = _LOOSE_SECTOR.sub(",", s)
     if number is None:
         m = BARE.search(s)
         if m:

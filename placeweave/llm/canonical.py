@@ -8,11 +8,12 @@ the result for their phrases, so a value typed a billion times is matched once.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,27 +24,23 @@ from placeweave.session import durable, join_hot, spread
 THRESHOLD = 0.8
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _tokens(phrases: pd.Series) -> pd.Series:
+def _tokens(phrase: Column) -> Column:
     """Words of a phrase, its neighbouring words joined, and all of them joined."""
+    w = F.split(phrase, " ")
+    joined = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(w, joined, F.array(F.array_join(w, ""))))
 
-    def of(phrase: str) -> list[str]:
-        w = phrase.split(" ")
-        return list({*w, *(a + b for a, b in zip(w, w[1:])), "".join(w)})
 
-    return phrases.map(of)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _deletions(tokens: pd.Series) -> pd.Series:
+def _deletions(token: Column) -> Column:
     """What a token can lose to meet another one; short tokens and those with digits only meet themselves."""
-    return tokens.map(lambda t: [t] if len(t) < 4 or any(c.isdigit() for c in t) else list(address.shorter(t)))
+    cut = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.length(token))))
+    return F.when((F.length(token) < 4) | token.rlike(r"(?U)\d"), F.array(token)).otherwise(F.array_distinct(F.concat(F.array(token), cut)))
 
 
 def repair(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, ref, sim): pairs of distinct tokens and vocabulary words at most one edit or one swap apart."""
-    a = tokens.select("token", F.explode(_deletions("token")).alias("cut"))
-    b = vocabulary.select("ref", F.explode(_deletions("ref")).alias("cut"))
+    a = tokens.select("token", F.explode(_deletions(F.col("token"))).alias("cut"))
+    b = vocabulary.select("ref", F.explode(_deletions(F.col("ref"))).alias("cut"))
     pairs = a.join(b, "cut").select("token", "ref").distinct()
     edits = F.levenshtein("token", "ref")
 
@@ -94,10 +91,10 @@ def soft_tfidf(value: list[str], entry: list[str], weights: list[float], unknown
     return score
 
 
-def match_phrases(phrases: DataFrame, entries: DataFrame, free: frozenset[str], threshold: float = THRESHOLD) -> DataFrame:
+def match_phrases(phrases: DataFrame, entries: DataFrame, free: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(phrase, entry, score) of all distinct phrases and entries (entry, name) at or above the threshold.
 
-    Phrases and names are words parted by one blank; empty ones match nothing. An entry is only looked up by its rarest words: those
+    free: names (name) whose words, and which joined, may stand unmatched in a phrase. Phrases and names are words parted by one blank; empty ones match nothing. An entry is only looked up by its rarest words: those
     left out weigh too little together to reach the threshold.
     """
     named = entries.where("name <> ''").select("entry", "name", F.array_distinct(F.split("name", " ")).alias("words"), F.regexp_replace("name", " ", "").alias("joined"))
@@ -112,22 +109,31 @@ def match_phrases(phrases: DataFrame, entries: DataFrame, free: frozenset[str],
     posts = post.where(F.col("all") - F.col("before") >= threshold * threshold * F.col("all") - 1e-9).select("entry", "ref")
     posts = durable(posts.unionByName(named.select("entry", F.col("joined").alias("ref"))).distinct())
     profile = weighed.groupBy("entry").agg(F.collect_list(F.struct("ref", "w")).alias("profile")).join(named.select("entry", "words"), "entry")
-    tokens = phrases.where("phrase <> ''").select("phrase", F.explode(_tokens("phrase")).alias("token"))
+    tokens = durable(phrases.where("phrase <> ''").select("phrase", F.explode(_tokens(F.col("phrase"))).alias("token")))
     repaired = repair(tokens.select("token").distinct(), posts.select("ref").distinct())
-    candidates = tokens.join(repaired, "token").join(posts, "ref").select("phrase", "entry").distinct().join(profile, "entry")
+    # each distinct token meets its entries once, then the phrases that hold it
+    reached = repaired.join(posts, "ref").select("token", "entry").distinct()
+    candidates = join_hot(tokens, reached, ["token"], spread_by=["phrase"]).select("phrase", "entry").distinct().join(profile, "entry")
     unknown = math.log(1 + total)
+    if free is None:
+        candidates = candidates.withColumn("free", F.array().cast("array<string>"))
+    else:
+        loose = free.where("name <> ''").select(F.explode(F.array_append(F.split("name", " "), F.regexp_replace("name", " ", ""))).alias("token")).distinct()
+        own = join_hot(tokens, loose, ["token"], spread_by=["phrase"]).groupBy("phrase").agg(F.collect_set("token").alias("free"))
+        candidates = candidates.join(own, "phrase", "left")
 
     @F.pandas_udf("double")
-    def score(phrase: pd.Series, words: pd.Series, prof: pd.Series) -> pd.Series:
+    def score(phrase: pd.Series, words: pd.Series, prof: pd.Series, loose: pd.Series) -> pd.Series:
         out = []
-        for p, ws, pr in zip(phrase, words, prof):
+        for p, ws, pr, fr in zip(phrase, words, prof, loose):
             by = {x["ref"]: x["w"] for x in pr}
-            out.append(soft_tfidf(p.split(" "), list(ws), [by[w] for w in ws], unknown, free))
+            out.append(soft_tfidf(p.split(" "), list(ws), [by[w] for w in ws], unknown, frozenset(fr if fr is not None else ())))
         return pd.Series(out, dtype=float)
 
-    return candidates.withColumn("score", score("phrase", "words", "profile")).where(F.col("score") >= threshold).select("phrase", "entry", "score")
+    return candidates.withColumn("score", score("phrase", "words", "profile", "free")).where(F.col("score") >= threshold).select("phrase", "entry", "score")
 
 
+@functools.lru_cache(maxsize=1 << 15)
 def name_phrase(text: str | None) -> str:
     """A name in the form that phrases have."""
     return " ".join(address.words(address.plain(address.unglue(text))))
@@ -156,18 +162,25 @@ def neighbours(phrases: list[str]) -> list[str]:
     return list(dict.fromkeys([*phrases, *(f"{a} {b}" for a, b in zip(phrases, phrases[1:]))]))
 
 
+@functools.lru_cache(maxsize=1 << 15)
+def _typed(area: str) -> tuple[str | None, tuple[str, ...]]:
+    """The sector that a typed area names, or None, and its phrases."""
+    s = address.plain(address.unglue(area))
+    s = address.re.sub(r"\([^)]*\)?", ",", s)
+    sector, _ = address.best_sector(address.sectors(s))
+    s = address.SECTOR.sub(",", address.BLOCK.sub(",", s))
+    s = address.re.sub(r"\b(?:near|opposite|behind|sector|sec|markaz)\b\.?", ",", s)
+    parts = [p for p in (" ".join(address.words(x)) for x in s.split(",")) if p]
+    return sector, tuple(p for p in dict.fromkeys([" ".join(parts), *neighbours(parts)]) if p)
+
+
 def _mention(city: str | None, area: str | None, where: str | None) -> tuple[list[tuple[str, str]], bool]:
     """(role, phrase) of a row, and whether its area is given. Roles: city, area, sector, told (of the address, for its city only)."""
     out = [("city", p) for p in [name_phrase(city)] if p]
     given = bool(area and area.strip())
     if given:
-        s = address.plain(address.unglue(area))
-        s = address.re.sub(r"\([^)]*\)?", ",", s)
-        sector, _ = address.best_sector(address.sectors(s))
-        s = address.SECTOR.sub(",", address.BLOCK.sub(",", s))
-        s = address.re.sub(r"\b(?:near|opposite|behind|sector|sec|markaz)\b\.?", ",", s)
-        parts = [p for p in (" ".join(address.words(x)) for x in s.split(",")) if p]
-        out += [("area", p) for p in dict.fromkeys([" ".join(parts), *neighbours(parts)]) if p]
+        sector, said = _typed(area)
+        out += [("area", p) for p in said]
         out += [("told", p) for p in address.read(where).phrases]
     else:
         read = address.read(where)
@@ -189,10 +202,6 @@ def match_areas(raw: DataFrame, city: DataFrame, area: DataFrame, alias: DataFra
     raw_id must be unique. Clashing or extra columns of the tables don't matter.
     """
     refs = durable(references(city, area, alias))
-    #: cities are a short list of whole words; held on the driver only up to this size, else their words count as unknown
-    names = refs.where("kind = 'city'").select("name").limit(10_001).collect()
-    free = frozenset(w for r in names for w in (*r["name"].split(" "), r["name"].replace(" ", ""))) if len(names) <= 10_000 else frozenset()
-
     schema = "raw_id long, given boolean, role string, phrase string"
 
     def mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,10 +213,9 @@ def match_areas(raw: DataFrame, city: DataFrame, area: DataFrame, alias: DataFra
             yield pd.DataFrame(rows, columns=["raw_id", "given", "role", "phrase"])
 
     said = durable(spread(raw.select("raw_id", "city", "area", "address"), "raw_id").mapInPandas(mentions, schema))
-    phrases = said.where("role <> 'sector'").select("phrase").distinct()
-    found = match_phrases(phrases, refs.where("kind <> 'sector'").select("entry", "name"), free).join(refs, "entry").select("phrase", "kind", "area_id", "city_id", "score")
-    exact = refs.where("kind = 'sector'").select(F.col("name").alias("phrase"), "kind", "area_id", "city_id", F.lit(1.0).alias("score"))
-    met = join_hot(said, found.unionByName(exact), ["phrase"], "left")
+    phrases = said.select("phrase").distinct()
+    found = match_phrases(phrases, refs.select("entry", "name"), refs.where("kind = 'city'")).join(refs, "entry").select("phrase", "kind", "area_id", "city_id", "score")
+    met = join_hot(said, found, ["phrase"], "left", spread_by=["raw_id", "role"])
     size = F.size(F.split("phrase", " "))
     rank = F.struct("score", size.alias("size"), (-F.col("area_id")).alias("low"), "area_id", "city_id")
     by_row = met.groupBy("raw_id").agg(

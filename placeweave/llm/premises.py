@@ -63,11 +63,9 @@ def premises_keys(rows: DataFrame, city: DataFrame, area: DataFrame, alias: Data
     house or plot, or with none of these forms complete, have no key.
     """
     refs = durable(references(city, area, alias))
-    names = refs.where("kind = 'city'").select("name").limit(10_001).collect()
-    free = frozenset(w for r in names for w in (*r["name"].split(" "), r["name"].replace(" ", ""))) if len(names) <= 10_000 else frozenset()
     said = durable(_components(rows))
     phrases = said.where("role <> 'road'").select("phrase").distinct()
-    found = match_phrases(phrases, refs.where("kind <> 'sector'").select("entry", "name"), free).join(refs, "entry").select("phrase", "kind", "area_id", "city_id", "score")
+    found = match_phrases(phrases, refs.where("kind <> 'sector'").select("entry", "name"), refs.where("kind = 'city'")).join(refs, "entry").select("phrase", "kind", "area_id", "city_id", "score")
     found = durable(found)
     # names outside the list: roads and what else stands between commas, by spelling without blanks
     joined = F.regexp_replace("phrase", " ", "")
