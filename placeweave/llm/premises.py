@@ -56,10 +56,10 @@ def _components(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, schema)
 
 
-def premises_keys(rows: DataFrame, city: DataFrame, area: DataFrame, alias: DataFrame) -> DataFrame:
-    """(side, id, number, city_id, place, key, road) of rows (side, id, city, address): one row for each hash of a plausible form.
+def premises_forms(rows: DataFrame, city: DataFrame, area: DataFrame, alias: DataFrame) -> DataFrame:
+    """(side, id, class_id, number, city_id, place, forms) of rows (side, id, city, address): one row for each address with its plausible forms (key, road).
 
-    Forms: number, street, sector and sub-sector; number, street, block and area; number and named road. Addresses without a number of
+    Addresses with the same number, city, place and forms are of one class, whatever their writing. Forms: number, street, sector and sub-sector; number, street, block and area; number and named road. Addresses without a number of
     house or plot, or with none of these forms complete, have no key.
     """
     refs = durable(references(city, area, alias))
@@ -105,24 +105,55 @@ def premises_keys(rows: DataFrame, city: DataFrame, area: DataFrame, alias: Data
     exact = F.transform(F.coalesce(by_sector, by_block, F.array().cast("array<string>")), lambda f: F.struct(f.alias("hashed"), F.lit(None).cast("string").alias("road")))
     forms = F.when(F.size(exact) > 0, exact).when(~street, roads)
     place = F.when(F.col("sector").isNotNull(), F.col("sector")).when(F.size(listed) == 1, listed[0])
-    out = with_city.select("side", "id", "number", "city_id", place.alias("place"), F.explode(F.array_distinct(forms)).alias("form"))
-    return out.select("side", "id", "number", "city_id", "place", F.xxhash64("form.hashed").alias("key"), "form.road")
-
-
-def same_premises(left: DataFrame, right: DataFrame, city: DataFrame, area: DataFrame, alias: DataFrame) -> DataFrame:
-    """(left_id, right_id) of all pairs of rows (id, city, address) whose addresses denote the same premises, distinct.
-
-    House or plot makes no difference; the letter does. Null, blank and numberless addresses are in no pair. Exact copies pair like others.
-    A hash with many rows on the left is split, its right rows being copied to each piece.
-    """
-    rows = left.select(F.lit("l").alias("side"), "id", "city", "address").unionByName(right.select(F.lit("r").alias("side"), "id", "city", "address"))
-    keys = durable(premises_keys(rows, city, area, alias))
-    a, b = (keys.where(F.col("side") == side).select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "number", "city_id", "place", "road")]) for side in "lr")
-    pairs = join_hot(a, b, ["key"], hot_rows=ROWS_PER_TASK).where(F.col("l_number") == F.col("r_number"))
+    hashed = F.array_sort(F.array_distinct(F.transform(forms, lambda f: F.struct(F.xxhash64(f["hashed"]).alias("key"), f["road"].alias("road")))))
+    out = with_city.select("side", "id", "number", "city_id", place.alias("place"), hashed.alias("forms")).where(F.size("forms") > 0)
+    own = F.concat_ws("|", "number", F.coalesce(F.col("city_id").cast("string"), F.lit("?")), F.coalesce("place", F.lit("?")), F.array_join(F.transform("forms", lambda f: f["key"].cast("string")), ","))
+    return out.select("side", "id", F.xxhash64(own).alias("class_id"), "number", "city_id", "place", "forms")
+
+
+def class_pairs(rows: DataFrame) -> DataFrame:
+    """(l_class, r_class) of the classes of rows of premises_forms (durable) that denote the same premises, distinct: copies of an address meet once."""
+    classes = rows.groupBy("side", "class_id").agg(*[F.any_value(c).alias(c) for c in ("number", "city_id", "place", "forms")])
+    keys = durable(classes.select("side", "class_id", "number", "city_id", "place", F.explode("forms").alias("form")).select("side", "class_id", "number", "city_id", "place", "form.key", "form.road"))
+    a, b = (keys.where(F.col("side") == side).select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("class_id", "number", "city_id", "place", "road")]) for side in "lr")
+    pairs = join_hot(a, b, ["key"], hot_rows=ROWS_PER_TASK, spread_by=["l_class_id"]).where(F.col("l_number") == F.col("r_number"))
     for c in ("city_id", "place"):
         pairs = pairs.where(F.col(f"l_{c}").isNull() | F.col(f"r_{c}").isNull() | (F.col(f"l_{c}") == F.col(f"r_{c}")))
     one, two = F.col("l_road"), F.col("r_road")
     edits = F.levenshtein(one, two)
     swap = (edits == 2) & (F.length(one) == F.length(two)) & (F.array_sort(F.split(one, "")) == F.array_sort(F.split(two, "")))
     near = (one.isNull() & two.isNull()) | (edits <= 1) | swap
-    return pairs.where(near).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).distinct()
+    return pairs.where(near).select(F.col("l_class_id").alias("l_class"), F.col("r_class_id").alias("r_class")).distinct()
+
+
+def both_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.select(F.lit("l").alias("side"), "id", "city", "address").unionByName(right.select(F.lit("r").alias("side"), "id", "city", "address"))
+
+
+def linked_premises(left: DataFrame, right: DataFrame, city: DataFrame, area: DataFrame, alias: DataFrame) -> DataFrame:
+    """(side, id, class_id, links): each address (side l or r) that has a form, its class, and the number of the other side's addresses of the same premises.
+
+    Pairs are made of classes only, so premises with a million copies on each side cost a million rows, not a million million.
+    """
+    rows = durable(premises_forms(both_sides(left, right), city, area, alias))
+    pairs = durable(class_pairs(rows))
+    n = rows.groupBy("side", "class_id").agg(F.count("*").alias("n"))
+    links = []
+    for own, other in ("lr", "rl"):
+        met = pairs.join(n.where(F.col("side") == other).select(F.col("class_id").alias(f"{other}_class"), "n"), f"{other}_class")
+        links.append(met.groupBy(F.col(f"{own}_class").alias("class_id")).agg(F.sum("n").alias("links")).select(F.lit(own).alias("side"), "class_id", "links"))
+    joined = join_hot(rows.select("side", "id", "class_id"), links[0].unionByName(links[1]), ["side", "class_id"], "left", spread_by=["id"])
+    return joined.select("side", "id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def same_premises(left: DataFrame, right: DataFrame, city: DataFrame, area: DataFrame, alias: DataFrame) -> DataFrame:
+    """(left_id, right_id) of all pairs of rows (id, city, address) whose addresses denote the same premises, distinct.
+
+    House or plot makes no difference; the letter does. Null, blank and numberless addresses are in no pair. Exact copies pair like others: their
+    classes meet once and pairs are made from the classes' members. Ids must be unique on each side. Hashes and classes with many rows are split.
+    """
+    rows = durable(premises_forms(both_sides(left, right), city, area, alias))
+    pairs = class_pairs(rows)
+    ones, twos = (rows.where(F.col("side") == side).select(F.col("id").alias(f"{name}_id"), F.col("class_id").alias(f"{side}_class")) for side, name in (("l", "left"), ("r", "right")))
+    met = join_hot(ones, pairs, ["l_class"], hot_rows=ROWS_PER_TASK, spread_by=["left_id"])
+    return join_hot(met, twos, ["r_class"], hot_rows=ROWS_PER_TASK, spread_by=["left_id", "l_class"]).select("left_id", "right_id")

@@ -37,11 +37,21 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redact(load(spark, folder, "review"), load(spark, folder, "person_name"), DEMO_KEY)
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+def premises_inputs(spark: SparkSession, folder: str) -> list[DataFrame]:
     city, area, alias, raw, listing = (load(spark, folder, t) for t in ("city", "area", "area_alias", "raw_place", "listing"))
     typed = spread(raw.select(F.col("raw_id").alias("id"), "city", "address"), "id")
     named = spread(listing.select("id", "city_id", "address"), "id").join(city.select(F.col("id").alias("city_id"), F.col("name").alias("city")), "city_id", "left").select("id", "city", "address")
-    return premises.same_premises(typed, named, city, area, alias).select(F.col("left_id").alias("raw_id"), F.col("right_id").alias("listing_id"))
+    return [typed, named, city, area, alias]
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return premises.same_premises(*premises_inputs(spark, folder)).select(F.col("left_id").alias("raw_id"), F.col("right_id").alias("listing_id"))
+
+
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each address with its class and its number of links to the other table."""
+    rows = premises.linked_premises(*premises_inputs(spark, folder))
+    return rows.select(F.when(F.col("side") == "l", "raw_place").otherwise("listing").alias("source"), "id", "class_id", "links")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +71,7 @@ def p9_mixtures(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("share", F.round("share", 4))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_mixtures": p9_mixtures}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_merged": p3_merged, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_classes": p6_classes, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_mixtures": p9_mixtures}
 KEY = """CASE WHEN regexp_full_match(p, '0x[0-9a-f]+:0x[0-9a-f]+') THEN p ELSE nullif(regexp_extract(u, '(!1s|[?&]ftid=|[?&]q=)(0x[0-9a-f]+:0x[0-9a-f]+)', 2), '') END"""
 
 

@@ -95,6 +95,36 @@ def test_premises_hot(spark, monkeypatch):
     assert premises.same_premises(left, right, *tables(spark)).count() == 180
 
 
+def test_linked_premises(spark, monkeypatch):
+    """The number of links of each address is that of its pairs; copies share a class."""
+    monkeypatch.setattr(premises, "ROWS_PER_TASK", 7)
+    lefts = LEFT + LEFT[:2] * 20 + [LEFT[6]] * 15
+    left = spark.createDataFrame([(i, None, a) for i, a in enumerate(lefts)], "id long, city string, address string")
+    right = spark.createDataFrame([(i, None, a) for i, a in enumerate(RIGHT * 3)], "id long, city string, address string")
+    pairs = [tuple(r) for r in premises.same_premises(left, right, *tables(spark)).collect()]
+    assert len(pairs) == len(set(pairs)) and len(pairs) > 150
+    rows = premises.linked_premises(left, right, *tables(spark)).collect()
+    want = defaultdict(int)
+    for a, b in pairs:
+        want["l", a] += 1
+        want["r", b] += 1
+    assert {(r["side"], r["id"]): r["links"] for r in rows if r["links"]} == want
+    kind = {(r["side"], r["id"]): r["class_id"] for r in rows}
+    assert kind["l", 0] == kind["l", 12] and len(kind) == len(rows)
+    assert premises.linked_premises(left.limit(0), right.limit(0), *tables(spark)).count() == 0
+
+
+@pytest.mark.parametrize("text,street", [("House 3, Srteet 5, F-7/2", "5"), ("House 3, Steet 5, F-7/2", "5"), ("Huose 3, Streeet 5, F-7/2", "5"), ("Hause 3, Tsreet 5, F-7/2", "5")])
+def test_misspelt_keywords(text, street):
+    a = address.read(text)
+    assert (a.number, a.street, a.sector) == ("3", street, "f-7")
+
+
+def test_other_words_are_no_keywords():
+    assert address.read("9 Wonder Land, Norvela Phase 2").roads == [] and address.read("9 Mundwani Avenu").roads == ["mundwani"]
+    assert "norvela phase 2" in address.read("House 9, Norvela Phase 2").phrases
+
+
 def brute(rows):
     fields = survivor.MERGE_FIELDS
     groups, out = defaultdict(list), set()
