@@ -57,9 +57,9 @@ def _components(rows: DataFrame) -> DataFrame:
 
 
 def premises_forms(rows: DataFrame, city: DataFrame, area: DataFrame, alias: DataFrame) -> DataFrame:
-    """(side, id, class_id, number, city_id, place, forms) of rows (side, id, city, address): one row for each address with its plausible forms (key, road).
+    """(side, id, class_id, number, city_id, place, whole, roads) of rows (side, id, city, address): one row for each address with its plausible forms.
 
-    Addresses with the same number, city, place and forms are of one class, whatever their writing. Forms: number, street, sector and sub-sector; number, street, block and area; number and named road. Addresses without a number of
+    whole: forms that must be equal; roads: names of roads, which may differ by an edit. Addresses with the same number, city, place and forms are of one class, whatever their writing. Forms: number, street, sector and sub-sector; number, street, block and area; number and named road. Addresses without a number of
     house or plot, or with none of these forms complete, have no key.
     """
     refs = durable(references(city, area, alias))
@@ -98,23 +98,28 @@ def premises_forms(rows: DataFrame, city: DataFrame, area: DataFrame, alias: Dat
     where = F.when(F.size(listed) > 0, listed).otherwise(other)
     street = F.col("street").isNotNull()
     by_sector = F.when(street & F.col("sub").isNotNull(), F.array(F.concat_ws("/", F.lit("s"), "sector", "sub", "street", "number")))
-    by_block = F.when(street & F.col("sector").isNull() & F.col("block").isNotNull(), F.transform(where, lambda w: F.concat_ws("/", F.lit("b"), w, "block", "street", "number")))
-    # a road name also by what one deletion leaves of it: names an edit apart share one of these and are compared on the pairs
-    cuts = lambda r: F.array_union(F.array(r), F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.concat(F.substring(r, F.lit(1), i - 1), F.substring(r, i + 1, F.length(r)))))
-    roads = F.flatten(F.transform("roads", lambda r: F.transform(cuts(r), lambda c: F.struct(F.concat_ws("/", F.lit("r"), c, "number").alias("hashed"), r.alias("road")))))
-    exact = F.transform(F.coalesce(by_sector, by_block, F.array().cast("array<string>")), lambda f: F.struct(f.alias("hashed"), F.lit(None).cast("string").alias("road")))
-    forms = F.when(F.size(exact) > 0, exact).when(~street, roads)
+    by_block = F.when(street & F.col("sector").isNull() & F.col("block").isNotNull(), F.transform(F.array_sort(where), lambda w: F.concat_ws("/", F.lit("b"), w, "block", "street", "number")))
+    none = F.array().cast("array<string>")
+    whole = F.coalesce(by_sector, by_block, none)
+    roads = F.when((F.size(whole) == 0) & ~street, F.array_sort("roads")).otherwise(none)
     place = F.when(F.col("sector").isNotNull(), F.col("sector")).when(F.size(listed) == 1, listed[0])
-    hashed = F.array_sort(F.array_distinct(F.transform(forms, lambda f: F.struct(F.xxhash64(f["hashed"]).alias("key"), f["road"].alias("road")))))
-    out = with_city.select("side", "id", "number", "city_id", place.alias("place"), hashed.alias("forms")).where(F.size("forms") > 0)
-    own = F.concat_ws("|", "number", F.coalesce(F.col("city_id").cast("string"), F.lit("?")), F.coalesce("place", F.lit("?")), F.array_join(F.transform("forms", lambda f: f["key"].cast("string")), ","))
-    return out.select("side", "id", F.xxhash64(own).alias("class_id"), "number", "city_id", "place", "forms")
+    out = with_city.select("side", "id", "number", "city_id", place.alias("place"), whole.alias("whole"), roads.alias("roads")).where("size(whole) + size(roads) > 0")
+    own = F.concat_ws("|", "number", F.coalesce(F.col("city_id").cast("string"), F.lit("?")), F.coalesce("place", F.lit("?")), F.array_join("whole", ","), F.array_join("roads", ","))
+    return out.select("side", "id", F.xxhash64(own).alias("class_id"), "number", "city_id", "place", "whole", "roads")
+
+
+def _forms() -> Column:
+    """array of struct(key, road) from whole and roads. A road's name also by what one deletion leaves of it: names an edit apart share one of these and are compared on the pairs."""
+    cuts = lambda r: F.array_union(F.array(r), F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.concat(F.substring(r, F.lit(1), i - 1), F.substring(r, i + 1, F.length(r)))))
+    named = F.flatten(F.transform("roads", lambda r: F.transform(cuts(r), lambda c: F.struct(F.xxhash64(F.concat_ws("/", F.lit("r"), c, "number")).alias("key"), r.alias("road")))))
+    exact = F.transform("whole", lambda f: F.struct(F.xxhash64(f).alias("key"), F.lit(None).cast("string").alias("road")))
+    return F.concat(exact, named)
 
 
 def class_pairs(rows: DataFrame) -> DataFrame:
     """(l_class, r_class) of the classes of rows of premises_forms (durable) that denote the same premises, distinct: copies of an address meet once."""
-    classes = rows.groupBy("side", "class_id").agg(*[F.any_value(c).alias(c) for c in ("number", "city_id", "place", "forms")])
-    keys = durable(classes.select("side", "class_id", "number", "city_id", "place", F.explode("forms").alias("form")).select("side", "class_id", "number", "city_id", "place", "form.key", "form.road"))
+    classes = rows.dropDuplicates(["side", "class_id"])
+    keys = durable(classes.select("side", "class_id", "number", "city_id", "place", F.explode(_forms()).alias("form")).select("side", "class_id", "number", "city_id", "place", "form.key", "form.road"))
     a, b = (keys.where(F.col("side") == side).select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("class_id", "number", "city_id", "place", "road")]) for side in "lr")
     pairs = join_hot(a, b, ["key"], hot_rows=ROWS_PER_TASK, spread_by=["l_class_id"]).where(F.col("l_number") == F.col("r_number"))
     for c in ("city_id", "place"):
