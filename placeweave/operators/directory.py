@@ -173,7 +173,15 @@ def address_city(spark, load):
     return load("raw_place").select("raw_id", text.address_city("address").alias("city"))
 
 
-@query()
+def sector_sql(source: str) -> str:
+    """CTE s of texts (raw_id, f, t): sector and sub, by all mentions with their whole digits, which are judged afterwards."""
+    return f"""t AS (SELECT raw_id, f, regexp_extract_all(regexp_replace(t, '\\b[2-9CFGHJMPQRVWX]{{4,8}}\\+[2-9CFGHJMPQRVWX]{{0,3}}\\b', ' ', 'g'), '(?:^|[^A-Za-z0-9])([B-I]\\s?-?\\s?[0-9]+(?:\\s?[/-]\\s?[0-9]+)?)', 1) AS l FROM ({source})),
+      x AS (SELECT raw_id, f, list_filter(list_transform(l, lambda x: {{'s': x[1], 'n': regexp_extract(x, '([0-9]+)', 1), 'u': regexp_extract(x, '^[B-I]\\s?-?\\s?[0-9]+\\s?[/-]\\s?([0-9]+)$', 1)}}), lambda m: len(m.n) <= 2 AND TRY_CAST(m.n AS INTEGER) BETWEEN 5 AND 18) AS l FROM t),
+      y AS (SELECT raw_id, f, coalesce(list_filter(l, lambda m: m.u IN ('1', '2', '3', '4'))[1], l[-1]) AS b FROM x),
+      s AS (SELECT raw_id, f, coalesce(b.s || '-' || CAST(CAST(b.n AS INTEGER) AS VARCHAR), '') AS sector, CASE WHEN b.u IN ('1', '2', '3', '4') THEN b.s || '-' || CAST(CAST(b.n AS INTEGER) AS VARCHAR) || '/' || b.u ELSE '' END AS sub FROM y)"""
+
+
+@query(f"WITH {sector_sql("SELECT raw_id, 'a' AS f, coalesce(address, '') AS t FROM raw_place")} SELECT raw_id, sector, sub FROM s")
 def sector_extract(spark, load):
     return load("raw_place").select("raw_id", text.sector("address").alias("s")).select("raw_id", "s.*")
 
@@ -305,21 +313,50 @@ def city_plan(load) -> Plan:
     """A plan of the first city's areas and aliases; both lists are short and fixed."""
     names = {r["id"]: r["name"] for r in short_list(load("area").where("city_id = 1").orderBy("id"), 1000)}
     plan = Plan("Zarwanabad", KEYWORDS, list(names.values()), area_match={"max_km": "1.5"})
-    plan.aliases = {r["alias"]: names[r["area_id"]] for r in short_list(load("area_alias"), 1000) if r["area_id"] in names and r["alias"].isascii()}
+    plan.aliases = {r["alias"]: names[r["area_id"]] for r in short_list(load("area_alias").orderBy("alias"), 1000) if r["area_id"] in names}
     return plan
 
 
-@query()
+NEAREST = f"""d AS (SELECT p.raw_id, c.area, c.area_id, {KM} AS km FROM raw_place p, area_centre c WHERE c.lat IS NOT NULL AND c.lng IS NOT NULL AND p.latitude <> 0 AND p.longitude <> 0 AND NOT isnan(p.latitude) AND NOT isnan(p.longitude)),
+    pin AS (SELECT raw_id, arg_min(area, (km, area_id)) AS area FROM d WHERE km <= 1.5 GROUP BY 1)"""
+#: Areas by the first of sector, name in the address, in the place's name, and the nearest centre; names are joined by their patterns.
+ASSIGNED = f"""u AS (SELECT raw_id, 'a' AS f, coalesce(address, '') AS t FROM raw_place UNION ALL SELECT raw_id, 'n', coalesce(name, '') FROM raw_place), {sector_sql("SELECT * FROM u")},
+    spelt AS (SELECT name AS n, name AS area, 0 AS k, id AS o FROM area WHERE city_id = 1 AND NOT regexp_full_match(name, '[B-I]-[0-9]{{1,2}}') UNION ALL SELECT alias, a.name, 1, row_number() OVER (ORDER BY alias) FROM area_alias JOIN area a ON a.id = area_id AND a.city_id = 1),
+    forms AS (SELECT area, k, o, regexp_extract_all(lower(n), '[\\p{{L}}\\p{{N}}]+') AS w FROM spelt),
+    names AS (SELECT area, '(^|[^a-z0-9])' || array_to_string(w, '[\\s\\-]*,?[\\s\\-]*') || '([^a-z0-9]|$)' AS form, row_number() OVER (ORDER BY len(array_to_string(w, '')) + 16 * (len(w) - 1) DESC, k, o) AS rank FROM forms WHERE len(w) > 0),
+    m AS (SELECT raw_id, f, arg_min(area, rank) AS area FROM u JOIN names ON regexp_matches(lower(t), form) GROUP BY 1, 2),
+    listed AS (SELECT name AS sector, name AS area FROM area WHERE city_id = 1 AND regexp_full_match(name, '[B-I]-[0-9]{{1,2}}') UNION SELECT alias, a.name FROM area_alias JOIN area a ON a.id = area_id AND a.city_id = 1 WHERE regexp_full_match(alias, '[B-I]-[0-9]{{1,2}}')),
+    e AS (SELECT s.raw_id, s.f, CASE WHEN s.sector <> '' THEN coalesce(l.area, '') ELSE m.area END AS area, CASE WHEN s.sector <> '' THEN s.sub ELSE '' END AS sub_area,
+      CASE WHEN l.area IS NOT NULL THEN 'sector' WHEN s.sector <> '' THEN '' WHEN m.area IS NOT NULL THEN 'name' END AS method, CASE WHEN s.sector <> '' AND l.area IS NULL THEN s.sector ELSE '' END AS unlisted
+      FROM s LEFT JOIN listed l ON l.sector = s.sector LEFT JOIN m ON m.raw_id = s.raw_id AND m.f = s.f), {NEAREST},
+    assigned AS (SELECT a.raw_id, CASE WHEN a.method IS NOT NULL THEN a.area WHEN coalesce(n.area, '') <> '' THEN n.area ELSE coalesce(pin.area, '') END AS area,
+      CASE WHEN a.method IS NOT NULL THEN a.sub_area WHEN coalesce(n.area, '') <> '' THEN n.sub_area ELSE '' END AS sub_area,
+      CASE WHEN a.method IS NOT NULL THEN a.method WHEN coalesce(n.area, '') <> '' THEN 'listing name (' || n.method || ')' WHEN pin.area IS NOT NULL THEN 'map pin' ELSE '' END AS method,
+      CASE WHEN a.method IS NOT NULL THEN a.unlisted ELSE '' END AS unlisted_sector
+      FROM (SELECT * FROM e WHERE f = 'a') a JOIN (SELECT * FROM e WHERE f = 'n') n USING (raw_id) LEFT JOIN pin USING (raw_id))"""
+
+
+@query(f"WITH {ASSIGNED} SELECT * FROM assigned")
 def area_assignment(spark, load):
     return areas.assign(load("raw_place"), areas.Matcher(city_plan(load)), centre_rows(load))
 
 
-@query()
+@query(f"WITH {ASSIGNED}, a AS (SELECT area, count(*) AS n FROM assigned WHERE area <> '' GROUP BY 1) SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS ord, area.name AS area, coalesce(a.n, 0) AS n FROM area LEFT JOIN a ON a.area = area.name WHERE city_id = 1")
 def area_report(spark, load):
     listed = spark.createDataFrame(list(enumerate(city_plan(load).areas)), "ord int, area string")
     return report.per_area(area_assignment(spark, load), listed)
 
 
+@query(f"WITH {ASSIGNED} SELECT unlisted_sector AS sector, count(*) AS n FROM assigned WHERE unlisted_sector <> '' GROUP BY 1")
+def unlisted_sectors(spark, load):
+    return report.unlisted(area_assignment(spark, load))
+
+
+@query(f"WITH {ASSIGNED} SELECT raw_id, coalesce(p.name, '') AS name, coalesce(p.address, '') AS address FROM assigned JOIN raw_place p USING (raw_id) WHERE assigned.area = ''")
+def without_area(spark, load):
+    return report.without_area(area_assignment(spark, load), load("raw_place"), "raw_id")
+
+
 def run_stats(load):
     return load("raw_place").select(F.explode("found_by").alias("key")).groupBy("key").agg(F.count("*").alias("found"))
 

@@ -59,6 +59,12 @@ def unlisted(assigned: DataFrame) -> DataFrame:
     return assigned.where("unlisted_sector <> ''").groupBy(F.col("unlisted_sector").alias("sector")).agg(F.count("*").alias("n"))
 
 
+def without_area(assigned: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """(key, name, address) of places that no area could be found for."""
+    empty = F.lit("")
+    return places.join(assigned.where("area = ''").select(key), key, "left_semi").select(key, F.coalesce("name", empty).alias("name"), F.coalesce("address", empty).alias("address"))
+
+
 def stalled(scrolls: DataFrame, times: int = 3) -> DataFrame:
     """(task_key, stop): the first scroll of a search with so many equal counts in a row before it, itself included in no run of its own.
 
