@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,27 @@ def places(load):
     return load("listing"), load("city"), load("area")
 
 
+#: Fields that a raw place brings, with the column they stand in; how a value is missing and how it is compared.
+BROUGHT = {f: {"maps_url": "google_maps_url"}.get(f, f) for f in ("name", "listing_type", "address", "phone", "website", "description", "rating", "review_count", "latitude", "longitude", "categories", "hours", "maps_url")}
+NUMBERS, LISTS = ("rating", "review_count", "latitude", "longitude"), ("categories", "hours")
+
+
+def full_sql(f: str, x: str) -> str:
+    if f in NUMBERS:
+        return f"({x} IS NOT NULL AND {x} <> 0)"
+    return f"coalesce({'len' if f == 'categories' else 'cardinality'}({x}), 0) > 0" if f in LISTS else f"coalesce({x}, '') <> ''"
+
+
+def shown_sql(f: str, x: str) -> str:
+    return f"array_to_string({x}, '|')" if f == "categories" else f"array_to_string(list_sort(list_transform(map_entries({x}), lambda e: e.key || '=' || coalesce(e.value, ''))), '|')" if f == "hours" else x
+
+
+def shown(rows: DataFrame, *columns: str) -> DataFrame:
+    """Lists and maps as text, in one order."""
+    hours = F.array_join(F.array_sort(F.transform(F.map_entries("hours"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))), "|")
+    return rows.select(*[F.array_join(c, "|").alias(c) if c in ("categories", "locked_fields") else hours.alias(c) if c == "hours" else F.col(c) for c in columns])
+
+
 ACTIVE = "listing l LEFT JOIN city c ON c.id = l.city_id LEFT JOIN area a ON a.id = l.area_id WHERE l.is_active"
 
 
@@ -126,15 +149,88 @@ def sitemap_union(spark, load):
 
 @query("""SELECT l.id, split_part(coalesce(l.address, ''), ',', 1) AS short_address,
     CASE WHEN a.name IS NOT NULL AND l.sub_area <> '' THEN l.sub_area || ', ' || a.name ELSE coalesce(a.name, c.name, '') END AS location_label,
-    CAST(round_even(coalesce(l.rating, 0), 0) AS INTEGER) AS rating_stars
+    CAST(round_even(coalesce(l.rating, 0), 0) AS INTEGER) AS rating_stars, repeat('★', CAST(round_even(coalesce(l.rating, 0), 0) AS INTEGER)) AS stars,
+    coalesce(left(nullif(l.description, ''), 155), coalesce(l.name, '') || ' is a daycare in ' || coalesce(l.address, '') || '. Rating: ' || CAST(l.rating AS VARCHAR) || '/5 from ' || l.review_count || ' reviews.') AS meta_desc
     FROM listing l LEFT JOIN city c ON c.id = l.city_id LEFT JOIN area a ON a.id = l.area_id""")
 def labels_projection(spark, load):
-    return serve.labels(serve.with_place(*places(load))).select("id", "short_address", "location_label", "rating_stars")
+    return serve.labels(serve.with_place(*places(load))).select("id", "short_address", "location_label", "rating_stars", "stars", "meta_desc")
+
 
+def all_images(load):
+    """Images of the raw places, each of the listing with the place's number."""
+    return load("raw_place").select(F.col("raw_id").alias("listing_id"), F.posexplode("images").alias("pos", "i")).select("listing_id", "pos", "i.url", "i.alt", "i.file")
 
-@query()
+
+@query("""WITH o AS (SELECT raw_id AS id, list_filter(images, lambda i: coalesce(i.file, '') <> '')[1].file AS image FROM raw_place)
+    SELECT l.id, 'ChildCare' AS kind, l.name, CASE WHEN length(l.description) > 200 THEN left(l.description, 199) || '…' ELSE l.description END AS description, l.address AS street, c.name AS locality,
+      nullif(l.phone, '') AS telephone, nullif(l.website, '') AS url, CASE WHEN l.rating <> 0 THEN CAST(l.rating AS VARCHAR) END AS rating, CASE WHEN l.rating <> 0 THEN CAST(l.review_count AS VARCHAR) END AS reviews,
+      CASE WHEN l.latitude <> 0 THEN l.latitude END AS latitude, o.image, c.name || ', Pakistan' AS served
+    FROM listing l LEFT JOIN city c ON c.id = l.city_id LEFT JOIN o ON o.id = l.id""")
 def structured_data(spark, load):
-    return serve.structured_data(serve.with_place(*places(load)))
+    images = serve.shown_images(all_images(load).select("listing_id", F.col("pos").alias("order"), F.col("file").alias("image"), "alt"))
+    rows = serve.structured_data(serve.with_place(*places(load)), images)
+    paths = {"kind": "@type", "name": "name", "description": "description", "street": "address.streetAddress", "locality": "address.addressLocality", "telephone": "telephone", "url": "url", "rating": "aggregateRating.ratingValue",
+             "reviews": "aggregateRating.reviewCount", "latitude": "geo.latitude", "image": "image", "served": "areaServed"}
+    members = {n: F.get_json_object("json", f"$['{p}']" if p[0] == "@" else f"$.{p}") for n, p in paths.items()}
+    return rows.select("id", *[(c.cast("double") if n == "latitude" else c).alias(n) for n, c in members.items()])
+
+
+@query(f"SELECT count(*) AS n FROM {ACTIVE} AND c.slug = '{CITY}' AND a.slug = '{AREA}'")
+def page_count(spark, load):
+    return serve.city_page(*places(load), CITY, area_slug=AREA).agg(F.count("*").alias("n"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """The rows with their place in the order they come in; for pages, which are short."""
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    return placed.withColumn("ord", F.row_number().over(Window.orderBy("_at"))).drop("_at")
+
+
+PAGE_ORDERS = {"rating": "l.rating DESC NULLS LAST", "reviews": "l.review_count DESC NULLS LAST", "name": "l.name NULLS FIRST", "other": "l.is_featured DESC NULLS LAST"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS sort, CAST(row_number() OVER (ORDER BY {o}, l.rating DESC NULLS LAST, l.id) AS INTEGER) AS ord, l.id FROM {ACTIVE} AND c.slug = '{CITY}'" for k, o in PAGE_ORDERS.items()))
+def page_orders(spark, load):
+    parts = [in_order(serve.city_page(*places(load), CITY, sort=k).select("id")).select(F.lit(k).alias("sort"), "ord", "id") for k in PAGE_ORDERS]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""SELECT 'area page' AS page, CAST(row_number() OVER (ORDER BY l.is_featured DESC NULLS LAST, l.rating DESC NULLS LAST, l.id) AS INTEGER) AS ord, l.id FROM {ACTIVE} AND a.slug = '{AREA}' AND a.city_id = (SELECT id FROM city WHERE slug = '{CITY}')
+    UNION ALL SELECT 'other areas', CAST(row_number() OVER (ORDER BY name, id) AS INTEGER), id FROM area WHERE city_id = (SELECT city_id FROM area WHERE id = 83) AND id <> 83""")
+def area_orders(spark, load):
+    page, others = serve.area_page(*places(load), CITY, AREA), serve.other_areas(load("area"), 83)
+    return in_order(page.select("id")).select(F.lit("area page").alias("page"), "ord", "id").unionByName(in_order(others.select("id")).select(F.lit("other areas").alias("page"), "ord", "id"))
+
+
+@query("SELECT review_id, coalesce(nullif(author, ''), 'Anonymous') AS author, repeat('★', CAST(coalesce(rating, 0) AS INTEGER)) AS stars, text FROM review")
+def review_cards(spark, load):
+    return serve.review_cards(load("review"))
+
+
+@query("""WITH r AS (SELECT listing_id, row_number() OVER (PARTITION BY listing_id ORDER BY rating DESC NULLS LAST, review_id) AS r, review_id FROM review WHERE listing_id IS NOT NULL)
+    SELECT l.id, coalesce(string_agg(CAST(r.review_id AS VARCHAR), ',' ORDER BY r.r), '') AS review_ids FROM listing l LEFT JOIN r ON r.listing_id = l.id GROUP BY 1""")
+def listing_reviews(spark, load):
+    rows = serve.with_reviews(load("listing"), load("review"), None)
+    return rows.select("id", F.array_join(F.transform("reviews", lambda r: r["review_id"].cast("string")), ",").alias("review_ids"))
+
+
+@query("""WITH i AS (SELECT raw_id, unnest(images) AS i, generate_subscripts(images, 1) AS pos FROM raw_place), k AS (SELECT DISTINCT i.file AS file FROM i JOIN raw_place p USING (raw_id) WHERE NOT coalesce(p.closed, false)),
+    f AS (SELECT raw_id AS listing_id, CAST(row_number() OVER (PARTITION BY raw_id ORDER BY pos) - 1 AS INTEGER) AS ord, i.url AS url, i.file AS file FROM i WHERE i.file <> '' AND i.file IN (SELECT file FROM k WHERE file IS NOT NULL))
+    SELECT listing_id, ord, (ord + 1) || regexp_extract(file, '([.][^./]+)$', 1) AS name, url FROM f""")
+def photo_numbers(spark, load):
+    return merge.numbered_photos(all_images(load), photo_files(load)).select("listing_id", "ord", "name", "url")
+
+
+def photo_files(load):
+    """The files there are: those of places that aren't closed."""
+    return load("raw_place").where("NOT coalesce(closed, false)").select(F.explode("images.file").alias("file"))
+
+
+@query("""WITH i AS (SELECT raw_id, unnest(images) AS i FROM raw_place), k AS (SELECT DISTINCT i.file AS file FROM i JOIN raw_place p USING (raw_id) WHERE NOT coalesce(p.closed, false) AND i.file IS NOT NULL)
+    SELECT count(*) FILTER (WHERE i.file <> '' AND i.file IN (SELECT file FROM k)) AS imported, count(*) FILTER (WHERE NOT coalesce(i.file <> '' AND i.file IN (SELECT file FROM k), false)) AS skipped FROM i""")
+def photo_counts(spark, load):
+    images = all_images(load)
+    return merge.skipped_photos(images, merge.numbered_photos(images, photo_files(load)))
 
 
 @query("""SELECT id, name FROM listing WHERE listing_type = 'preschool' AND
@@ -160,10 +256,10 @@ def url_fields(spark, load):
 
 
 @query("""SELECT raw_id, CASE WHEN coalesce(place_id, '') <> '' THEN place_id ELSE coalesce(name, '') || '|' || coalesce(address, '') END AS entity_key,
-    CASE WHEN coalesce(place_id, '') <> '' THEN replace(place_id, ':', '_') END AS folder FROM raw_place""")
+    CASE WHEN coalesce(place_id, '') <> '' THEN replace(place_id, ':', '_') ELSE 'noid_' || left(sha1(coalesce(name, '') || '|' || coalesce(address, '')), 16) END AS folder FROM raw_place""")
 def entity_keys(spark, load):
     rows = load("raw_place").select("raw_id", "place_id", text.entity_key("place_id", "name", "address").alias("entity_key"))
-    return rows.select("raw_id", "entity_key", F.when(F.coalesce("place_id", F.lit("")) != "", text.folder("place_id", "entity_key")).alias("folder"))
+    return rows.select("raw_id", "entity_key", text.folder("place_id", "entity_key").alias("folder"))
 
 
 @query("""WITH p AS (SELECT raw_id, list_filter(list_transform(string_split(coalesce(address, ''), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM raw_place),
@@ -283,6 +379,60 @@ VERDICT = """v AS (SELECT raw_id, coalesce(name, '') AS n, coalesce(address, '')
       ELSE '' END AS reason FROM b)"""
 
 
+INSIDE = f"""o AS ({CROSS.format(edges(OUTLINE[0][0]))}), hole AS ({CROSS.format(edges(OUTLINE[0][1]))}),
+    inside AS (SELECT p.raw_id, coalesce(o.hit, false) AND NOT coalesce(hole.hit, false) AS hit FROM p LEFT JOIN o USING (raw_id) LEFT JOIN hole USING (raw_id))"""
+
+
+@query(f"""WITH d AS (SELECT {STEP_KM} / 111.0::DOUBLE AS dy, {STEP_KM} / (111.32::DOUBLE * cos(radians(({BOX[0]} + {BOX[2]}) / 2))) AS dx),
+    g AS (SELECT y * 1000 + x AS cell, dy, dx, {BOX[0]}::DOUBLE + (y + 0.5) * dy AS lat, {BOX[1]}::DOUBLE + (x + 0.5) * dx AS lng FROM d, range(0, 60) a(y), range(0, 60) b(x)),
+    c AS (SELECT * FROM g WHERE lat < {BOX[2]} AND lng < {BOX[3]}), p AS (SELECT cell * 9 + (i + 1) * 3 + j + 1 AS raw_id, lat + i * dy / 2 AS lat, lng + j * dx / 2 AS lng FROM c, range(-1, 2) s(i), range(-1, 2) t(j)), {INSIDE}
+    SELECT round(lat, 5) AS lat, round(lng, 5) AS lng FROM c WHERE cell IN (SELECT raw_id // 9 FROM inside WHERE hit)""")
+def grid_clipped(spark, load):
+    return geo.grid_cells(spark, BOX, STEP_KM, OUTLINE).select("lat", "lng")
+
+
+def sweep_plan(load) -> Plan:
+    plan = city_plan(load)
+    plan.grid = {"bbox": ",".join(map(str, BOX)), "step_km": str(STEP_KM), "zoom": "14", "keywords": "daycare, nursery"}
+    return plan
+
+
+AREA_KEYS = "SELECT 'area:' || a.name || '|' || k.k AS key FROM area a, (VALUES ('daycare'), ('montessori'), ('nursery')) k(k) WHERE a.city_id = 1"
+
+
+@query(f"{AREA_KEYS} UNION ALL ({GRID})")
+def plan_tasks(spark, load):
+    return tasks.build(spark, sweep_plan(load)).select("key")
+
+
+@query(f"SELECT (SELECT count(*) FROM ({AREA_KEYS})) AS area_tasks, (SELECT count(*) FROM ({GRID})) AS grid_tasks")
+def task_counts(spark, load):
+    return tasks.counts(tasks.build(spark, sweep_plan(load)))
+
+
+@query(f"SELECT key FROM ({AREA_KEYS} UNION ALL ({GRID})) WHERE key IN (SELECT unnest(found_by) FROM raw_place)")
+def done_tasks(spark, load):
+    done = load("raw_place").select(F.explode("found_by").alias("key")).distinct()
+    return tasks.progress(tasks.build(spark, sweep_plan(load)), done).select("key")
+
+
+def pinned_verdict() -> str:
+    """VERDICT where the pin decides the place; a pin inside goes on to the categories, so the order of the cases is told apart."""
+    by_place = "CASE WHEN pinned THEN CASE WHEN hit THEN '' ELSE 'outside Zarwanabad boundary' END WHEN ad = '' THEN 'no address or location' WHEN NOT here THEN 'outside Zarwanabad (' || coalesce(nullif(named, ''), 'unknown city') || ')' ELSE '' END"
+    return (
+        VERDICT.replace("FROM raw_place),\n    b AS", "FROM raw_place LEFT JOIN pins USING (raw_id)),\n    b AS").replace("SELECT raw_id, coalesce(name, '') AS n,", "SELECT raw_id, pins.raw_id IS NOT NULL AS pinned, coalesce(hit, false) AS hit, coalesce(name, '') AS n,")
+        .replace("WHEN ad = '' THEN 'no address or location' WHEN NOT here THEN 'outside Zarwanabad (' || coalesce(nullif(named, ''), 'unknown city') || ')'", f"WHEN {by_place} <> '' THEN {by_place}")
+    )
+
+
+@query(f"""WITH p AS (SELECT raw_id, latitude AS lat, longitude AS lng FROM raw_place WHERE latitude <> 0 AND longitude <> 0), {INSIDE}, pins AS (SELECT raw_id, hit FROM inside), {pinned_verdict()}
+    SELECT raw_id, CASE WHEN reason <> '' THEN '' WHEN dn OR lc IN ('day care center', 'child care agency', 'childcare', 'creche') THEN 'daycare' ELSE 'preschool' END AS listing_type, reason FROM r""")
+def classify_pinned(spark, load):
+    c = F.col
+    rows = load("raw_place").select("raw_id", classify.verdict(c("name"), c("categories"), c("address"), c("closed"), c("latitude"), c("longitude"), classify.Scope(SCOPE.city, OUTLINE, SCOPE.exclude)).alias("v"))
+    return rows.select("raw_id", "v.*")
+
+
 @query(f"WITH {VERDICT} SELECT raw_id, CASE WHEN reason <> '' THEN '' WHEN dn OR lc IN ('day care center', 'child care agency', 'childcare', 'creche') THEN 'daycare' ELSE 'preschool' END AS listing_type, reason FROM r")
 def classify_cascade(spark, load):
     c = F.col
@@ -408,10 +558,31 @@ def provenance(spark, load):
     n AS (SELECT task_key, count(*) AS new, count(*) FILTER (WHERE reason = '') AS kept, count(*) FILTER (WHERE reason <> '') AS rejected FROM j GROUP BY 1), f AS (SELECT task_key, count(*) AS found FROM h GROUP BY 1)
     SELECT task_key, found, coalesce(new, 0) AS new, coalesce(kept, 0) AS kept, coalesce(rejected, 0) AS rejected FROM f LEFT JOIN n USING (task_key)""")
 def crawl_fold(spark, load):
+    return crawl.fold(all_hits(load), SCOPE)[2]
+
+
+def all_hits(load):
+    """A hit for each place and key of a raw row; rows without a key are found by none."""
     seen = ("name", "address", "categories", "closed", "latitude", "longitude", "place_id")
     keys = F.array_distinct(F.array_compact("found_by"))
     hits = load("raw_place").select("raw_id", *seen, F.posexplode_outer(keys).alias("pos", "key"))
-    return crawl.fold(hits.select(F.struct("raw_id", "pos").alias("ord"), F.coalesce("key", F.lit("none")).alias("task_key"), *seen), SCOPE)[2]
+    return hits.select(F.struct("raw_id", "pos").alias("ord"), F.coalesce("key", F.lit("none")).alias("task_key"), *seen)
+
+
+def folded_sql(shown_: str, how: str) -> str:
+    return f"""WITH {VERDICT}, x AS (SELECT *, list_distinct(list_filter(coalesce(found_by, []), lambda k: k IS NOT NULL)) AS keys, CASE WHEN coalesce(place_id, '') <> '' THEN place_id ELSE coalesce(name, '') || '|' || coalesce(address, '') END AS place FROM raw_place),
+    k AS (SELECT place, count(DISTINCT key) AS tasks FROM (SELECT place, unnest(CASE WHEN len(keys) = 0 THEN ['none'] ELSE keys END) AS key FROM x) GROUP BY 1), o AS (SELECT place, min(raw_id) AS raw_id FROM x GROUP BY 1)
+    SELECT o.place AS place_key, tasks, {shown_} FROM o JOIN k USING (place) JOIN r USING (raw_id) WHERE reason {how} ''"""
+
+
+@query(folded_sql("CASE WHEN dn OR lc IN ('day care center', 'child care agency', 'childcare', 'creche') THEN 'daycare' ELSE 'preschool' END AS listing_type", "="))
+def crawl_kept(spark, load):
+    return crawl.fold(all_hits(load), SCOPE)[0].select("place_key", F.size("found_by").cast("long").alias("tasks"), "listing_type")
+
+
+@query(folded_sql("reason", "<>"))
+def crawl_rejected(spark, load):
+    return crawl.fold(all_hits(load), SCOPE)[1].select("place_key", F.size("found_by").cast("long").alias("tasks"), "reason")
 
 
 @query("""SELECT raw_id FROM raw_place WHERE coalesce(rating, 0) = 0 OR coalesce(len(reviews), 0) = 0 OR coalesce(len(list_filter(images, lambda i: coalesce(i.file, '') <> '')), 0) = 0
@@ -431,18 +602,24 @@ def dedupe_clusters(spark, load):
     return dedupe.clusters(load("listing"))
 
 
-def merged_sql(*fields: str) -> str:
+def merged_sql() -> str:
     out = []
-    for f in fields:
-        empty = f"({f} IS NULL OR {f} = '')" if f in ("phone", "address", "name") else f"({f} IS NULL OR {f} = 0)"
+    for f in dedupe.MERGED:
+        name, full = f.removesuffix("_id"), f"coalesce({f}, 0) <> 0" if f == "area_id" else full_sql(f, f)
         kept = f"arg_min(({f}, 1), (low, id))[1]"
-        out.append(f"CASE WHEN bool_or(list_contains(coalesce(locked_fields, []), '{f}')) OR count(*) FILTER (WHERE NOT {empty}) = 0 THEN {kept} ELSE arg_max({f}, (coalesce(updated_at, TIMESTAMP '0001-01-01'), low, id)) FILTER (WHERE NOT {empty}) END AS {f}")
-    return f"WITH {GROUPS} SELECT g.keeper_id AS id, {', '.join(out)}, bool_or(is_active) AS is_active FROM m JOIN g ON g.city_id IS NOT DISTINCT FROM m.city_id AND g.place = m.place GROUP BY 1"
+        out.append(f"CASE WHEN bool_or(list_contains(coalesce(locked_fields, []), '{name}')) OR count(*) FILTER (WHERE {full}) = 0 THEN {kept} ELSE arg_max({f}, (coalesce(updated_at, TIMESTAMP '0001-01-01'), low, id)) FILTER (WHERE {full}) END AS {f}")
+    flags = ", ".join(f"bool_or(coalesce({f}, false)) AS {f}" for f in ("is_verified", "is_featured", "is_active"))
+    shown_ = ", ".join(f"{shown_sql(f, f)} AS {f}" for f in dedupe.MERGED)
+    url = "nullif(regexp_extract(coalesce(v.maps_url, ''), '!1s(0x[0-9a-f]+:0x[0-9a-f]+)', 1), '')"
+    return f"""WITH {GROUPS}, v AS (SELECT g.keeper_id AS id, {', '.join(out)}, {flags}, array_to_string(list_sort(list_distinct(flatten(list(coalesce(locked_fields, []))))), '|') AS locked_fields, max(last_seen_at) AS last_seen_at
+      FROM m JOIN g ON g.city_id IS NOT DISTINCT FROM m.city_id AND g.place = m.place GROUP BY 1)
+      SELECT v.id, {shown_.replace(' AS ', ' AS ')}, v.is_verified, v.is_featured, v.is_active, v.locked_fields, v.last_seen_at, CASE WHEN regexp_full_match(coalesce(k.own, ''), '0x[0-9a-f]+:0x[0-9a-f]+') THEN k.own ELSE {url} END AS place_id
+      FROM v JOIN (SELECT id AS kid, place_id AS own FROM listing) k ON k.kid = v.id"""
 
 
-@query(merged_sql("phone", "address", "rating", "review_count"))
+@query(merged_sql())
 def dedupe_survivorship(spark, load):
-    return dedupe.merged(load("listing")).select("id", "phone", "address", "rating", "review_count", "is_active")
+    return shown(dedupe.merged(load("listing")), "id", *dedupe.MERGED, "is_verified", "is_featured", "is_active", "locked_fields", "last_seen_at", "place_id")
 
 
 @query(f"""WITH {GROUPS}, b AS (SELECT m.id, g.keeper_id FROM m JOIN g ON g.city_id IS NOT DISTINCT FROM m.city_id AND g.place = m.place),
@@ -509,14 +686,19 @@ def tiered_match(spark, load):
     return merge.match(batch(load), load("listing"))
 
 
-@query(f"""WITH {MATCH}, n AS (SELECT f.id, arg_max(i.new_phone, i.ord) FILTER (WHERE i.new_phone <> '') AS p, arg_max(i.new_rating, i.ord) FILTER (WHERE i.new_rating <> 0) AS r, arg_max(i.fid, i.ord) FILTER (WHERE i.fid <> '') AS fid FROM f JOIN i USING (ord) GROUP BY 1)
-    SELECT l.id, CASE WHEN n.id IS NOT NULL AND NOT list_contains(coalesce(l.locked_fields, []), 'phone') AND coalesce(n.p, '') <> '' THEN n.p ELSE l.phone END AS phone,
-      CASE WHEN n.id IS NOT NULL AND NOT list_contains(coalesce(l.locked_fields, []), 'rating') AND coalesce(n.r, 0) <> 0 THEN n.r ELSE l.rating END AS rating,
-      CASE WHEN coalesce(n.fid, '') <> '' THEN n.fid ELSE l.place_id END AS place_id FROM listing l LEFT JOIN n ON n.id = l.id""")
+def updated_sql() -> str:
+    new = [f"arg_max(r.{c}, i.ord) FILTER (WHERE {full_sql(f, f'r.{c}')}) AS n_{f}" for f, c in BROUGHT.items()]
+    out = [f"CASE WHEN n.id IS NOT NULL AND NOT list_contains(coalesce(l.locked_fields, []), '{f}') AND n.n_{f} IS NOT NULL THEN {shown_sql(f, f'n.n_{f}')} ELSE {shown_sql(f, f'l.{f}')} END AS {f}" for f in BROUGHT]
+    return f"""WITH {MATCH}, n AS (SELECT f.id, arg_max(i.fid, i.ord) FILTER (WHERE i.fid <> '') AS fid, {', '.join(new)} FROM f JOIN i USING (ord) JOIN raw_place r ON r.raw_id = i.ord GROUP BY 1)
+      SELECT l.id, {', '.join(out)}, coalesce(n.fid, l.place_id) AS place_id, CASE WHEN n.id IS NOT NULL THEN TIMESTAMP '2026-01-01' ELSE l.last_seen_at END AS last_seen_at FROM listing l LEFT JOIN n ON n.id = l.id"""
+
+
+@query(updated_sql())
 def protected_update(spark, load):
     items = batch(load)
-    changes = merge.match(items, load("listing")).select("ord", "id").join(items.select("ord", "fid", "phone", "rating"), "ord")
-    return merge.protected(load("listing"), changes, ("phone", "rating")).select("id", "phone", "rating", "place_id")
+    changes = merge.match(items, load("listing")).select("ord", "id").join(items.select("ord", "fid", *BROUGHT), "ord")
+    rows = merge.protected(load("listing"), changes, tuple(BROUGHT), F.lit("2026-01-01").cast("timestamp_ntz"))
+    return shown(rows, "id", *BROUGHT, "place_id", "last_seen_at")
 
 
 @query(f"WITH {MATCH} SELECT count(*) AS n FROM listing WHERE city_id = 1 AND id NOT IN (SELECT id FROM f)")
@@ -524,24 +706,46 @@ def unseen_count(spark, load):
     return merge.unseen(load("listing"), merge.match(batch(load), load("listing")), 1)
 
 
+def whole_import(load):
+    items = homed(load).withColumnRenamed("raw_id", "ord").withColumnRenamed("google_maps_url", "maps_url")
+    return merge.import_batch(items.select("ord", "city_id", "place_id", *[f for f in merge.FIELDS if f in items.columns]), load("listing"), SCOPE.exclude)
+
+
 OUTCOME = "CASE WHEN f.ord IS NULL THEN 'created' WHEN tier <= 2 THEN 'updated (matched by place ID)' WHEN tier = 3 THEN 'updated (matched by old-style ID)' WHEN tier = 4 THEN 'updated (matched by name + location)' ELSE 'updated (matched by name only)' END AS outcome"
 #: The whole batch as import_batch takes it: skipped rows told apart, rows of one place id of a city as one item.
 BATCH = f"""{HOMED}, j AS (SELECT raw_id AS ord, city_id, trim(coalesce(name, ''), ' ') AS name, place_id, latitude, longitude,
       CASE WHEN regexp_full_match(coalesce(place_id, ''), '0x[0-9a-f]+:0x[0-9a-f]+') THEN place_id ELSE regexp_extract(coalesce(google_maps_url, ''), '!1s(0x[0-9a-f]+:0x[0-9a-f]+)', 1) END AS fid,
-      CASE WHEN trim(coalesce(name, ''), ' ') = '' THEN 'skipped (no name)' WHEN contains(lower(coalesce(address, '')), 'norvela phase 2') THEN 'skipped (excluded area: Norvela Phase 2)'
+      listing_type, CASE WHEN trim(coalesce(name, ''), ' ') = '' THEN 'skipped (no name)' WHEN contains(lower(coalesce(address, '')), 'norvela phase 2') THEN 'skipped (excluded area: Norvela Phase 2)'
         WHEN contains(lower(coalesce(address, '')), 'kharmeez') THEN 'skipped (excluded area: Kharmeez)' END AS skip FROM h),
     i AS (SELECT min(ord) AS ord, city_id, fid, coalesce(arg_max(place_id, ord) FILTER (WHERE place_id <> ''), '') AS old, lower(arg_max(name, ord)) AS name,
-        coalesce(arg_max(latitude, ord) FILTER (WHERE latitude <> 0), 0) AS latitude, coalesce(arg_max(longitude, ord) FILTER (WHERE longitude <> 0), 0) AS longitude FROM j WHERE skip IS NULL AND fid <> '' GROUP BY city_id, fid
-      UNION ALL SELECT ord, city_id, fid, coalesce(place_id, ''), lower(name), coalesce(latitude, 0), coalesce(longitude, 0) FROM j WHERE skip IS NULL AND fid = '')"""
+        coalesce(arg_max(latitude, ord) FILTER (WHERE latitude <> 0), 0) AS latitude, coalesce(arg_max(longitude, ord) FILTER (WHERE longitude <> 0), 0) AS longitude, arg_max(listing_type, ord) FILTER (WHERE listing_type <> '') AS kind FROM j WHERE skip IS NULL AND fid <> '' GROUP BY city_id, fid
+      UNION ALL SELECT ord, city_id, fid, coalesce(place_id, ''), lower(name), coalesce(latitude, 0), coalesce(longitude, 0), nullif(listing_type, '') FROM j WHERE skip IS NULL AND fid = '')"""
 
 
 @query(f"WITH {BATCH}, {MATCH[MATCH.index('o AS (SELECT id'):]} SELECT outcome, count(*) AS n FROM (SELECT {OUTCOME} FROM i LEFT JOIN f USING (ord) UNION ALL SELECT skip FROM j WHERE skip IS NOT NULL) GROUP BY 1")
 def import_counts(spark, load):
-    items = homed(load).withColumnRenamed("raw_id", "ord").withColumnRenamed("google_maps_url", "maps_url")
-    result = merge.import_batch(items.select("ord", "city_id", "place_id", *[f for f in merge.FIELDS if f in items.columns]), load("listing"), SCOPE.exclude)
+    result = whole_import(load)
     return report.import_counts(result["outcomes"].select("outcome").unionByName(result["skipped"].select("outcome")))
 
 
+@query(f"WITH {BATCH}, {MATCH[MATCH.index('o AS (SELECT id'):]} SELECT i.ord, i.city_id, i.name, coalesce(i.kind, 'daycare') AS listing_type, coalesce(nullif(i.fid, ''), i.old) AS place_id FROM i LEFT JOIN f USING (ord) WHERE f.ord IS NULL")
+def import_created(spark, load):
+    return whole_import(load)["created"].select("ord", "city_id", F.lower("name").alias("name"), "listing_type", "place_id")
+
+
+@query(f"WITH {BATCH}, {MATCH[MATCH.index('o AS (SELECT id'):]}, c AS (SELECT ord FROM i LEFT JOIN f USING (ord) WHERE f.ord IS NULL) SELECT count(*) AS created, count(*) AS slugs, 0::BIGINT AS taken FROM c")
+def slug_uniqueness(spark, load):
+    """The rows created, their different slugs in their cities, and those that a listing had before."""
+    created, old = whole_import(load)["created"].select("city_id", "slug"), load("listing").select("city_id", "slug").distinct()
+    both = created.groupBy("city_id", "slug").agg(F.count("*").alias("n")).join(old.withColumn("old", F.lit(1)), ["city_id", "slug"], "left")
+    return both.agg(F.sum("n").alias("created"), F.count("*").alias("slugs"), F.count("old").alias("taken"))
+
+
+@query(f"WITH {MATCH} SELECT count(*) FILTER (WHERE hits > 1) AS matched_more_than_one, count(*) AS matched FROM f")
+def match_counts(spark, load):
+    return merge.match(batch(load), load("listing")).agg(F.count_if(F.col("hits") > 1).alias("matched_more_than_one"), F.count("*").alias("matched"))
+
+
 @query(f"""WITH {MATCH} SELECT min(ord) AS ord, fid, arg_max(new_phone, ord) FILTER (WHERE new_phone <> '') AS phone, arg_max(new_rating, ord) FILTER (WHERE new_rating <> 0) AS rating FROM i WHERE fid <> '' GROUP BY 2, city_id
     UNION ALL SELECT ord, fid, new_phone, new_rating FROM i WHERE fid = ''""")
 def batch_collapse(spark, load):
@@ -549,12 +753,19 @@ def batch_collapse(spark, load):
     return merge.collapse(items).select("ord", "fid", "phone", "rating")
 
 
-@query("""WITH new AS (SELECT review_id, listing_id, author, text FROM review WHERE review_id % 3 = 0 AND (coalesce(author, '') <> '' OR coalesce(text, '') <> '')
-      AND listing_id NOT IN (SELECT id FROM listing WHERE list_contains(locked_fields, 'reviews')))
-    SELECT review_id, listing_id FROM review WHERE listing_id NOT IN (SELECT listing_id FROM new) UNION ALL SELECT review_id, listing_id FROM new""")
+@query(f"""WITH {MATCH}, q AS (SELECT f.id, f.ord, unnest(r.reviews) AS v, generate_subscripts(r.reviews, 1) AS pos FROM f JOIN raw_place r ON r.raw_id = f.ord),
+    w AS (SELECT * FROM q WHERE coalesce(v.author, '') <> '' OR coalesce(v.text, '') <> ''), last AS (SELECT id, max(ord) AS ord FROM w GROUP BY 1),
+    new AS (SELECT w.id AS listing_id, CAST(pos AS INTEGER) AS pos, v.author AS author, v.text AS text FROM w JOIN last USING (id, ord) WHERE id NOT IN (SELECT id FROM listing WHERE list_contains(locked_fields, 'reviews')))
+    SELECT listing_id, 0 AS pos, author, text FROM review WHERE listing_id IS NULL OR listing_id NOT IN (SELECT listing_id FROM new) UNION ALL SELECT listing_id, pos, author, text FROM new""")
 def children_replace(spark, load):
-    old = load("review").select("review_id", "listing_id", "author", "text")
-    return merge.replaced_children(old, old.where("review_id % 3 = 0"), load("listing"), "listing_id", "reviews").select("review_id", "listing_id")
+    """The review table behind an import of the reviews that lie in the raw places: of several items of a listing the last that has any counts."""
+    items = batch(load)
+    matched = merge.match(items, load("listing")).select("ord", "id").join(items.select("ord", "reviews"), "ord")
+    new = matched.select(F.col("id").alias("listing_id"), "ord", F.posexplode("reviews").alias("pos", "v")).select("listing_id", "ord", (F.col("pos") + 1).alias("pos"), "v.author", "v.text")
+    new = new.where("coalesce(author, '') <> '' OR coalesce(text, '') <> ''")
+    last = new.groupBy("listing_id").agg(F.max("ord").alias("ord"))
+    old = load("review").select("listing_id", F.lit(0).alias("pos"), "author", "text")
+    return merge.replaced_children(old, new.join(last, ["listing_id", "ord"], "left_semi"), load("listing"), "listing_id", "reviews")
 
 
 @query("""SELECT raw_id, coalesce(array_to_string(categories, ', '), '') AS categories,
@@ -565,10 +776,70 @@ def csv_flatten(spark, load):
     return flat(load("raw_place")).select("raw_id", "categories", F.coalesce("images", F.lit("")).alias("images"))
 
 
-@query("SELECT id, CASE WHEN coalesce(l.phone, '') = '' AND coalesce(r.phone, '') <> '' THEN r.phone ELSE l.phone END AS phone FROM listing l LEFT JOIN (SELECT raw_id, phone FROM raw_place) r ON r.raw_id = l.id")
+@query("""SELECT id, CASE WHEN coalesce(l.phone, '') = '' AND coalesce(r.phone, '') <> '' THEN r.phone ELSE l.phone END AS phone, CASE WHEN coalesce(l.website, '') = '' AND coalesce(r.website, '') <> '' THEN r.website ELSE l.website END AS website,
+      CASE WHEN coalesce(l.latitude, 0) = 0 AND coalesce(r.latitude, 0) <> 0 THEN r.latitude ELSE l.latitude END AS latitude, CASE WHEN coalesce(l.latitude, 0) = 0 AND coalesce(r.latitude, 0) <> 0 THEN r.longitude ELSE l.longitude END AS longitude
+    FROM listing l LEFT JOIN (SELECT raw_id, phone, website, latitude, longitude FROM raw_place) r ON r.raw_id = l.id""")
 def fill_missing(spark, load):
-    new = load("raw_place").select(F.col("raw_id").alias("id"), "phone")
-    return crawl.fill_missing(load("listing").select("id", "phone"), new, "id", ["phone"])
+    fields = ["phone", "website", "latitude", "longitude"]
+    return crawl.fill_missing(load("listing").select("id", *fields), load("raw_place").select(F.col("raw_id").alias("id"), *fields), "id", fields)
+
+
+@query(f"SELECT own AS slug, min(name) AS name FROM (SELECT {slug_sql("trim(city, ' ')", 100, "")} AS own, trim(city, ' ') AS name FROM raw_place WHERE trim(city, ' ') <> '') WHERE own NOT IN (SELECT slug FROM city) GROUP BY 1")
+def missing_cities(spark, load):
+    return merge.missing_cities(load("raw_place").select(F.trim("city").alias("name")), load("city"))
+
+
+@query("""WITH c AS (SELECT listing_id, review_id, rating, lag(rating) OVER w AS before, row_number() OVER w AS i FROM review WHERE listing_id IS NOT NULL AND rating IS NOT NULL WINDOW w AS (PARTITION BY listing_id ORDER BY review_id)),
+    g AS (SELECT *, sum(CASE WHEN i > 1 AND rating = before THEN 0 ELSE 1 END) OVER (PARTITION BY listing_id ORDER BY i) AS run FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY listing_id, run ORDER BY i) - 1 AS same FROM g)
+    SELECT listing_id AS task_key, min(review_id) AS stop FROM n WHERE same >= 3 GROUP BY 1""")
+def stalled_runs(spark, load):
+    """Where a listing's ratings stay the same three times in a row."""
+    rows = load("review").where("listing_id IS NOT NULL AND rating IS NOT NULL")
+    return report.stalled(rows.select(F.col("listing_id").alias("task_key"), F.col("review_id").alias("ord"), F.col("rating").alias("n")))
+
+
+@query("""WITH l AS (SELECT city_id, maps_url, row_number() OVER (PARTITION BY city_id ORDER BY id) - 1 AS pos FROM listing WHERE city_id IS NOT NULL AND maps_url IS NOT NULL),
+    f AS (SELECT *, regexp_extract(maps_url, '!1s(0x[0-9a-f]+:0x[0-9a-f]+)', 1) AS place_id FROM l), o AS (SELECT city_id, place_id, min(pos) AS pos, arg_min(maps_url, pos) AS url FROM f WHERE place_id <> '' GROUP BY 1, 2)
+    SELECT city_id AS task_key, CAST(pos AS INTEGER) AS pos, place_id, url FROM (SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY pos) AS r FROM o) WHERE r <= 20""")
+def result_urls(spark, load):
+    """The first twenty places of each city's links, as a search's results."""
+    links = load("listing").where("city_id IS NOT NULL AND maps_url IS NOT NULL").groupBy(F.col("city_id").alias("task_key")).agg(F.array_sort(F.collect_list(F.struct("id", "maps_url"))).alias("l"))
+    return crawl.result_urls(links.select("task_key", F.col("l.maps_url").alias("hrefs")), 20)
+
+
+@query("""WITH i AS (SELECT raw_id, unnest(images).url AS url FROM raw_place)
+    SELECT raw_id, url, regexp_replace(regexp_replace(url, '=w[0-9]+-h[0-9]+.*$', '=w1200-h800'), '=s[0-9]+$', '=w1200-h800') AS large FROM i""")
+def large_images(spark, load):
+    return load("raw_place").select("raw_id", F.explode("images.url").alias("url")).select("raw_id", "url", text.large_image("url").alias("large"))
+
+
+HTML = """'<html><h1>Place <b>' || raw_id || '</b></h1>' || CASE raw_id % 3 WHEN 0 THEN '<div aria-label="' || (raw_id % 50) / 10.0 || ' stars"></div>' WHEN 1 THEN '<span aria-hidden="true">x</span><span aria-hidden="true">' || (1 + raw_id % 4) || '.5</span>'
+    ELSE '<script>{"averageRating": ' || (1 + raw_id % 4) || '.25}</script>' END || CASE raw_id % 2 WHEN 0 THEN '<p>(1,' || (100 + raw_id % 800) || ' reviews)</p>' ELSE '<p>' || (raw_id % 90) || ' Google reviews</p>' END
+    || CASE raw_id % 4 WHEN 0 THEN '<button data-item-id="address" aria-label="Address: Plot ' || raw_id || ',  F-' || (5 + raw_id % 9) || ', Kelmirpur"></button>' WHEN 1 THEN '<button data-item-id="address"><i>Plot ' || raw_id || '</i><i>G-9</i></button>'
+      WHEN 2 THEN '<div>Plot ' || raw_id || ', Lahore</div>' ELSE '' END
+    || CASE raw_id % 2 WHEN 0 THEN '<button data-item-id="phone:tel:1" aria-label="Phone: 0399 ' || (100000 + raw_id) || '"></button>' ELSE '<p>call 051-' || (1000000 + raw_id) || ' now</p>' END
+    || '<a href="https://www.google.com/maps">m</a>' || CASE raw_id % 2 WHEN 0 THEN '<a href="https://a.example/' || raw_id || '">s</a>' ELSE '<a href="https://a.example/">s</a><a data-item-id="authority" href="https://b.example/' || raw_id || '">s</a>' END
+    || CASE raw_id % 2 WHEN 0 THEN '<div aria-label="Monday, 8 AM to ' || (1 + raw_id % 9) || ' PM; Tuesday, Closed; Wednesday, Open. Hide open hours"></div>' ELSE '<table><tr><td>Monday</td><td>' || (1 + raw_id % 9) || ' PM</td></tr></table>' END
+    || '<button jsaction="pane.category">Kind ' || (raw_id % 7) || '</button><button jsaction="x.type"></button>'
+    || '<div data-review-id="r"><div data-review-id="r"><i class="d4r55">Ann ' || raw_id || '</i>' || CASE raw_id % 3 WHEN 0 THEN '<i aria-label="' || (1 + raw_id % 5) || ' stars"></i>' ELSE '' END || '</div></div><div data-review-id="q"></div>'
+    || '<img src="https://lh3.googleusercontent.com/p/a' || raw_id || '=w203-h114-k"><img src="https://lh3.googleusercontent.com/a/me=s640"><p style="background-image: url(https://lh5.googleusercontent.com/p/b' || raw_id || '=s680)"></p>'
+    || CASE WHEN raw_id % 5 = 0 THEN '<p>Permanently closed</p>' ELSE '' END"""
+
+
+@query("""SELECT raw_id, 'Place' || raw_id AS name, raw_id % 5 = 0 AS closed, CASE raw_id % 3 WHEN 0 THEN (raw_id % 50) / 10.0::DOUBLE WHEN 1 THEN 1 + raw_id % 4 + 0.5::DOUBLE ELSE 1 + raw_id % 4 + 0.25::DOUBLE END AS rating,
+      CAST(CASE raw_id % 2 WHEN 0 THEN 1100 + raw_id % 800 ELSE raw_id % 90 END AS INTEGER) AS review_count,
+      CASE raw_id % 4 WHEN 0 THEN 'Plot ' || raw_id || ', F-' || (5 + raw_id % 9) || ', Kelmirpur' WHEN 1 THEN 'Plot ' || raw_id || ' G-9' WHEN 2 THEN 'Plot ' || raw_id || ', Lahore' ELSE '' END AS address,
+      CASE raw_id % 4 WHEN 0 THEN 'F-' || (5 + raw_id % 9) WHEN 1 THEN 'G-9' ELSE '' END AS area, CASE raw_id % 2 WHEN 0 THEN '0399 ' || (100000 + raw_id) ELSE '051-' || (1000000 + raw_id) END AS phone,
+      CASE raw_id % 2 WHEN 0 THEN 'https://a.example/' ELSE 'https://b.example/' END || raw_id AS website, CASE raw_id % 2 WHEN 0 THEN 'Monday=8 AM–' || (1 + raw_id % 9) || ' PM|Tuesday=Closed|Wednesday=Open' ELSE 'Monday=' || (1 + raw_id % 9) || ' PM' END AS hours,
+      'Kind ' || (raw_id % 7) AS categories, 'Ann ' || raw_id || ':' || CASE raw_id % 3 WHEN 0 THEN 1 + raw_id % 5 ELSE 0 END AS reviews, 'https://lh3.googleusercontent.com/p/a' || raw_id || '=w1200-h800 https://lh5.googleusercontent.com/p/b' || raw_id || '=w1200-h800' AS images FROM raw_place""")
+def page_extracts(spark, load):
+    """All fields of a page made for each raw place, whose parts change their form from place to place."""
+    from placeweave.functions.html import page_fields
+
+    read = load("raw_place").select("raw_id", page_fields(F.expr(HTML)).alias("p")).select("raw_id", "p.*")
+    plain = ["raw_id", "name", "closed", "rating", "review_count", "address", "area", "phone", "website"]
+    reviews = F.array_join(F.transform("reviews", lambda r: F.concat_ws(":", r["author"], r["rating"])), "|")
+    return shown(read, *plain, "hours", "categories", "reviews", "images").withColumn("reviews", reviews).withColumn("images", F.array_join("images.url", " "))
 
 
 @query("""SELECT id, array_to_string(list_sort(list_distinct(list_concat(coalesce(locked_fields, []), ['phone', 'area']))), ',') AS locks FROM listing WHERE is_featured

@@ -177,6 +177,24 @@ def replaced_children(old: DataFrame, new: DataFrame, parents: DataFrame, key: s
     return old.join(usable.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(usable.select(*old.columns))
 
 
+def numbered_photos(images: DataFrame, files: DataFrame) -> DataFrame:
+    """(listing_id, ord, name, url, alt) of the images (listing_id, pos, url, alt, file) whose file is among files (file): ord counts them from 0 by pos, name is the number from 1 with the file's suffix.
+
+    Images without a file that is there don't count: bare URLs expire. Lists of one place are short, so they are numbered in the row.
+    """
+    real = images.where(F.coalesce("file", F.lit("")) != "").join(files.select("file").distinct(), "file", "left_semi")
+    lists = real.groupBy("listing_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "alt", "file"))).alias("l"))
+    each = lists.select("listing_id", F.posexplode("l").alias("ord", "x"))
+    name = F.concat((F.col("ord") + 1).cast("string"), F.regexp_extract("x.file", r"(\.[^./]+)$", 1))
+    return each.select("listing_id", "ord", name.alias("name"), "x.url", "x.alt")
+
+
+def skipped_photos(images: DataFrame, photos: DataFrame) -> DataFrame:
+    """One row (imported, skipped): the photos that have a file, and the images that have none."""
+    both = images.select(F.lit(0).alias("photo")).unionByName(photos.select(F.lit(1).alias("photo")))
+    return both.agg(F.sum("photo").alias("imported"), (F.count("*") - 2 * F.sum("photo")).alias("skipped"))
+
+
 def missing_areas(needed: DataFrame, area: DataFrame) -> DataFrame:
     """Areas (city_id, slug, name) that the batch needs and the table lacks; of several spellings of a slug the first in order."""
     distinct = needed.where("name <> ''").withColumn("slug", text.slugify("name", 100, "")).groupBy("city_id", "slug").agg(F.min("name").alias("name"))

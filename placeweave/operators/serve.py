@@ -102,10 +102,11 @@ def other_areas(area: DataFrame, area_id: int) -> DataFrame:
     return area.join(own, "city_id", "left_semi").where(F.col("id") != area_id).orderBy("name", "id")
 
 
-def with_reviews(listing: DataFrame, review: DataFrame, k: int = 5) -> DataFrame:
-    """Listings with reviews, an array of their k best rated ones; further ones don't travel. Lists of none are empty."""
+def with_reviews(listing: DataFrame, review: DataFrame, k: int | None = 5) -> DataFrame:
+    """Listings with reviews, an array of their k best rated ones, or of all if k is None; further ones don't travel. Lists of none are empty."""
     best = Window.partitionBy("listing_id").orderBy(F.desc_nulls_last("rating"), "review_id")
-    top = review.where("listing_id IS NOT NULL").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    top = review.where("listing_id IS NOT NULL").withColumn("r", F.row_number().over(best))
+    top = top if k is None else top.where(F.col("r") <= k)
     one = F.struct("r", "review_id", "author", "rating", "text", "date")
     nested = top.groupBy(F.col("listing_id").alias("id")).agg(F.array_sort(F.collect_list(one)).alias("reviews"))
     return listing.join(nested, "id", "left").withColumn("reviews", F.coalesce("reviews", F.array().cast(nested.schema["reviews"].dataType)))
@@ -132,6 +133,7 @@ def detail_path(city_slug: Column, slug: Column) -> Column:
 
 
 def robots(base: str) -> str:
+    """Fixed value but for the site's address."""
     return "\n".join(["User-agent: *", "Disallow: /admin/", "Disallow: /search/", f"Sitemap: {base}/sitemap.xml"]) + "\n"
 
 
@@ -149,18 +151,26 @@ def labels(placed: DataFrame) -> DataFrame:
     )
 
 
-def structured_data(placed: DataFrame) -> DataFrame:
-    """(id, json): the record for search engines, members that are missing left out."""
+def cut(value: Column | str, most: int) -> Column:
+    """A text of at most ``most`` characters, the last an ellipsis if some are left out."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)
+
+
+def structured_data(placed: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """(id, json): the record for search engines, members that are missing left out. images: (listing_id, og_image), as shown_images gives."""
     site, phone = text.none_if_empty("website"), text.none_if_empty("phone")
+    rows = placed.withColumn("og_image", F.lit(None).cast("string")) if images is None else placed.join(images.select(F.col("listing_id").alias("id"), "og_image"), "id", "left")
+    typed = lambda kind, *members: F.struct(F.lit(kind).alias("@type"), *members)
     record = F.struct(
-        F.lit("ChildCare").alias("type"), F.col("name").alias("name"), F.substring("description", 1, 200).alias("description"),
-        F.struct(F.col("address").alias("streetAddress"), F.col("city_name").alias("addressLocality"), F.lit("PK").alias("addressCountry")).alias("address"),
+        F.lit("https://schema.org").alias("@context"), F.lit("ChildCare").alias("@type"), F.col("name").alias("name"), cut("description", 200).alias("description"),
+        typed("PostalAddress", F.col("address").alias("streetAddress"), F.col("city_name").alias("addressLocality"), F.lit("PK").alias("addressCountry")).alias("address"),
         phone.alias("telephone"), site.alias("url"),
-        F.when(F.col("rating") != 0, F.struct(F.col("rating").alias("ratingValue"), F.col("review_count").alias("reviewCount"))).alias("aggregateRating"),
-        F.when(F.col("latitude") != 0, F.struct("latitude", "longitude")).alias("geo"),
+        F.when(F.col("rating") != 0, typed("AggregateRating", F.col("rating").cast("string").alias("ratingValue"), F.col("review_count").cast("string").alias("reviewCount"))).alias("aggregateRating"),
+        F.when(F.col("latitude") != 0, typed("GeoCoordinates", "latitude", "longitude")).alias("geo"), text.none_if_empty("og_image").alias("image"),
         F.concat(F.col("city_name"), F.lit(", Pakistan")).alias("areaServed"),
     )
-    return placed.select("id", F.to_json(record).alias("json"))
+    return rows.select("id", F.to_json(record).alias("json"))
 
 
 def shown_images(images: DataFrame) -> DataFrame:

@@ -22,15 +22,15 @@ def listing(spark, *rows):
 
 
 def test_crawl_fold(spark):
-    inside, outside = "x, F-7, Islamabad", "x, Rawalpindi"
+    inside, outside = "x, C-11, Zarwanabad", "x, Kelmirpur"
     place = {1: ("One", inside, "Day care center"), 2: ("Two", inside, "Preschool"), 3: ("Three", inside, "School"), 4: ("Four", outside, "Preschool")}
     searches = [("area:F-7|daycare", [1, 3]), ("area:F-7|montessori", [1, 2]), ("area:G-9|daycare", [4, 2])]
     hits = [(i * 10 + j, k, *place[p][:2], [place[p][2]], False, 0.0, 0.0, f"0x{p}:0x{p}") for i, (k, ps) in enumerate(searches) for j, p in enumerate(ps)]
     frame = spark.createDataFrame(hits, "ord int, task_key string, name string, address string, categories array<string>, closed boolean, latitude double, longitude double, place_id string")
-    kept, rejected, stats = crawl.fold(frame, Scope("Islamabad"))
+    kept, rejected, stats = crawl.fold(frame, Scope("Zarwanabad"))
     assert {r["name"]: (r["listing_type"], r["found_by"]) for r in kept.collect()} == {
         "One": ("daycare", ["area:F-7|daycare", "area:F-7|montessori"]), "Two": ("preschool", ["area:F-7|montessori", "area:G-9|daycare"])}
-    assert {r["name"]: r["reason"] for r in rejected.collect()} == {"Three": "category: School", "Four": "outside Islamabad (Rawalpindi)"}
+    assert {r["name"]: r["reason"] for r in rejected.collect()} == {"Three": "category: School", "Four": "outside Zarwanabad (Kelmirpur)"}
     assert {r["task_key"]: tuple(r)[1:] for r in stats.collect()}["area:F-7|montessori"] == (2, 1, 1, 0)
     results = kept.select("place_id", "name", "found_by")
     tasks = spark.createDataFrame([(k, len(p)) for k, p in searches] + [("area:G-9|montessori", 0)], "key string, found int")
