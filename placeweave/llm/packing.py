@@ -1,13 +1,15 @@
 """Filling containers of fixed capacity by bulk-synchronous best fit.
 
 Items of one size are alike, and so are containers with one gap, so both are tables of runs:
-(size, number) and (gap, first container, number). A step sorts items and gaps by range, finds
-with one sweep the successor of every gap (the largest item that fits it), resolves who gets which
-item by rank (the i-th gap takes the i-th item at or behind its successor: a running maximum), and
-writes the smaller gaps back for the next step. Sweeps run within ranges in many tasks and are
-carried from range to range by one row of each. New containers are opened only when no item
-fits any gap, as many as the rest needs at least. There are at most ``capacity`` sizes whatever the corpus
-holds; the steps yield a table of rank ranges, by which the items find their containers.
+(size, number) and (gap, first container, number). There are fewer sizes than the capacity has
+units, whatever the corpus holds. A step takes the largest size left, finds the successor gap of all its items at
+once, resolves who gets which container by rank, and writes the smaller gaps back for the next
+step; the steps yield a table of rank ranges, by which the items find their containers, distributed.
+
+The same can be done by supersteps of Spark over the tables of runs (``plan_runs``): a step sorts items and gaps by
+range, finds with one sweep the successor of every gap, resolves conflicts by rank (the i-th gap takes
+the i-th item at or behind its successor: a running maximum), and updates the gaps. Sweeps run
+within ranges in many tasks and are carried from range to range by one row of each.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ MOST_CAPACITY = 1_000_000
 
 
 def sweep(counts: dict[int, int], capacity: int, first: int = 0) -> list[tuple[int, int, int, int, int]]:
-    """Item by item on one machine, as a yardstick for tests. Best fit, largest first: rows (size, first rank, number of ranks, first container, items of the size in each container).
+    """Best fit, largest first, run by run: rows (size, first rank, number of ranks, first container, items of the size in each container).
 
     Rank r of a row goes to container ``first container + (r - first rank) // items in each``. counts: size -> number of items.
     """
@@ -209,19 +211,26 @@ def _steps(sizes: DataFrame, capacity: int, first: int) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, plan).coalesce(1) if plan else spark.createDataFrame([], PLAN)
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, hot_rows: int = 200_000) -> DataFrame:
+def pack(items: DataFrame, id_col: str, size_col: str, capacity: int, hot_rows: int = 200_000, distributed: bool = False) -> DataFrame:
     """Assign items to containers: (id, piece, start, size, container).
 
     Ids must be unique. An item of size 0 or null takes one piece of size 0 in container 0. An item longer than the capacity is
     divided into full containers and a rest that is packed like others; piece counts from 0, start is the piece's first unit.
     No other item is divided. Sizes with more than hot_rows items are ranked by ranges.
+    The plan comes from the sweep over the table of sizes, which has fewer rows than the capacity (at most MOST_CAPACITY) whatever the corpus, or,
+    with ``distributed``, from supersteps of Spark over the tables of runs. Ranks and the match of items to containers are distributed either way.
     """
     if not 1 <= capacity <= MOST_CAPACITY:
         raise ValueError(f"the capacity must lie between 1 and {MOST_CAPACITY:,}")
     sized = items.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("n"))
     pieces = durable(sized.select("id", "n", F.floor(F.col("n") / capacity).alias("fulls"), F.expr(f"cast(n % {capacity} as int)").alias("rest")))
     fulls = int(pieces.agg(F.sum("fulls")).first()[0] or 0)
-    plan = plan_runs(pieces.where("rest > 0").groupBy(F.col("rest").alias("size")).agg(F.count("*").alias("n")), capacity, fulls + 1)
+    counts = pieces.where("rest > 0").groupBy(F.col("rest").alias("size")).agg(F.count("*").alias("n"))
+    if distributed:
+        plan = plan_runs(counts, capacity, fulls + 1)
+    else:
+        runs = sweep({r["size"]: r["n"] for r in counts.collect()}, capacity, fulls + 1)  # fewer rows than the capacity
+        plan = items.sparkSession.createDataFrame([(*r, 0) for r in runs], PLAN)
     numbered = ranked(pieces.where("rest > 0"), ["rest"], ["id"], "rank", hot_rows)
     # the plan has a few rows for each size; as an array by size it is met by an equi-join and a search in the row
     by_size = plan.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("low", "many", "container", "each", "offset"))).alias("runs"))
