@@ -1,8 +1,8 @@
 """Best representative of each duplicate group, by skyline selection.
 
 Each record of a group is a vector of completeness (the set of its filled fields), recency
-and trust (whether it is the record kept). Records beaten in all three are layered behind
-those that beat them; a lexicographic policy (layer, then recency) picks the source of each
+and trust (by default whether it is the record kept). Records beaten in all three are layered behind
+those that beat them; a lexicographic policy (layer, then what the caller prefers, by default recency) picks the source of each
 field, later layers filling what earlier ones leave empty. Of the records with one and the
 same set of filled fields only the most recent can matter, so a group shrinks to at most one
 candidate for each set during map-side aggregation, however many copies it has.
@@ -55,6 +55,9 @@ def survivors(
     demote: Column,
     locks: str,
     lock_name: dict[str, str] | None = None,
+    trust: Column | None = None,
+    completeness: str = "set",
+    prefer: Sequence[str] = ("recency",),
 ) -> DataFrame:
     """Rows (group columns, keeper_id, field, source_id) of each group of two rows or more; no row where the survivor's value is empty.
 
@@ -62,7 +65,14 @@ def survivors(
     the source is the most recent row that fills the field, of equally recent ones the one that ranks last as keeper; a null
     time is older than any other. Ids must be unique; groups with a null in a group column are groups as well, a null lock list
     locks nothing, and names of locks that aren't fields are ignored. ``lock_name`` gives a field's name in the lock lists if it differs.
+
+    That is the policy by default. trust: whole numbers, few of them (by default the keeper is above all others; null is the lowest). completeness:
+    ``set`` (a row is as complete as another if it fills all its fields) or ``count`` (if it fills as many). A row as complete, recent
+    and trusted as another beats it; layers are by who beats whom, of rows with equal filled fields and trust the most recent alone taking part. prefer: by what the source is chosen among the rows of the first layer
+    that fill a field, in order, of ``trust``, ``completeness`` and ``recency``; recency settles the rest.
     """
+    if completeness not in ("set", "count") or not set(prefer) <= {"trust", "completeness", "recency"}:
+        raise ValueError(f"unknown policy: {completeness}, {prefer}")
     if len(fields) > 62:
         raise ValueError("at most 62 fields fit the set of filled fields")
     lock_name = lock_name or {}
@@ -76,29 +86,31 @@ def survivors(
         sum(held[1:], held[0]).alias("held"),
         F.struct(F.col(recency).alias("at"), demote.alias("low"), F.col(id_col).alias("id")).alias("recent"),
         F.struct(demote.alias("low"), F.col(id_col).alias("id")).alias("rank"),
+        (F.lit(0) if trust is None else F.coalesce(trust, F.lit(-(1 << 31)))).cast("int").alias("trust"),
     )
-    # first by the set of filled fields: a group of any size leaves at most one candidate for each set
-    sets = rows.groupBy(*names, "mask").agg(
-        F.max("recent").alias("recent"), F.min(F.struct("rank.low", "rank.id", "mask", "recent")).alias("kept"), F.bit_or("held").alias("held"), F.count("*").alias("n")
+    # first by the set of filled fields and the trust: a group of any size leaves at most one candidate for each
+    sets = rows.groupBy(*names, "mask", "trust").agg(
+        F.max("recent").alias("recent"), F.min(F.struct("rank.low", "rank.id", "mask", "recent", "trust")).alias("kept"), F.bit_or("held").alias("held"), F.count("*").alias("n")
     )
     groups = sets.groupBy(*names).agg(
-        F.collect_list(F.struct(F.col("recent"), F.col("mask"), F.lit(False).alias("trusted"))).alias("others"),
+        F.collect_list(F.struct("recent", "mask", "trust")).alias("others"),
         F.min("kept").alias("kept"),
         F.bit_or("held").alias("held"),
         F.sum("n").alias("n"),
     ).where(F.col("n") > 1)
-    keeper = F.struct(F.col("kept.recent").alias("recent"), F.col("kept.mask").alias("mask"), F.lit(True).alias("trusted"))
+    keeper = F.struct(F.col("kept.recent").alias("recent"), F.col("kept.mask").alias("mask"), (F.lit(1) if trust is None else F.col("kept.trust")).alias("trust"))
     # most recent first, so that whoever beats a candidate stands before it
     ordered = F.reverse(F.array_sort(F.array_append(F.filter("others", lambda c: c["recent"]["id"] != F.col("kept.id")), keeper)))
-    layer_type = "array<struct<recent:struct<at:timestamp,low:boolean,id:bigint>,mask:bigint,trusted:boolean,layer:int>>"
+    layer_type = "array<struct<recent:struct<at:timestamp,low:boolean,id:bigint>,mask:bigint,trust:int,layer:int>>"
     at_type = df.schema[recency].dataType.simpleString()
     id_type = df.schema[id_col].dataType.simpleString()
     layer_type = layer_type.replace("timestamp", at_type).replace("id:bigint", f"id:{id_type}")
 
     def push(done: Column, c: Column) -> Column:
-        beaten_by = F.filter(done, lambda d: (d["mask"].bitwiseAND(c["mask"]) == c["mask"]) & (d["trusted"] | ~c["trusted"]))
+        full = (lambda d: d["mask"].bitwiseAND(c["mask"]) == c["mask"]) if completeness == "set" else (lambda d: F.bit_count(d["mask"]) >= F.bit_count(c["mask"]))
+        beaten_by = F.filter(done, lambda d: full(d) & (d["trust"] >= c["trust"]))
         layer = F.coalesce(F.array_max(F.transform(beaten_by, lambda d: d["layer"])), F.lit(0)) + F.lit(1)
-        return F.array_append(done, F.struct(c["recent"].alias("recent"), c["mask"].alias("mask"), c["trusted"].alias("trusted"), layer.cast("int").alias("layer")))
+        return F.array_append(done, F.struct(c["recent"].alias("recent"), c["mask"].alias("mask"), c["trust"].alias("trust"), layer.cast("int").alias("layer")))
 
     layered = groups.select(*names, "kept", "held", F.aggregate(ordered, F.expr(f"cast(array() as {layer_type})"), push).alias("done"))
 
@@ -106,7 +118,9 @@ def survivors(
         bit = F.lit(1 << i).cast("long")
         filled = F.filter("done", lambda d: d["mask"].bitwiseAND(bit) != 0)
         first_layer = F.array_min(F.transform(filled, lambda d: d["layer"]))
-        free = F.array_max(F.transform(F.filter(filled, lambda d: d["layer"] == first_layer), lambda d: d["recent"]))["id"]
+        order = {"trust": lambda d: d["trust"], "completeness": lambda d: F.bit_count(d["mask"]), "recency": lambda d: d["recent"]}
+        keys = lambda d: F.struct(*[order[by](d).alias(f"k{i}") for i, by in enumerate(prefer)], d["recent"].alias("recent"))
+        free = F.array_max(F.transform(F.filter(filled, lambda d: d["layer"] == first_layer), keys))["recent"]["id"]
         own = F.when(F.col("kept.mask").bitwiseAND(bit) != 0, F.col("kept.id"))
         return F.when(F.col("held").bitwiseAND(bit) != 0, own).otherwise(free)
 

@@ -169,6 +169,43 @@ def test_survivors(spark, seed):
     assert survivor.listing_survivors(frame.limit(0)).count() == 0
 
 
+def brute_policy(rows, completeness, prefer):
+    """Layer by layer: whoever nobody left beats; then each field from the first layer that fills it."""
+    full = lambda r: [f for f in "abc" if r[f]]
+    out = set()
+    for g in {r["g"] for r in rows}:
+        own = [r for r in rows if r["g"] == g]
+        if len(own) < 2:
+            continue
+        beats = lambda a, b: a is not b and (a["at"], a["id"]) > (b["at"], b["id"]) and a["t"] >= b["t"] and (set(full(a)) >= set(full(b)) if completeness == "set" else len(full(a)) >= len(full(b)))
+        part = {}  # of rows alike in what they fill and in trust the most recent takes part
+        for r in sorted(own, key=lambda r: (r["at"], r["id"])):
+            part[tuple(full(r)), r["t"]] = r
+        left, layers = list(part.values()), []
+        while left:
+            layers.append([r for r in left if not any(beats(o, r) for o in left)])
+            left = [r for r in left if r not in layers[-1]]
+        key = {"trust": lambda r: r["t"], "completeness": lambda r: len(full(r)), "recency": lambda r: (r["at"], r["id"])}
+        for f in "abc":
+            layer = next(([r for r in x if r[f]] for x in layers if any(r[f] for r in x)), [])
+            if layer:
+                out.add((g, f, max(layer, key=lambda r: tuple(key[p](r) for p in (*prefer, "recency")))["id"]))
+    return out
+
+
+@pytest.mark.parametrize("completeness,prefer", [("set", ("recency",)), ("count", ("recency",)), ("count", ("trust", "completeness")), ("set", ("completeness", "trust")), ("count", ("completeness",))])
+def test_survivor_policies(spark, completeness, prefer):
+    """Policies under which layers decide, against brute force; they differ from the latest value."""
+    rng = random.Random(11)
+    rows = [{"g": rng.randrange(12), "id": i, "at": dt.datetime(2025, 1, 1 + rng.randrange(6)), "t": rng.randrange(3), **{f: rng.choice(["x", ""]) for f in "abc"}} for i in range(150)]
+    frame = spark.createDataFrame([(r["g"], r["id"], r["at"], r["t"], r["a"], r["b"], r["c"], []) for r in rows], "g long, id long, at timestamp, t int, a string, b string, c string, locks array<string>")
+    got = survivor.survivors(frame, ["g"], "id", ["a", "b", "c"], "at", F.lit(False), "locks", trust=F.col("t"), completeness=completeness, prefer=prefer)
+    found = {(r["g"], r["field"], r["source_id"]) for r in got.collect()}
+    assert found == brute_policy(rows, completeness, prefer)
+    latest = brute_policy(rows, "set", ("recency",))
+    assert (found == latest) == ((completeness, prefer) == ("set", ("recency",)))
+
+
 def test_place_key(spark):
     frame = spark.createDataFrame([("", "https://m.example/?q=X&ftid=0xA:0xB"), (None, "a!1s0x1%3A0x2!8m2"), ("0x5:0x6 ", "a!1s0x1:0x2!"), ("Name", "https://m.example/")], "p string, u string")
     assert [r[0] for r in frame.select(survivor.place_key(F.col("p"), F.col("u"))).collect()] == ["0xa:0xb", "0x1:0x2", "0x5:0x6", None]
