@@ -62,6 +62,15 @@ def merged(listing: DataFrame) -> DataFrame:
     return out.join(own, out["id"] == own["kid"]).withColumn("place_id", place_key()).drop("kid")
 
 
+def deduped(listing: DataFrame) -> DataFrame:
+    """listing after the merge: each cluster's keeper with the values that survive, its other rows gone; slugs and times of creation stay."""
+    gone = members(listing).where("id <> keeper_id").select("id")
+    new = merged(listing)
+    changed = [c for c in new.columns if c in listing.columns and c not in ("id", "city_id", "slug")]
+    both = listing.join(gone, "id", "left_anti").join(new.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in changed]), F.col("id") == F.col("_id"), "left")
+    return both.select(*[F.when(F.col("_id").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in listing.columns])
+
+
 def child_source(members_: DataFrame, children: DataFrame, child_key: str) -> DataFrame:
     """(keeper_id, source_id): the member with the most children, of equal ones the keeper, then the lowest id; clusters without children give none."""
     n = children.groupBy(F.col(child_key).alias("id")).agg(F.count("*").alias("n"))

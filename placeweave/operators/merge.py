@@ -214,6 +214,26 @@ def missing_cities(names: DataFrame, city: DataFrame) -> DataFrame:
     return needed.join(city.select("slug"), "slug", "left_anti")
 
 
+def with_created(result: dict[str, DataFrame], listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listings, ids): all listings after import_batch with the new ones under the next free ids by ord, and (ord, id) of every item."""
+    last = listing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    made = durable(ranked(result["created"], [], ["ord"], "_n").withColumn("id", F.col("_n") + last + 1).drop("_n"))
+    new = made.select(*[(F.col(f.name) if f.name in made.columns else F.lit(True) if f.name == "is_active" else F.lit(None)).cast(f.dataType).alias(f.name) for f in listing.schema.fields])
+    ids = result["outcomes"].where("id IS NOT NULL").select("ord", "id").unionByName(made.select("ord", "id"))
+    return result["updated"].unionByName(new), ids
+
+
+def imported_reviews(raw: DataFrame, ids: DataFrame, review: DataFrame, listing: DataFrame) -> DataFrame:
+    """review after an import: raw (ord, reviews) of the items (ord, id) replace those of their listings; of several items of one the last that has any counts."""
+    new = raw.join(ids, "ord").select(F.col("id").alias("listing_id"), "ord", F.posexplode("reviews").alias("pos", "v")).select("listing_id", "ord", "pos", "v.*")
+    new = new.where("coalesce(author, '') <> '' OR coalesce(text, '') <> ''")
+    new = new.join(new.groupBy("listing_id").agg(F.max("ord").alias("ord")), ["listing_id", "ord"], "left_semi")
+    last = review.agg(F.coalesce(F.max("review_id"), F.lit(0)).alias("m")).first()["m"]
+    numbered = ranked(new, [], ["ord", "listing_id", "pos"], "_n").withColumn("review_id", F.col("_n") + last + 1)
+    full = numbered.select(*[(F.col(f.name) if f.name in numbered.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in review.schema.fields])
+    return replaced_children(review, full, listing, "listing_id", "reviews")
+
+
 def import_batch(items: DataFrame, listing: DataFrame, exclude: tuple[str, ...] = (), now: Column | None = None) -> dict[str, DataFrame]:
     """A batch (ord, city_id, place_id, maps_url and the listing's fields) against the listings: nothing is written, so a dry run is the same call.
 

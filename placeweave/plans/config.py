@@ -29,14 +29,14 @@ class Plan:
 
 
 def read_boundary(text: str) -> list:
-    """Polygons (lists of rings of (lng, lat)) of a GeoJSON feature or collection; any other geometry is an error."""
+    """Polygons (lists of rings of (lng, lat)) of a GeoJSON geometry, feature or collection, of all its features; any other geometry is an error."""
     shape = json.loads(text)
-    if shape.get("type") == "FeatureCollection":
-        shape = shape["features"][0]
-    shape = shape.get("geometry", shape)
-    if shape["type"] not in ("Polygon", "MultiPolygon"):
-        raise ValueError(f"a boundary must be a polygon, not {shape['type']}")
-    polygons = [shape["coordinates"]] if shape["type"] == "Polygon" else shape["coordinates"]
+    polygons: list = []
+    for feature in shape["features"] if shape.get("type") == "FeatureCollection" else [shape]:
+        geometry = feature.get("geometry", feature)
+        if geometry["type"] not in ("Polygon", "MultiPolygon"):
+            raise ValueError(f"a boundary must be a polygon, not {geometry['type']}")
+        polygons += [geometry["coordinates"]] if geometry["type"] == "Polygon" else geometry["coordinates"]
     return [[[(p[0], p[1]) for p in ring] for ring in rings] for rings in polygons]
 
 

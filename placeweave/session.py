@@ -108,6 +108,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str = "rank",
     Where a key has more than hot_rows rows, rows are sorted by range of keys and order together, so that a hot key lies in many tasks, and are
     counted from the start of their range; ranges are made durable first, as another run might cut them elsewhere. Nulls in keys are a key.
     """
+    if not keys:
+        return ranked(df.withColumn("_all", F.lit(0)), ["_all"], order, out, hot_rows).drop("_all")
     biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     own = Window.partitionBy(*keys).orderBy(*order)
     if biggest <= hot_rows:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,9 +12,30 @@ from pyspark.sql import types as T
 from placeweave.sources.read import exists
 
 
+def _move(fs, old, new) -> None:
+    if not fs.rename(old, new):
+        raise OSError(f"can't move {old} to {new}")
+
+
+def replace(path: str, spark, write: Callable[[str], None]) -> None:
+    """Let ``write`` write beside path, then put it in path's place: readers see the old output until the new one is complete."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    here, new, old = (jvm.Path(path + end) for end in ("", f".new-{uuid.uuid4().hex}", f".old-{uuid.uuid4().hex}"))
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    write(new.toString())
+    if fs.exists(here):
+        _move(fs, here, old)
+    _move(fs, new, here)
+    fs.delete(old, True)
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """Atomic for readers: the job's committer shows files only when all are written."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines; readers see the old files until the new ones are complete."""
+    replace(path, df.sparkSession, lambda to: df.write.json(to))
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    replace(path, df.sparkSession, lambda to: df.write.parquet(to))
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -26,7 +50,10 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; each file begins with a byte order mark, by which spreadsheets know the encoding."""
+    rows = flat(df)
+    marked = rows.withColumnRenamed(rows.columns[0], f"\ufeff{rows.columns[0]}")
+    replace(path, df.sparkSession, lambda to: marked.write.option("header", True).option("escape", '"').option("encoding", "UTF-8").csv(to))
 
 
 def backup(df_path: str, spark) -> str | None:
@@ -37,12 +64,12 @@ def backup(df_path: str, spark) -> str | None:
     old, new = jvm.org.apache.hadoop.fs.Path(df_path), jvm.org.apache.hadoop.fs.Path(kept)
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(new, True)
-    fs.rename(old, new)
+    _move(fs, old, new)
     return kept
 
 
 def usable_photos(photos: DataFrame, least_bytes: int = 5000) -> DataFrame:
-    """Photos (content_type, n_bytes) of a known type and real size, numbered files of their listing (listing_id, ord)."""
+    """Photos (content_type, n_bytes) of a known type and real size, with ext, the suffix of their file; merge.numbered_photos numbers them."""
     kind = F.trim(F.substring_index("content_type", ";", 1))
     ext = F.when(kind == "image/jpeg", "jpg").when(kind == "image/png", "png").when(kind == "image/webp", "webp")
     return photos.withColumn("ext", ext).where(F.col("ext").isNotNull() & (F.col("n_bytes") >= least_bytes))

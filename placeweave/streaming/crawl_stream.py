@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +24,33 @@ def fold_batch(state: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def run(hits: DataFrame, folder: str, checkpoint: str) -> None:
-    """Consume all hits available and stop. State versions are written as folder/v<batch>, so a batch run again after a failure gives the same version.
+def run(hits: DataFrame, folder: str, checkpoint: str, stop_file: str | None = None, max_hours: float | None = None, every: float = 1.0) -> None:
+    """Consume the hits that are there and stop; with a stop file or a deadline go on with new ones until the file is there or the time is over.
 
-    Versions before the last two are removed.
+    State versions are written as folder/v<batch>, so a batch that was broken off is done again and gives the same version. The
+    version before must be there, else its provenance would be lost: that is an error. Versions before the last two are removed.
     """
     spark = hits.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
         before = f"{folder}/v{number - 1}"
-        state = spark.read.parquet(before) if number and exists(spark, before) else spark.createDataFrame([], STATE)
+        if number and not exists(spark, before):
+            raise FileNotFoundError(f"state {before} is missing")
+        state = spark.read.parquet(before) if number else spark.createDataFrame([], STATE)
         fold_batch(state, batch).write.mode("overwrite").parquet(f"{folder}/v{number}")
         gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{number - 2}")
         gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
-    hits.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    writer = hits.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    if stop_file is None and max_hours is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    end = time.monotonic() + 3600 * (max_hours if max_hours is not None else float("inf"))
+    query = writer.trigger(processingTime=f"{every} seconds").start()
+    while not query.awaitTermination(every):
+        if time.monotonic() >= end or (stop_file is not None and exists(spark, stop_file)):
+            query.stop()
+            return
 
 
 def latest(spark, folder: str) -> DataFrame:

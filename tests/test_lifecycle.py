@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,14 +257,48 @@ def test_cli(spark, tmp_path):
 
     listing(spark, dict(id=1, name="Legacy", place_id="0x1:0x2"), dict(id=2, slug="b", place_id="0x1:0x2")).write.parquet(str(tmp_path / "listing.parquet"))
     spark.createDataFrame([(1, "Here", "here", "")], "id long, name string, slug string, meta_description string").write.parquet(str(tmp_path / "city.parquet"))
-    (tmp_path / "raw.json").write_text('[{"name": "Legacy", "place_id": "0x1:0x2"}, {"name": "New"}, {"phone": "1"}]')
+    spark.createDataFrame([(1, 1, "Ann", "old"), (2, 2, "Bob", "old"), (3, 2, "Cy", "old")], "review_id long, listing_id long, author string, text string").write.parquet(str(tmp_path / "review.parquet"))
+    (tmp_path / "raw.json").write_text('[{"name": "Legacy", "place_id": "0x1:0x2", "reviews": [{"author": "Di", "text": "new"}]}, {"name": "New", "reviews": [{"author": "Ed"}, {"text": " "}, {"rating": 3}]}, {"phone": "1"}]')
     (tmp_path / "plan.txt").write_text("[keywords]\ndaycare\n[areas]\nF-7\nF-8\n")
-    data = ["--data", str(tmp_path)]
-    got = main(["import", "--file", str(tmp_path / "raw.json"), "--city", "Here", "--out", str(tmp_path / "o"), *data], spark)
+    data, out, kept = ["--data", str(tmp_path)], str(tmp_path / "o"), str(tmp_path / "d")
+    for _ in range(2):  # the same import again leaves the same
+        got = main(["import", "--file", str(tmp_path / "raw.json"), "--city", "Here", "--out", out, *data], spark)
     assert {r["outcome"]: r["n"] for r in got.collect()} == {"updated (matched by place ID)": 1, "created": 1, "skipped (no name)": 1}
-    assert main(["dedupe", "--out", str(tmp_path / "o"), *data], spark).first()["surplus"] == 1
+    assert {(r["id"], r["slug"], r["is_active"]) for r in read.table(spark, out, "listing").collect()} == {(1, "a", True), (2, "b", True), (3, "new", True)}
+    assert {(r["listing_id"], r["author"], r["text"]) for r in read.table(spark, out, "review").collect()} == {(1, "Di", "new"), (2, "Bob", "old"), (2, "Cy", "old"), (3, "Ed", None), (3, None, " ")}
+    assert main(["dedupe", "--out", kept, *data], spark).first()["surplus"] == 1
+    assert [r["id"] for r in read.table(spark, kept, "listing").collect()] == [1]
+    assert {(r["listing_id"], r["author"]) for r in read.table(spark, kept, "review").collect()} == {(1, "Bob"), (1, "Cy")}
+    assert [tuple(r) for r in read.table(spark, kept, "redirect").collect()] == [("/here/b/detail/", "/here/a/detail/")]
     assert main(["plan", "--file", str(tmp_path / "plan.txt"), "--out", str(tmp_path / "t")], spark).first()["area_tasks"] == 2
-    assert read.table(spark, str(tmp_path / "o"), "created").count() == 1
+
+
+def test_stream_stops(spark, tmp_path):
+    """A missing version is an error; a stop file and a deadline end the stream."""
+    schema = "place_key string, task_key string, ord long"
+    for n in range(2):
+        spark.createDataFrame([("p", f"t{n}", n)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    folder, check = str(tmp_path / "state"), str(tmp_path / "check")
+    crawl_stream.run(stream, folder, check, max_hours=6 / 3600, every=0.2)
+    assert crawl_stream.latest(spark, folder).first()["found_by"] == ["t0", "t1"]
+    (tmp_path / "STOP").write_text("")
+    crawl_stream.run(stream, folder, check, stop_file=str(tmp_path / "STOP"), every=0.2)
+    shutil.rmtree(folder)
+    spark.createDataFrame([("p", "t9", 9)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="is missing"):
+        crawl_stream.run(stream, folder, check)
+
+
+def test_sinks_replace(spark, tmp_path):
+    path = str(tmp_path / "x")
+    write.write_json(spark.range(3), path)
+    write.write_json(spark.range(2), path)
+    assert spark.read.json(path).count() == 2 and [p.name for p in tmp_path.iterdir()] == ["x"]
+    rows = spark.createDataFrame([(1, ["a"], {"d": "t"}, [("u", "", "f")])], "id int, categories array<string>, hours map<string,string>, images array<struct<url:string,alt:string,file:string>>").withColumn("reviews", F.array(F.struct(F.lit("x").alias("author"))))
+    write.write_csv(rows, str(tmp_path / "c"))
+    text = next((tmp_path / "c").glob("*.csv")).read_bytes().decode("utf-8")
+    assert text.startswith("\ufeffid,") and text.count("\n") == 2
 
 
 def test_boundary(spark, tmp_path):
