@@ -12,7 +12,7 @@ from placeweave.operators import area as areas
 from placeweave.operators import classify, crawl, dedupe, merge, report, serve
 from placeweave.plans import tasks
 from placeweave.plans.config import Plan
-from placeweave.session import short_list
+from placeweave.session import durable, short_list
 
 CITY, AREA, Q = "zarwanabad", "tamarookh", "little"
 KEYWORDS = ["daycare", "montessori", "nursery"]
@@ -321,7 +321,7 @@ HOMED = f"""named AS (SELECT *, {slug_sql("city", 100, "")} AS own, {slug_sql(SA
         FROM r JOIN o ON o.city_id = r.city_id AND o.family = r.family AND o.i = r.i + 1))
     SELECT raw_id, slug FROM r WHERE i > 0""")
 def slugs(spark, load):
-    rows = homed(load).select("raw_id", "city_id", text.slugify("name").alias("base"))
+    rows = durable(homed(load).select("raw_id", "city_id", text.slugify("name").alias("base")))
     return merge.unique_slugs(rows, load("listing").select("city_id", "slug"), order="raw_id").select("raw_id", "slug")
 
 

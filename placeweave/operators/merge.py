@@ -134,6 +134,14 @@ def _family(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["s", "b", "steps"])
 
 
+def _rows_before(rows: DataFrame, child: DataFrame, base: str, order: str, hot_rows: int) -> DataFrame:
+    """(_s, b, children): for each base the rows of it before the first row of each base that looks like a numbered one of it."""
+    items = rows.select("_s", F.col(base).alias("b"), F.col(order).alias("o"), F.lit(None).cast("int").alias("k"))
+    asked = items.join(child.select("_s", "b").distinct(), ["_s", "b"], "left_semi").unionByName(child.select("_s", "b", "o", "k"))
+    among = ranked(asked, ["_s", "b"], ["o"], "r", hot_rows).where("k IS NOT NULL")
+    return ranked(among, ["_s", "b"], ["o"], "own", hot_rows).groupBy("_s", "b").agg(F.collect_list(F.struct("k", (F.col("r") - F.col("own")).alias("c"))).alias("children"))
+
+
 def unique_slugs(new: DataFrame, existing: DataFrame, base: str = "base", order: str = "ord", scope: str = "city_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """new with slug: the base, or the first of base-1, base-2, ... that is free when its turn comes by order, within a city and against existing (city_id, slug).
 
@@ -150,10 +158,10 @@ def unique_slugs(new: DataFrame, existing: DataFrame, base: str = "base", order:
     used = used.join(need.select("_s", "b"), ["_s", "b"], "left_semi").groupBy("_s", "b").agg(F.collect_set("k").alias("used"))
     child = need.select("_s", F.regexp_extract("b", NUMBERED, 1).alias("b"), F.regexp_extract("b", NUMBERED, 2).try_cast("int").alias("k"), F.col("t").alias("o")).where("k IS NOT NULL")
     child = durable(child.join(need.select("_s", "b"), ["_s", "b"], "left_semi"))
-    # rows of a base before the first row of each base that looks like a numbered one of it
-    asked = rows.select("_s", F.col(base).alias("b"), F.col(order).alias("o"), F.lit(None).cast("int").alias("k")).join(child.select("_s", "b").distinct(), ["_s", "b"], "left_semi").unionByName(child.select("_s", "b", "o", "k"))
-    among = ranked(asked, ["_s", "b"], ["o"], "r", hot_rows).where("k IS NOT NULL")
-    before = ranked(among, ["_s", "b"], ["o"], "own", hot_rows).groupBy("_s", "b").agg(F.collect_list(F.struct("k", (F.col("r") - F.col("own")).alias("c"))).alias("children"))
+    if child.isEmpty():
+        before = used.limit(0).select("_s", "b", F.lit(None).cast("array<struct<k:int,c:bigint>>").alias("children"))
+    else:
+        before = _rows_before(rows, child, base, order, hot_rows)
     # a base whose plain form may be lost is ruled as well
     full = child.select("_s", F.concat_ws("-", "b", "k").alias("b"))
     events = used.select("_s", "b").unionByName(before.select("_s", "b")).unionByName(full).distinct().join(used, ["_s", "b"], "left").join(before, ["_s", "b"], "left")
