@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeweave.functions import text
@@ -10,15 +10,36 @@ from placeweave.operators.classify import Scope, verdict
 from placeweave.schema import is_empty
 
 
+def first_links(links: DataFrame, keys: list[str], most: int = 120) -> DataFrame:
+    """(keys, ord, place_id, url) of the first link of each place of a task (links: keys, ord, url), at most ``most`` of a task, the first by ord.
+
+    Ord must be unique within a task. Places are reduced to their first link map-side, and each partition hands on at most ``most`` of a task, so a
+    task may have any number of links.
+    """
+    named = links.withColumn("place_id", text.place_id(F.lit(""), "url")).where("place_id <> ''")
+    first = named.groupBy(*keys, "place_id").agg(F.min_by(F.struct("ord", "url"), "ord").alias("v")).select(*keys, "v.ord", "place_id", "v.url")
+    return first.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where(F.col("_r") <= most).drop("_r")
+
+
 def result_urls(hrefs: DataFrame, most: int = 120) -> DataFrame:
-    """(task_key, pos, place_id, url) of the first link of each place of a task (task_key, hrefs: array), at most ``most`` of a task, in order.
+    """(task_key, pos, place_id, url) of the first link of each place of a task (task_key, hrefs: array), at most ``most`` of a task. Each row is a task of its own."""
+    links = hrefs.withColumn("_task", F.monotonically_increasing_id()).select("_task", "task_key", F.posexplode("hrefs").alias("ord", "url"))
+    return first_links(links, ["_task", "task_key"], most).select("task_key", F.col("ord").alias("pos"), "place_id", "url")
+
+
+def listed_urls(links: DataFrame, most: int = 120) -> DataFrame:
+    """What result_urls gives, of links that are rows (task_key, ord, url): pos is the number of links of the task before, those without a place too.
 
-    One task's list is one row, so the cut is part of the row and needs no shuffle.
+    A task's links never become one list: each adds one to the first link behind it, a sum made map-side as long as the first links' places in the order can be
+    broadcast. Links without a task don't count.
     """
-    each = F.transform("hrefs", lambda u, i: F.struct(i.alias("pos"), text.place_id(F.lit(""), u).alias("place_id"), u.alias("url")))
-    ids = F.transform("each", lambda e: e["place_id"])
-    first = F.filter("each", lambda e: (e["place_id"] != "") & (F.array_position(ids, e["place_id"]) == e["pos"] + 1))
-    return hrefs.select("task_key", each.alias("each")).select("task_key", F.inline(F.slice(first, 1, most)))
+    first = first_links(links.where("task_key IS NOT NULL"), ["task_key"], most)
+    lists = first.groupBy("task_key").agg(F.array_sort(F.collect_list(F.struct("ord", "place_id", "url"))).alias("l"))
+    met = links.join(lists.select("task_key", F.col("l.ord").alias("ords")), "task_key").withColumn("i", F.size(F.filter("ords", lambda o: o <= F.col("ord"))))
+    counts = met.where(F.col("i") < F.size("ords")).groupBy("task_key", "i").agg(F.count("*").alias("n"))
+    each = lists.select("task_key", F.posexplode("l").alias("i", "v")).join(counts, ["task_key", "i"], "left")
+    before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("task_key").orderBy("i"))
+    return each.select("task_key", before.cast("int").alias("pos"), "v.place_id", "v.url")
 
 
 def provenance(hits: DataFrame, key: str) -> DataFrame:

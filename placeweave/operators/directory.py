@@ -803,8 +803,8 @@ def stalled_runs(spark, load):
     SELECT city_id AS task_key, CAST(pos AS INTEGER) AS pos, place_id, url FROM (SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY pos) AS r FROM o) WHERE r <= 20""")
 def result_urls(spark, load):
     """The first twenty places of each city's links, as a search's results."""
-    links = load("listing").where("city_id IS NOT NULL AND maps_url IS NOT NULL").groupBy(F.col("city_id").alias("task_key")).agg(F.array_sort(F.collect_list(F.struct("id", "maps_url"))).alias("l"))
-    return crawl.result_urls(links.select("task_key", F.col("l.maps_url").alias("hrefs")), 20)
+    links = load("listing").where("city_id IS NOT NULL AND maps_url IS NOT NULL")
+    return crawl.listed_urls(links.select(F.col("city_id").alias("task_key"), F.col("id").alias("ord"), F.col("maps_url").alias("url")), 20)
 
 
 @query("""WITH i AS (SELECT raw_id, unnest(images).url AS url FROM raw_place)

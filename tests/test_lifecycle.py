@@ -47,6 +47,24 @@ def test_result_urls(spark):
     assert crawl.result_urls(frame, most=1).count() == 1
 
 
+def test_listed_urls_as_result_urls(spark):
+    rng = random.Random(2)
+    tasks = {k: [rng.choice([f"x!1s0x{rng.randrange(n):x}:0x1!{i}", f"x{i}"]) for i in range(200)] for k, n in (("few", 3), ("many", 60), ("all", 10**9))} | {"none": ["x", "y"], "late": ["x", "y", "z!1s0x1:0x1"]}
+    rows = [(k, 7 * i - 50, u) for k, l in tasks.items() for i, u in enumerate(l)] + [(None, 0, "x!1s0x1:0x1")]
+    rng.shuffle(rows)
+    want = set()
+    for k, l in tasks.items():
+        seen = {}
+        for i, u in enumerate(l):
+            seen.setdefault(u[u.find("!1s") + 3 :].split("!")[0] if "!1s" in u else "", (k, i, u))
+        want |= {v for _, v in [x for x in seen.items() if x[0]][:20]}
+    links = spark.createDataFrame(rows, "task_key string, ord long, url string").repartition(5)
+    assert {(r["task_key"], r["pos"], r["url"]) for r in crawl.listed_urls(links, 20).collect()} == want
+    lists = spark.createDataFrame(list(tasks.items()), "task_key string, hrefs array<string>")
+    assert {(r["task_key"], r["pos"], r["url"]) for r in crawl.result_urls(lists, 20).collect()} == want
+    assert crawl.result_urls(lists.unionByName(lists), 20).count() == 2 * len(want)
+
+
 def test_match_tiers(spark):
     rows = listing(spark, dict(id=1, name="Old", maps_url="x!1s0x1:0x23!y"), dict(id=2, name="Near", latitude=33.7, longitude=73.0), dict(id=3, name="Solo"), dict(id=4, place_id="Legacy+Name", name="Q"), dict(id=5, place_id="0x9:0x9"), dict(id=6, place_id="0x9:0x9"))
     items = [(1, 1, "0x1:0x2", "0x1:0x2", "z", 0.0, 0.0), (2, 1, "", "", "near", 33.701, 73.0), (3, 1, "", "", "NEAR", 34.7, 73.0), (4, 1, "", "", "solo", 33.0, 73.0), (5, 1, "", "Legacy+Name", "zz", None, None), (6, 1, "0x9:0x9", "", "zz", 0.0, 0.0), (7, 2, "0x9:0x9", "", "zz", 0.0, 0.0)]

@@ -1,6 +1,9 @@
 """Queries over the whole of their tables; SQL here reads what the queries' own SQL leaves out."""
 
 import json
+import time
+
+from pyspark.sql import functions as F
 
 from placeweave.operators import directory
 from placeweave.operators import queries as core
@@ -68,6 +71,16 @@ def test_first_form_takes_all_forms(spark, tmp_path):
     assert got == dict(enumerate([*want.values(), ""]))
 
 
+def test_result_urls_of_a_large_city(spark, tmp_path):
+    links = F.when(F.col("id") % 3 == 2, F.concat(F.lit("x!1s0x"), F.lower(F.hex(F.floor(F.col("id") / 6))), F.lit(":0x1"))).when(F.col("id") % 3 == 1, F.lit("x"))
+    folder = tables(tmp_path, listing=spark.range(100_000).select("id", F.lit(1).cast("long").alias("city_id"), links.alias("maps_url")))
+    start = time.monotonic()
+    got = {(r["pos"], r["place_id"]) for r in directory.QUERIES["result_urls"](spark, folder).collect()}
+    # a third of the links is null, and each place has two
+    assert got == {(4 * k + 1, f"0x{k:x}:0x1") for k in range(20)}
+    assert time.monotonic() - start < 60
+
+
 def listings(spark, *rows):
     base = dict.fromkeys(LISTING.names) | {"locked_fields": []}
     return spark.createDataFrame([tuple((base | dict(zip(("id", "name", "slug", "city_id", "place_id"), r))).values()) for r in rows], LISTING)
